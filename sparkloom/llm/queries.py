@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .neardup import op8_simhash_neardup
+from .quality_rules import op4_quality_rules
 
-QUERIES = {"op8_simhash_neardup": op8_simhash_neardup}
+QUERIES = {"op4_quality_rules": op4_quality_rules, "op8_simhash_neardup": op8_simhash_neardup}
 ORACLES: dict[str, str] = {}
