@@ -7,6 +7,7 @@ all executors; a table read again from there needs no lineage, so a lost executo
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,6 +40,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most rows, and about the most bytes, of texts that go to a Python worker in one Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session, so that long texts can't fill a worker. It only lowers its settings."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get(key).lower()).groups()
+        now = int(number) << {"k": 10, "m": 20, "g": 30}.get(unit[:1], 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def unused_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it until df has no such column in any case."""
     have = {c.lower() for c in df.columns}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitslice import links
-from .common import table, written
+from .common import small_batches, table, written
 from .components import components
 from .simhash import block_masks, blocks_for, fingerprint_udf, hex16
 
@@ -95,6 +95,7 @@ def simhash_components(fingerprints: DataFrame, radius: int = 3, doc_id: str = "
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, lower: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for each document."""
+    small_batches(docs.sparkSession)
     simhash = fingerprint_udf(width, lower=lower)
     return simhash_components(written(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text)).alias("fp")), "fingerprints"), radius)
 
