@@ -69,6 +69,10 @@ def word_count(text: Column | str) -> Column:
     return (F.size(pieces) - ends).cast("long")
 
 
+#: Slices of a key at most, as their bounds go to the driver and into a closure; beyond that slices get more rows.
+MOST_SLICES = 20_000
+
+
 def key_slices(df: DataFrame, key: str, rows_per_slice: int) -> list[int]:
     """Upper bounds, ascending, of slices of an integer key with about rows_per_slice rows each.
 
@@ -76,7 +80,7 @@ def key_slices(df: DataFrame, key: str, rows_per_slice: int) -> list[int]:
     smallest. Rows with equal keys always share a slice.
     """
     n = df.select(F.count(F.col(key))).first()[0]
-    slices = int(max(1, -(-n // rows_per_slice)))
+    slices = int(min(MOST_SLICES, max(1, -(-n // rows_per_slice))))
     if slices == 1:
         return []
     at = [i / slices for i in range(1, slices)]

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .bpe_codec import op10_bpe_codec
+from .fingerprints import op1_document_fingerprints
 from .neardup import op8_simhash_neardup
 from .quality_rules import op4_quality_rules
 from .token_counts import op9_token_counts
 from .token_files import op2_token_files
 
 QUERIES = {
+    "op1_document_fingerprints": op1_document_fingerprints,
     "op2_token_files": op2_token_files,
     "op4_quality_rules": op4_quality_rules,
     "op8_simhash_neardup": op8_simhash_neardup,
