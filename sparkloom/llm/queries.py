@@ -8,13 +8,15 @@ from .neardup import op8_simhash_neardup
 from .quality_rules import op4_quality_rules
 from .token_counts import op9_token_counts
 from .token_files import op2_token_files
+from .warc import OP3_SQL, op3_warc_archives
 
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_token_files": op2_token_files,
+    "op3_warc_archives": op3_warc_archives,
     "op4_quality_rules": op4_quality_rules,
     "op8_simhash_neardup": op8_simhash_neardup,
     "op9_token_counts": op9_token_counts,
     "op10_bpe_codec": op10_bpe_codec,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_warc_archives": OP3_SQL}
