@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe_codec import op10_bpe_codec
 from .fingerprints import op1_document_fingerprints
 from .line_dedup import op5_line_dedup
+from .mixing import op7_source_mixing
 from .neardup import op8_simhash_neardup
 from .quality_rules import op4_quality_rules
 from .token_counts import op9_token_counts
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_warc_archives": op3_warc_archives,
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
+    "op7_source_mixing": op7_source_mixing,
     "op8_simhash_neardup": op8_simhash_neardup,
     "op9_token_counts": op9_token_counts,
     "op10_bpe_codec": op10_bpe_codec,
