@@ -7,6 +7,7 @@ from .fingerprints import op1_document_fingerprints
 from .line_dedup import op5_line_dedup
 from .mixing import op7_source_mixing
 from .neardup import op8_simhash_neardup
+from .quality_classifier import op6_quality_classifier
 from .quality_rules import op4_quality_rules
 from .token_counts import op9_token_counts
 from .token_files import op2_token_files
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_warc_archives": op3_warc_archives,
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_source_mixing": op7_source_mixing,
     "op8_simhash_neardup": op8_simhash_neardup,
     "op9_token_counts": op9_token_counts,
