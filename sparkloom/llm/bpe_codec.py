@@ -1,7 +1,7 @@
 """BPE encoding and decoding of text columns (see bpe for the method).
 
-``encode_column`` gives the ids and ``decode_column`` texts from ids; ``round_trip`` makes digests of both in one pass
-and keeps neither, so that a long text costs a block of memory at a time.
+``encode_column`` gives the ids and ``decode_column`` texts from ids; ``round_trip`` makes digests of both in one pass. It
+keeps neither unless the ids are wanted, so that a long text costs a block of memory at a time.
 
 Nulls: a null text encodes as an empty one, to no ids; null ids decode to an empty text. Rows are independent.
 """
@@ -43,29 +43,37 @@ def decode_column(ids: Column, tokenizer: str) -> Column:
     return decode(ids)
 
 
-def digests(tokenizer: WordTokenizer, text: str) -> tuple[int, str, str]:
-    """How many ids a text has, and SHA-256 of the ids in decimal with commas between and of the text decoded from them."""
+def digests(tokenizer: WordTokenizer, text: str, keep: list[int] | None = None) -> tuple[int, str, str]:
+    """How many ids a text has, and SHA-256 of the ids in decimal with commas between and of the text decoded from them.
+
+    keep: a list that gets the ids, if they are wanted.
+    """
     n, of_ids, of_text, decoder = 0, hashlib.sha256(), hashlib.sha256(), TextDecoder(tokenizer.text_of)
     for ids in tokenizer.encode(text):
         if ids:
             of_ids.update(("," * (n > 0) + ",".join(map(str, ids))).encode())
             n += len(ids)
             of_text.update(decoder.push(ids).encode())
+            if keep is not None:
+                keep += ids
     of_text.update(decoder.finish().encode())
     return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
-def round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document."""
+def round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document, and its ids if they are wanted."""
     small_batches(docs.sparkSession)
+    kinds = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * with_ids
 
-    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + ",ids:array<int>" * with_ids + ">")
     def both(texts: pa.Array) -> pa.Array:
-        tok = load(tokenizer)
-        rows = [digests(tok, t.as_py() or "") for t in texts]
-        return pa.array([{"n_tokens": a, "ids_sha256": b, "decoded_sha256": c} for a, b, c in rows], pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
+        tok, rows = load(tokenizer), []
+        for t in texts:
+            kept: list[int] | None = [] if with_ids else None
+            rows.append((*digests(tok, t.as_py() or "", kept), kept))
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), both(F.col(text)).alias("_both")).select("doc_id", "_both.*")
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), both(F.col(f"`{text}`")).alias("_both")).select("doc_id", "_both.*")
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
