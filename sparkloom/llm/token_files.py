@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Memo, WordTokenizer
+from .bpe import Memo, WordTokenizer, byte_symbols
 from .common import key_slices, shared_folder, slice_of, small_batches, table, written
 from .files import open_map, whole_file
 
+#: Words whose ids a worker keeps, twice at most (see Memo): about 200 bytes each.
+MEMO_WORDS = 200_000
 #: Documents of a shard, about.
 SHARD_ROWS = 8192
 SHARDS = "shard int, path string, dtype string, n_docs long, n_tokens long"
@@ -35,8 +37,8 @@ SHARDS = "shard int, path string, dtype string, n_docs long, n_tokens long"
 class LibraryEncoder:
     """Ids by the tokenizers library, as bytes of a dtype. Words of Latin-1 texts are encoded once while they recur.
 
-    Such texts have no characters that combine over word boundaries or change when they are normalised again, so the
-    library gives a word the same ids by itself as within its text. Other texts go to the library whole.
+    Normalised, such texts are their lower case, and their words are cut as the library cuts them; its model then gives a
+    word the same ids by itself as within a text. Other texts go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,7 +49,12 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.cut = WordTokenizer(path)
         self.dtype = "<u2" if self.library.get_vocab_size(True) <= 1 << 16 else "<u4"
-        self._memo = Memo(self._whole)
+        self._symbols = byte_symbols()
+        self._memo = Memo(self._word, MEMO_WORDS)
+
+    def _word(self, word: str) -> bytes:
+        symbols = word if word.isascii() and word.isprintable() and " " not in word else "".join(map(self._symbols.__getitem__, word.encode()))
+        return np.array([t.id for t in self.library.model.tokenize(symbols)], self.dtype).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()

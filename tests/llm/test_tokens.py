@@ -129,3 +129,11 @@ def test_empty_tables(docs, folder, spark):
     d = folder(documents=docs([]))
     for query in (token_files.op2_token_files, token_counts.op9_token_counts, bpe_codec.op10_bpe_codec):
         assert query(spark, d).collect() == []
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=st.one_of(st.lists(st.sampled_from(ODD), max_size=25).map("".join), st.text(st.characters(max_codepoint=255), max_size=40), st.text(max_size=20)))
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_remembered_words_equal_the_library(path, text):
+    encoder = token_files.library_encoder(path)
+    assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == ids(path, text)
