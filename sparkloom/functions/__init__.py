@@ -1 +1 @@
-
+"""Column functions; native expressions but for hashes that Spark lacks."""

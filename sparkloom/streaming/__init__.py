@@ -1 +1 @@
-
+"""Continuous ingestion with Structured Streaming."""
