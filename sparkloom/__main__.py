@@ -25,7 +25,7 @@ def main(args: list[str]) -> int:
 
         spark = SparkSession.builder.appName("sparkloom").getOrCreate()
         log.info({"event": "start", "root": config.root, "collection": config.store.collection})
-        query = start(spark, IngestConfig(config.root, config.checkpoint, config.chunker), config.store, config.provider, IngestSummary(log.info), config.once)
+        query = start(spark, IngestConfig(config.root, config.checkpoint, config.chunker, signals=config.signals), config.store, config.provider, IngestSummary(log.info), config.once)
         try:
             query.awaitTermination()
         except KeyboardInterrupt:

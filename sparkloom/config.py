@@ -11,7 +11,7 @@ from typing import Any
 from .errors import LoomError
 from .functions.recursive import RecursiveConfig
 from .operators.code import LANGUAGES
-from .operators.embedding import HttpProvider, LocalProvider, OpenAiProvider, Provider, vector_size
+from .operators.embedding import HttpProvider, LocalProvider, OnnxProvider, OpenAiProvider, Provider, vector_size
 from .operators.routing import ChunkerConfig
 from .operators.semantic import SemanticConfig
 from .sinks.vector_store import HttpVectorStore
@@ -24,7 +24,8 @@ USAGE = """usage: sparkloom --dir DIR --qdrant-url URL --collection NAME [option
   --create-collection-if-missing  --collection-vector-size N
   --chunker-mode router|single (router)  --chunker-single recursive|markdown|semantic|code:LANGUAGE
   --chunker-strategy recursive|legacy  --size-metric chars|tokens  --size-max N  --size-min N  --size-overlap N
-  --tokenizer byte-bpe-50k  --enable-semantic  --semantic-provider adapter|local  --semantic-percentile 1..99 (95)
+  --tokenizer byte-bpe-50k  --enable-semantic  --semantic-provider adapter|fastembed|local  --semantic-percentile 1..99 (95)
+  --onnx-model FILE  --onnx-tokenizer FILE    the model of the fastembed provider
   --checkpoint DIR  --once  --help  --version"""
 
 # The flags, and what they stand for where they aren't given.
@@ -34,7 +35,7 @@ DEFAULTS = {
     "embed-backend": "openai", "embed-url": None, "embed-model": "default",
     "openai-endpoint": "https://api.openai.com/v1/embeddings", "openai-api-key": None, "openai-model": "text-embedding-3-small",
     "chunker-strategy": "recursive", "size-metric": "chars", "size-max": None, "size-min": "0", "size-overlap": "0", "tokenizer": None,
-    "chunker-mode": "router", "chunker-single": None, "semantic-provider": "adapter", "semantic-percentile": "95", "checkpoint": None,
+    "chunker-mode": "router", "chunker-single": None, "semantic-provider": "adapter", "semantic-percentile": "95", "onnx-model": None, "onnx-tokenizer": None, "checkpoint": None,
 }
 SIZE_MAX = {"chars": 2000, "tokens": 512}
 
@@ -77,6 +78,7 @@ class RunConfig:
     chunker: ChunkerConfig
     checkpoint: str
     once: bool
+    signals: Provider  # of the semantic chunker
     warnings: tuple[str, ...] = ()
 
 
@@ -164,14 +166,20 @@ def parse_args(args: list[str]) -> RunConfig | str:
         _one_of("chunker-single", single, "recursive", "markdown", "semantic", *(f"code:{x}" for x in LANGUAGES))
     if given.get("enable-semantic") and single not in (None, "semantic"):
         raise LoomError("invalid input", f"--enable-semantic can't go with --chunker-single {single}\n{USAGE}")
-    signal = _one_of("semantic-provider", get("semantic-provider"), "adapter", "local")
+    signal = _one_of("semantic-provider", get("semantic-provider"), "adapter", "fastembed", "local")
     percentile = _number(given, "semantic-percentile", "95", 1)
-    semantic = SemanticConfig(sizes, percentile, provider.name if signal == "adapter" else LocalProvider().name) if given.get("enable-semantic") or single == "semantic" else None
+    semantic, signals = None, provider
+    if given.get("enable-semantic") or single == "semantic":
+        if signal == "fastembed":
+            signals = OnnxProvider(needed("onnx-model"), needed("onnx-tokenizer"))
+        elif signal == "local":
+            signals = LocalProvider()
+        semantic = SemanticConfig(sizes, percentile, signals.name)
 
     explicit = _number(given, "collection-vector-size", None, 1)
     size = vector_size(provider, explicit) if given.get("create-collection-if-missing") else None
     checkpoint = get("checkpoint") or os.path.join(root, "..", f".sparkloom-{collection}")
-    return RunConfig(root, HttpVectorStore(url, collection, size), provider, ChunkerConfig(sizes, single, semantic), checkpoint, bool(given.get("once")), tuple(warnings))
+    return RunConfig(root, HttpVectorStore(url, collection, size), provider, ChunkerConfig(sizes, single, semantic), checkpoint, bool(given.get("once")), signals, tuple(warnings))
 
 
 class _Json(logging.Formatter):

@@ -1,4 +1,4 @@
-"""Providers of vectors: two HTTP services, and a local one that needs neither model nor network."""
+"""Providers of vectors: two HTTP services, a model file, and a local one that needs neither model nor network."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Any
 
 from ..errors import LoomError
@@ -112,3 +113,41 @@ def vector_size(provider: Provider, explicit: int | None = None) -> int:
             return VECTOR_SIZES[provider.model]
         raise LoomError("config", f"unknown OpenAI model for collection vector size: {provider.model}; pass --collection-vector-size")
     raise LoomError("config", "http backend requires --collection-vector-size")
+
+
+@dataclass(frozen=True)
+class OnnxProvider(Provider):
+    """A sentence model of one's own: an ONNX file and its tokenizer file, at paths that every executor can read.
+
+    The mean of the token vectors, without padding, scaled to length 1. The session is loaded once a process.
+    """
+
+    model_path: str
+    tokenizer_path: str
+    name: str = "fastembed:all-MiniLM-L6-v2"
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        import numpy as np
+
+        session, tokenizer = _onnx(self.model_path, self.tokenizer_path)
+        coded = tokenizer.encode_batch(texts)
+        mask = np.array([e.attention_mask for e in coded], np.int64)
+        feed = {"input_ids": np.array([e.ids for e in coded], np.int64), "attention_mask": mask, "token_type_ids": np.array([e.type_ids for e in coded], np.int64)}
+        wanted = {i.name for i in session.get_inputs()}
+        tokens = np.asarray(session.run(None, {k: v for k, v in feed.items() if k in wanted})[0], np.float32)
+        mean = (tokens * mask[:, :, None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1)
+        return (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)).tolist()
+
+
+@lru_cache(maxsize=2)
+def _onnx(model_path: str, tokenizer_path: str):  # noqa: ANN202
+    try:
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        session, tokenizer = onnxruntime.InferenceSession(model_path, providers=["CPUExecutionProvider"]), Tokenizer.from_file(tokenizer_path)
+    except Exception as e:
+        raise LoomError("embed", str(e)).within("local model can't be loaded") from e
+    tokenizer.enable_padding()
+    tokenizer.enable_truncation(512)
+    return session, tokenizer

@@ -24,7 +24,6 @@ from ..operators import planning
 from ..operators.embedding import LocalProvider, Provider
 from ..operators.points import point_rows, with_vectors
 from ..operators.routing import ChunkerConfig, with_chunks
-from ..operators.semantic import hashed_words
 from ..sinks.vector_store import Sink
 from ..sources import dirscan
 
@@ -32,7 +31,8 @@ from ..sources import dirscan
 @dataclass(frozen=True)
 class IngestConfig:
     """ack_path: a folder to which acknowledgements of each batch are appended, if given. ack_failed: failed files are
-    acknowledged, too. max_files: of a micro-batch; 0 for no bound."""
+    acknowledged, too. max_files: of a micro-batch; 0 for no bound. signals: what embeds sentences for the semantic chunker,
+    by default the provider of the points' vectors."""
 
     root: str
     checkpoint: str
@@ -41,6 +41,7 @@ class IngestConfig:
     ack_path: str | None = None
     ack_failed: bool = False
     max_files: int = 0
+    signals: Provider | None = None
 
 
 def loaded(files: DataFrame) -> DataFrame:
@@ -49,10 +50,9 @@ def loaded(files: DataFrame) -> DataFrame:
     return files.withColumns({"text": text, "load_kind": F.coalesce("error_kind", kind), "load_message": F.coalesce("error_message", message)}).drop("content", "error_kind", "error_message")
 
 
-def document_results(files: DataFrame, chunker: ChunkerConfig, provider: Provider | None = None) -> DataFrame:
+def document_results(files: DataFrame, chunker: ChunkerConfig, signals: Provider | None = None) -> DataFrame:
     """Chunked documents with status (ok or failed), error_kind and error_message."""
-    signal = provider.embed_all if provider is not None and not isinstance(provider, LocalProvider) else hashed_words
-    chunked = with_chunks(loaded(files), chunker, embed=signal)
+    chunked = with_chunks(loaded(files), chunker, embed=(signals or LocalProvider()).embed_all)
     kind, message = F.coalesce("load_kind", "error_kind"), F.coalesce("load_message", "error_message")
     return chunked.withColumns({"error_kind": kind, "error_message": message, "status": F.when(kind.isNull(), "ok").otherwise("failed")}).drop("load_kind", "load_message", "text")
 
@@ -104,7 +104,7 @@ class IngestSummary(StreamingQueryListener):
 
 def write_batch(batch: DataFrame, sink: Sink, config: IngestConfig, provider: Provider, summary: IngestSummary | None = None) -> None:
     """One micro-batch of planned versions: chunks once, writes points, then acknowledges."""
-    results = document_results(batch, config.chunker, provider).persist(StorageLevel.MEMORY_AND_DISK)
+    results = document_results(batch, config.chunker, config.signals or provider).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = results.agg(F.count(F.lit(1)), F.count_if(F.col("status") == "ok"), F.coalesce(F.sum(F.when(F.col("status") == "ok", F.size("chunks"))), F.lit(0))).first()
         if not n[0]:

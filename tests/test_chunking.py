@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.errors import LoomError
 from sparkloom.functions.recursive import RecursiveConfig, chunk_rows
 from sparkloom.functions.text import WHITE_CHARS
+from sparkloom.operators import legacy
 from sparkloom.operators.routing import ChunkerConfig, chunk_text, with_chunks
 from sparkloom.operators.semantic import SemanticConfig
 from sparkloom.operators.splitting import normalized, split, token_counter, default_token_ranks
@@ -142,3 +143,9 @@ def test_fingerprints():
     assert c.fingerprint("recursive") == "recursive:v1|metric=tokens|tokenizer=bpe:byte_bpe_50k|max=100|min=10|overlap=5"
     assert c.fingerprint("markdown") == "markdown:v1|metric=tokens|max=100|min=10|overlap=5"
     assert c.fingerprint("semantic") == "semantic:v1|signal=keyword:test|metric=chars|max=100|min=10|percentile=60"
+
+
+def test_oldest_calls():
+    assert legacy.chunk_text("para1\n\npara2") == ["para1", "para2"]
+    assert legacy.chunk_document("abc", 10, 0, 10) == ([], "legacy:v0|broken")
+    assert legacy.chunk_document("abc")[1] == "recursive:v1|metric=chars|tokenizer=chars|max=512|min=0|overlap=0"

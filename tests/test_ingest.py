@@ -7,7 +7,7 @@ import pytest
 
 from sparkloom.config import configure_logging, load_yaml, parse_args
 from sparkloom.errors import LoomError
-from sparkloom.operators.embedding import HttpProvider, LocalProvider, OpenAiProvider, Provider, vector_size
+from sparkloom.operators.embedding import HttpProvider, LocalProvider, OnnxProvider, OpenAiProvider, Provider, vector_size
 from sparkloom.operators.planning import pending_work
 from sparkloom.operators.routing import ChunkerConfig
 from sparkloom.sinks.vector_store import HttpVectorStore, MemorySink, ParquetSink, checked_id
@@ -160,6 +160,33 @@ def test_embedding_services(server):
     assert isinstance(provider, Provider) and (provider.name, OpenAiProvider("", "", "n").name) == ("http:m", "openai:n")
 
 
+def test_model_file(monkeypatch, tmp_path):
+    import numpy as np
+    import onnxruntime
+    import public_tokenizers
+
+    class Session:
+        def __init__(self, path, providers):
+            assert path == "model.onnx"
+
+        def get_inputs(self):
+            return [type("I", (), {"name": n}) for n in ("input_ids", "attention_mask")]
+
+        def run(self, _, feed):
+            assert set(feed) == {"input_ids", "attention_mask"}
+            return [np.stack([feed["input_ids"] % 7 + 1, feed["input_ids"] % 3], axis=2)]
+
+    monkeypatch.setattr(onnxruntime, "InferenceSession", Session)
+    tokenizer = str(public_tokenizers.path("byte_bpe_50k.json"))
+    provider = OnnxProvider("model.onnx", tokenizer)
+    short, padded = provider.embed(["a b", "a b c d e f g"]), provider.embed(["a b"])
+    assert short[0] == pytest.approx(padded[0]) and sum(x * x for x in short[1]) == pytest.approx(1)
+    with pytest.raises(LoomError, match="can't be loaded"):
+        OnnxProvider("model.onnx", str(tmp_path / "none")).embed(["a"])
+    config = parse_args([*BASE, "--enable-semantic", "--semantic-provider", "fastembed", "--onnx-model", "m", "--onnx-tokenizer", "t"])
+    assert config.signals == OnnxProvider("m", "t") and "signal=fastembed:all-MiniLM-L6-v2" in config.chunker.semantic.fingerprint
+
+
 def test_parquet_sink(spark, tmp_path):
     df = spark.createDataFrame([("i", [1.0], ("p",))], "id string, vector array<float>, payload struct<a:string>")
     ParquetSink(str(tmp_path / "out")).upsert(df)
