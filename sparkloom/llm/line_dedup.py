@@ -110,23 +110,31 @@ def _bytes_udf(bits: int):  # noqa: ANN202
     return of
 
 
+def _spans(bits: int):  # noqa: ANN202
+    """A function from a text and its occurrences to the spans of characters to remove, joined where they touch."""
+
+    def of(text: str, occurrences: list[dict] | None) -> list[dict[str, int]]:
+        if not occurrences:
+            return []
+        ends = line_ends(text)
+        row: list[dict[str, int]] = []
+        for a, b in sorted({s for o in occurrences if (s := _own(text, ends, o, bits)) is not None}):
+            if row and a <= row[-1]["end"]:
+                row[-1]["end"] = max(row[-1]["end"], b)
+            else:
+                row.append({"start": a, "end": b})
+        return row
+
+    return of
+
+
 def _spans_udf(bits: int):  # noqa: ANN202
-    """Spans of characters to remove: those of the given occurrences, joined where they touch."""
+    spans = _spans(bits)
 
     @F.arrow_udf("array<struct<start:int,end:int>>")
     def of(texts: pa.Array, found: pa.Array) -> pa.Array:
-        out = []
-        for t, occurrences in zip(texts, found, strict=True):
-            text, occurrences = t.as_py() or "", occurrences.as_py()
-            ends = line_ends(text) if occurrences else []
-            row: list[dict[str, int]] = []
-            for a, b in sorted({s for o in occurrences or () if (s := _own(text, ends, o, bits)) is not None}):
-                if row and a <= row[-1]["end"]:
-                    row[-1]["end"] = max(row[-1]["end"], b)
-                else:
-                    row.append({"start": a, "end": b})
-            out.append(row)
-        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        return pa.array([spans(t.as_py() or "", o.as_py()) for t, o in zip(texts, found, strict=True)], kind)
 
     return of
 
@@ -140,21 +148,26 @@ def without(text: str, spans: list[dict[str, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def _without_udf():  # noqa: ANN202
-    @F.arrow_udf("string")
-    def of(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([None if t.as_py() is None else without(t.as_py(), s.as_py() or []) for t, s in zip(texts, spans, strict=True)], pa.string())
+def _kept_udf(bits: int):  # noqa: ANN202
+    """What is left of each text, and whether anything is gone. Called non-deterministic, so that filters on the result don't
+    have it computed once more below them."""
+    spans = _spans(bits)
 
-    return of
+    @F.arrow_udf("struct<text:string,changed:boolean>")
+    def of(texts: pa.Array, found: pa.Array) -> pa.Array:
+        rows = []
+        for t, o in zip(texts, found, strict=True):
+            text, gone = t.as_py(), spans(t.as_py() or "", o.as_py())
+            rows.append((without(text, gone) if gone else text, bool(gone)))
+        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], names=["text", "changed"])
 
+    return of.asNondeterministic()
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 64) -> tuple[DataFrame, str]:
-    """docs with the spans of characters to remove from each text, and the name of that column; null or empty for none.
 
-    bits: of the hashes, fewer only to test how equal hashes of different chunks are told apart.
-    """
+def _met(docs: DataFrame, doc_id: str, text: str, bits: int) -> tuple[DataFrame, Column]:
+    """A written table of docs and a column beside it: the occurrences of repeated chunks to remove from each text."""
     small_batches(docs.sparkSession)
-    key, name = F.col(f"`{doc_id}`"), unused_name(docs, "spans")
+    key = F.col(f"`{doc_id}`")
     thin = docs.select(key.alias("id"), F.explode(chunks_udf(bits)(F.col(f"`{text}`"))).alias("c")).select("id", "c.*")
     thin = written(thin, "line-chunks")
     firsts = thin.groupBy("h").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
@@ -182,23 +195,33 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         both = F.concat(F.filter(o, lambda x: x["again"] & ~F.exists(decided, lambda y: same(x, y))), F.filter(decided, lambda x: x["again"]))
         met = written(met.select(*(f"`{c}`" for c in docs.columns), both.alias(occurrences)), "documents-decided")
         again = F.col(occurrences)
-    return met.select(*(f"`{c}`" for c in docs.columns), _spans_udf(bits)(t, again).alias(name)), name
+    return met, again
+
+
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 64) -> tuple[DataFrame, str]:
+    """docs with the spans of characters to remove from each text, and the name of that column; empty for none.
+
+    bits: of the hashes, fewer only to test how equal hashes of different chunks are told apart.
+    """
+    name = unused_name(docs, "spans")
+    met, again = _met(docs, doc_id, text, bits)
+    return met.select(*(f"`{c}`" for c in docs.columns), _spans_udf(bits)(F.col(f"`{text}`"), again).alias(name)), name
 
 
 def remove_repeated(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """docs without the repeated passages, its n_chars column, if any, set anew where a text changes; rows that lose all
     their words are left out, since others hold them."""
-    marked, name = repeated_spans(docs, text=text)
-    changed = F.size(F.col(name)) > 0
-    new = unused_name(marked, "kept_text")
-    cut = marked.withColumn(new, F.when(changed, _without_udf()(F.col(f"`{text}`"), F.col(name))).otherwise(F.col(f"`{text}`")))
-    cut = cut.where(~F.coalesce(changed, F.lit(False)) | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
+    met, again = _met(docs, "doc_id", text, 64)
+    new = unused_name(met, "kept")
+    cut = met.withColumn(new, _kept_udf(64)(F.col(f"`{text}`"), again))
+    changed, kept = F.col(f"{new}.changed"), F.col(f"{new}.text")
+    cut = cut.where(~changed | kept.rlike(r"[^\x20\x09-\x0D]"))
     out: list[Column] = []
     for c in docs.columns:
         if c == text:
-            out.append(F.col(new).alias(c))
+            out.append(kept.alias(c))
         elif c == n_chars:
-            out.append(F.when(changed, F.length(F.col(new)).cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c))
+            out.append(F.when(changed, F.length(kept).cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c))
         else:
             out.append(F.col(f"`{c}`"))
     return cut.select(*out)
