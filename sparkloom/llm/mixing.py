@@ -87,7 +87,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     took, size = unused_name(docs, "taken"), unused_name(docs, "size")
     decided = mixture(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias(size), F.col("source").alias("_source"), F.col("taken").alias(took))
     decided = written(decided.groupBy("_id", "_source", size).agg(F.max(took).alias(took)), "mixture")
-    met = docs.join(decided, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (word_count(docs["text"]) == F.col(size)))
+    # a merge join at every size: texts are shuffled alike, and hot keys are split
+    met = docs.join(decided.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (word_count(docs["text"]) == F.col(size)))
     whole, rest = F.floor(F.col(took) / F.col(size)).cast("int"), F.col(took) % F.col(size)
     cuts = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     cut = unused_name(docs, "cut")
