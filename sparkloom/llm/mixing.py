@@ -84,14 +84,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     All columns are kept and n_chars, if there is one, is that of the cut text. Rows without words are taken by no source.
     Rows that share a doc_id must share their text: of those that don't, each is taken as the mixture has the first of them.
     """
-    took, size = unused_name(docs, "taken"), unused_name(docs, "size")
-    decided = mixture(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias(size), F.col("source").alias("_source"), F.col("taken").alias(took))
-    decided = written(decided.groupBy("_id", "_source", size).agg(F.max(took).alias(took)), "mixture")
+    took, size, cut, of_id, of_source = (unused_name(docs, f"mixing_{c}") for c in ("taken", "size", "cut", "id", "source"))
+    decided = mixture(docs, **options).where("taken > 0").select(F.col("doc_id").alias(of_id), F.col("size").alias(size), F.col("source").alias(of_source), F.col("taken").alias(took))
+    decided = written(decided.groupBy(of_id, of_source, size).agg(F.max(took).alias(took)), "mixture")
     # a merge join at every size: texts are shuffled alike, and hot keys are split
-    met = docs.join(decided.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (word_count(docs["text"]) == F.col(size)))
+    met = docs.join(decided.hint("merge"), docs["doc_id"].eqNullSafe(F.col(of_id)) & docs["source"].eqNullSafe(F.col(of_source)) & (word_count(docs["text"]) == F.col(size)))
     whole, rest = F.floor(F.col(took) / F.col(size)).cast("int"), F.col(took) % F.col(size)
     cuts = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    cut = unused_name(docs, "cut")
     copies = met.withColumn(cut, F.explode(cuts))
     spaces = F.lit(" \t\n\x0b\x0c\r")
     words = F.split(F.ltrim(F.col("text"), spaces), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # each with the space after it

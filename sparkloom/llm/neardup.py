@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitslice import links
-from .common import small_batches, table, written
+from .common import small_batches, table, unused_name, written
 from .components import components
 from .simhash import block_masks, blocks_for, fingerprint_udf, hex16
 
@@ -105,9 +105,9 @@ def keep_representatives(docs: DataFrame, radius: int = 3, width: int = 3) -> Da
 
     A row with a null doc_id stays unless a document with an id is in its component.
     """
-    found = near_duplicates(docs, width, radius)
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(written(gone, "near-copies"), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    found, name = near_duplicates(docs, width, radius), unused_name(docs, "gone")
+    gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(written(gone, "near-copies"), docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")
 
 
 def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

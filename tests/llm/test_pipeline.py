@@ -88,5 +88,18 @@ def test_stages_take_effect_and_equal_brute_force(docs, folder, spark, tmp_path)
     assert sorted(map(str, corpus_pipeline.run(spark, d).collect())) == sorted(map(str, kept[4]))
 
 
+def test_columns_of_any_name_pass_through(docs, spark, tmp_path):
+    names = ["gone", "_gone", "_id", "_source", "spans", "kept", "occurrences", "key", "taken", "size", "cut", "mixing_cut", "n_words", "tmp_w", "h", "id", "fp", "component_id", "found", "target", "ids"]
+    rows = [r for r in corpus() if r[0] is None or r[0] < 110]
+    now = docs(rows).selectExpr("*", *(f"concat('{n}', doc_id) AS {n}" for n in names))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        now = stage(spark, now, "")
+        now.write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            assert now.columns[5:] == names and not now.where(" or ".join(f"{n} <> concat('{n}', doc_id)" for n in names)).count()
+    assert now.count()
+
+
 def test_empty_table(docs, folder, spark):
     assert corpus_pipeline.run(spark, folder(documents=docs([]))).collect() == []
