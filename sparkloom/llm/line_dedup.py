@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, unused_name, written
 
 #: One line of so many ends a chunk, on average.
-LINES_A_CHUNK = 3
+LINES_A_CHUNK = 2
 LEAST_LINES, LEAST_WORDS = 2, 10
 #: Odd multipliers, one for each cut.
 CUTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
