@@ -60,13 +60,13 @@ def pattern(config: RecursiveConfig) -> str:
     """One chunk in group 1, and with the white space after it the whole match."""
     n, least = config.max_size, config.min_size
     kinds = (
-        _alternative(max(1, least), n - 2, r"[\s\S]#(?=\n\n)"),
-        _alternative(max(0, least - 1), n - 1, r"[\s\S]#\n"),
-        _alternative(max(0, least - 1), n - 2, r"[\s\S]#[.?!](?=[ \n])"),
-        _alternative(max(0, least - 1), n - 1, r"[\s\S]#[ \t]"),
-        _alternative(1, n, r"[\s\S]#"),
+        _alternative(max(1, least), n - 2, r".#(?=\n\n)"),
+        _alternative(max(0, least - 1), n - 1, r".#\n"),
+        _alternative(max(0, least - 1), n - 2, r".#[.?!](?=[ \n])"),
+        _alternative(max(0, least - 1), n - 1, r".#[ \t]"),
+        _alternative(1, n, r".#"),
     )
-    return f"({'|'.join(kinds)})[{WHITE}]*"
+    return f"(?s)({'|'.join(kinds)})[{WHITE}]*"
 
 
 def boundary_kind(chunk: Column, after: Column, config: RecursiveConfig) -> Column:
