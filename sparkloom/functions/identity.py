@@ -26,20 +26,19 @@ def little_endian(number: Column) -> Column:
     return F.concat(*(F.substring(digits, i, 2) for i in range(15, 0, -2)))
 
 
-def hash_hex(of_hex: Column, hash_name: str) -> Column:
-    """The hash of bytes given in hex, in lowercase hex."""
+def hash_hex(raw: Column, hash_name: str) -> Column:
+    """The hash of a binary column, in lowercase hex."""
     if hash_name not in HASHES:
         raise LoomError("invalid input", f"unknown hash: {hash_name}")
-    raw = F.unhex(of_hex)
     return F.sha2(raw, 256) if hash_name == "sha256" else F.lower(F.hex(blake3(raw)))
 
 
 def text_hash(text: Column, hash_name: str) -> Column:
-    return hash_hex(F.hex(text), hash_name)
+    return hash_hex(text.cast("binary"), hash_name)
 
 
 def file_version_id(path: Column, size: Column, mtime: Column, hash_name: str = "blake3") -> Column:
-    return hash_hex(F.concat(F.hex(path), little_endian(size), little_endian(mtime)), hash_name)
+    return hash_hex(F.concat(path.cast("binary"), F.unhex(little_endian(size)), F.unhex(little_endian(mtime))), hash_name)
 
 
 def uuid_of(digest_hex: Column) -> Column:
@@ -55,7 +54,9 @@ def chunk_ids(path: Column, count: Column, strategy: Column, hash_name: str = "b
         raise LoomError("invalid input", f"unknown hash: {hash_name}")
     numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     if hash_name == "sha256":
-        return F.transform(numbers, lambda i: uuid_of(hash_hex(F.concat(F.hex(path), F.lit(UNIT), little_endian(i), F.lit(UNIT), F.hex(strategy)), hash_name)))
+        before, after = F.concat(path.cast("binary"), F.unhex(F.lit(UNIT))), F.concat(F.unhex(F.lit(UNIT)), strategy.cast("binary"))
+        hashes = F.transform(numbers, lambda i: hash_hex(F.concat(before, F.unhex(little_endian(i)), after), hash_name))
+        return F.transform(hashes, uuid_of)
 
     @F.arrow_udf("array<string>")
     def ids(paths: pa.Array, counts: pa.Array, strategies: pa.Array) -> pa.Array:

@@ -20,14 +20,22 @@ def point_rows(chunked: DataFrame, hash_name: str = "blake3") -> DataFrame:
     chunked: canonical_path, size_bytes, mtime_unix_secs, strategy_fingerprint and chunks. The payload's chunk_text_sha256
     holds the hash that hash_name names, as other tools expect it there; the honest SHA-256 is the last column.
     """
-    path = F.col("canonical_path")
-    docs = chunked.where(F.col("chunks").isNotNull()).select(
-        path.alias("_path"), "size_bytes", "mtime_unix_secs", "strategy_fingerprint", "chunks", chunk_ids(path, F.size("chunks"), F.col("strategy_fingerprint"), hash_name).alias("_ids"), text_hash(file_uri(path), hash_name).alias("doc_id")
+    path, none = F.col("canonical_path"), F.lit(None).cast("string")
+    # no filter on chunks here: pushed below, it would have every text chunked once more
+    docs = chunked.withColumn("_ids", chunk_ids(path, F.size("chunks"), F.col("strategy_fingerprint"), hash_name))
+    # neighbours stand beside each chunk before chunks become rows, so that no row carries the arrays of its document
+    ids = F.col("_ids")
+    zipped = F.arrays_zip(
+        F.col("chunks").alias("chunk"),
+        ids.alias("id"),
+        F.concat(F.array(none), F.slice(ids, 1, F.greatest(F.size(ids) - 1, F.lit(0)))).alias("previous"),
+        F.concat(F.slice(ids, 2, F.size(ids)), F.array(none)).alias("next"),
     )
-    rows = docs.select("*", F.posexplode_outer("chunks").alias("chunk_index", "_chunk")).where(F.col("_chunk").isNotNull())
-    i, chunk = F.col("chunk_index"), F.col("_chunk")
+    docs = docs.select(path.alias("_path"), "size_bytes", "mtime_unix_secs", "strategy_fingerprint", F.size("chunks").alias("total_chunks"), text_hash(file_uri(path), hash_name).alias("doc_id"), zipped.alias("_zipped"))
+    rows = docs.select("_path", "size_bytes", "mtime_unix_secs", "strategy_fingerprint", "total_chunks", "doc_id", F.posexplode_outer("_zipped").alias("chunk_index", "_at")).where(F.col("_at").isNotNull())
+    chunk = F.col("_at.chunk")
     return rows.select(
-        F.get("_ids", i).alias("id"),
+        F.col("_at.id").alias("id"),
         file_uri(F.col("_path")).alias("canonical_path"),
         "doc_id",
         F.lit(TENANT).alias("tenant_id"),
@@ -35,9 +43,9 @@ def point_rows(chunked: DataFrame, hash_name: str = "blake3") -> DataFrame:
         "size_bytes",
         "mtime_unix_secs",
         "chunk_index",
-        F.size("chunks").alias("total_chunks"),
-        F.get("_ids", i - 1).alias("previous_chunk_id"),
-        F.get("_ids", i + 1).alias("next_chunk_id"),
+        "total_chunks",
+        F.col("_at.previous").alias("previous_chunk_id"),
+        F.col("_at.next").alias("next_chunk_id"),
         chunk["start_byte"].alias("chunk_start_byte"),
         chunk["end_byte"].alias("chunk_end_byte"),
         chunk["char_len"].alias("chunk_char_len"),

@@ -9,6 +9,7 @@ import hashlib
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -38,25 +39,30 @@ class SemanticConfig:
         return f"semantic:v1|signal={self.signal}|metric={s.metric}|max={s.max_size}|min={s.min_size}|percentile={self.percentile}"
 
 
+@lru_cache(maxsize=1 << 16)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
 def hashed_words(texts: list[str], dimension: int = 64) -> np.ndarray:
     """Deterministic vectors without a model or a network: signed counts of words by hash."""
     out = np.zeros((len(texts), dimension), np.float32)
     for row, text in zip(out, texts, strict=True):
         for word in text.lower().split():
-            h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            h = _word_hash(word)
             row[h % dimension] += 1 if h >> 63 else -1
     return out
 
 
 def distances(vectors: Sequence[Sequence[float]]) -> list[float]:
     """1 less the cosine of neighbours, over the shorter of two vectors; a zero vector stays as it is."""
-    unit = []
-    for v in vectors:
-        v = np.asarray(v, np.float32)
-        norm = np.sqrt((v * v).sum(dtype=np.float32))
-        unit.append(v / norm if norm else v)
-    shared = [min(len(a), len(b)) for a, b in zip(unit, unit[1:], strict=False)]
-    return [float(np.float32(1) - np.dot(a[:k], b[:k])) for a, b, k in zip(unit, unit[1:], shared, strict=False)]
+    sizes = [len(v) for v in vectors]
+    rows = np.zeros((len(sizes), max(sizes, default=0)), np.float32)
+    for row, v, n in zip(rows, vectors, sizes, strict=True):
+        row[:n] = v  # zeros behind a shorter vector add nothing to a product
+    norms = np.sqrt((rows * rows).sum(1, dtype=np.float32, keepdims=True))
+    unit = np.divide(rows, norms, out=rows.copy(), where=norms != 0)
+    return (np.float32(1) - (unit[:-1] * unit[1:]).sum(1, dtype=np.float32)).tolist()
 
 
 def percentile(values: list[float], p: float) -> float:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import regex
 
 from .splitting import is_blank
@@ -13,6 +15,7 @@ _PARA = ("CR", "LF", "Sep")
 _QUICK = regex.compile(r"[\p{Sentence_Break=ATerm}\p{Sentence_Break=STerm}\p{Sentence_Break=CR}\p{Sentence_Break=LF}\p{Sentence_Break=Sep}]")
 
 
+@lru_cache(maxsize=1 << 14)
 def _class(c: str) -> str:
     m = _CLASS.match(c)
     return m.lastgroup if m else "Other"

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from functools import lru_cache
 from itertools import accumulate
 
+import regex
+
 from ..functions.recursive import RecursiveConfig
 from ..functions.text import WHITE, WHITE_CHARS
 
@@ -29,16 +31,64 @@ def default_token_ranks() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-@lru_cache(maxsize=2)
-def token_counter(ranks_path: str) -> Callable[[str], int]:
-    """The number of tokens of a text; the tokenizer is loaded once a process."""
-    import public_tokenizers
-    import tiktoken
+class TokenCounter:
+    """The number of tokens of texts, by merge ranks that are loaded once a process.
+
+    Tokens never cross the words that the pattern finds, so the counts of words add up; a worker remembers those of recent
+    words. Characters that versions of Unicode may see differently are left to the tokenizer's own pattern.
+    """
+
+    #: Words that are remembered.
+    MOST = 100_000
+    _SAFE = regex.compile("[\0-\x1b\x20-\u0557\u2000-\u2064\u3041-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]*+")
+
+    def __init__(self, ranks_path: str) -> None:
+        import public_tokenizers
+        import tiktoken
+
+        with open(ranks_path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self._encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._words = regex.compile(public_tokenizers.PATTERN)
+        self._memo: dict[str, int] = {}
+
+    def _word(self, word: str) -> int:
+        n = self._memo.get(word)
+        if n is None:
+            n = len(self._encoding.encode_ordinary(word))
+            if len(self._memo) >= self.MOST:
+                self._memo.clear()
+            if len(word) <= 64:
+                self._memo[word] = n
+        return n
+
+    def __call__(self, text: str) -> int:
+        if self._SAFE.fullmatch(text):
+            return sum(map(self._word, self._words.findall(text)))
+        return len(self._encoding.encode_ordinary(text))
 
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lru_cache(maxsize=1 << 12)(lambda text: len(encoding.encode_ordinary(text)))
+    def prefixes(self, text: str) -> Callable[[int], int]:
+        """A function from a place to the number of tokens of the text up to it.
+
+        What a word is depends on one character behind it, or on a word behind it if it is white space; so all words but
+        the last two before a place are those of the whole text, and only what follows them is counted anew.
+        """
+        if not self._SAFE.fullmatch(text):
+            return lambda at: self(text[:at])
+        words = self._words.findall(text)
+        ends = [0, *accumulate(map(len, words))]
+        sums = [0, *accumulate(map(self._word, words))]
+
+        def count(at: int) -> int:
+            k = max(0, bisect_right(ends, at) - 3)
+            return sums[k] + self(text[ends[k] : at])
+
+        return count
+
+
+@lru_cache(maxsize=2)
+def token_counter(ranks_path: str) -> TokenCounter:
+    return TokenCounter(ranks_path)
 
 
 def counter(config: RecursiveConfig) -> Callable[[str], int]:
@@ -84,9 +134,10 @@ class _Text:
         high = self._char(min(self.at[start] + 4 * most, self.at[-1]))
         if self.count is len:
             return min(start + most, high)
-        if self.count(self.text[start:high]) <= most:
+        size = self.count.prefixes(self.text[start:high]) if isinstance(self.count, TokenCounter) else lambda k: self.count(self.text[start : start + k])
+        if size(high - start) <= most:
             return high
-        return self._halve(start, high, lambda m: self.count(self.text[start:m]) <= most)[0]
+        return self._halve(start, high, lambda m: size(m - start) <= most)[0]
 
     def back(self, end: int, overlap: int) -> int:
         """Where the next chunk begins so that at most overlap units are repeated; never at the text's start."""
@@ -95,12 +146,27 @@ class _Text:
         return self._halve(0, end, lambda m: self.count(self.text[m:end]) > overlap)[1]
 
 
+def _last(window: str, *ends: str) -> int:
+    return max(window.rfind(e) for e in ends)
+
+
 def _chosen(text: str, start: int, end: int, least: int, count: Callable[[str], int]) -> tuple[int, str] | None:
     window = text[start:end]
-    for kind, pattern in _ENDS:
-        for k in sorted((m.start() for m in pattern.finditer(window)), reverse=True):
-            if k > 0 and (kind != "Paragraph" or k + 2 <= len(window)) and count(window[:k]) >= least:
-                return start + k, kind
+    if count is not len and least:  # a shorter text can have more tokens, so each place is tried
+        for kind, pattern in _ENDS:
+            for k in sorted((m.start() for m in pattern.finditer(window)), reverse=True):
+                if k > 0 and count(window[:k]) >= least:
+                    return start + k, kind
+        return None
+    least = max(least, 1)
+    if (k := window.rfind("\n\n")) >= least:
+        return start + k, "Paragraph"
+    if (k := window.rfind("\n") + 1) >= least:
+        return start + k, "Line"
+    if (k := _last(window, ". ", ".\n", "? ", "?\n", "! ", "!\n") + 1) >= least:
+        return start + k, "Line"
+    if (k := _last(window, " ", "\t") + 1) >= least:
+        return start + k, "Whitespace"
     return None
 
 

@@ -10,6 +10,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes on disk between which a table is dealt to all cores before its texts are worked on.
+SPREAD_FROM, SPREAD_TO = 4 << 20, 256 << 20
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents. A table of that size may be one row group, which one task reads: chunking costs far more than dealing
+    its rows out. Larger tables have tasks enough, and are not shuffled."""
+    docs = table(spark, sf_dir, "documents")
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.repartition(2 * spark.sparkContext.defaultParallelism) if SPREAD_FROM <= size <= SPREAD_TO else docs
+
+
 def path_column() -> Column:
     """A path for a document, of one of eight shapes by its id."""
     d, s = F.col("doc_id").cast("string"), F.col("source")
@@ -38,7 +50,7 @@ PATH_SQL = r"""CASE doc_id % 8
 
 def document_files(spark: SparkSession, sf_dir: str, plain: bool = False) -> DataFrame:
     """documents as files: canonical_path, size_bytes, mtime_unix_secs, text, doc_id. plain: all are text files."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     path = F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")) if plain else path_column()
     return docs.select("doc_id", path.alias("canonical_path"), F.octet_length("text").cast("long").alias("size_bytes"), (1_700_000_000 + F.col("doc_id")).alias("mtime_unix_secs"), "text")
 

@@ -20,7 +20,7 @@ from ..operators.routing import ChunkerConfig, bound_batches, router_fingerprint
 from ..operators.semantic import SemanticConfig
 from ..operators.sentences import sentences
 from ..operators.splitting import normalized
-from .inputs import OBSERVATIONS_SQL, PATH_SQL, document_files, observations, table
+from .inputs import OBSERVATIONS_SQL, PATH_SQL, document_files, documents, observations, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,10 +70,10 @@ chunks AS (
 _CHUNKS = "SELECT doc_id, chunk_index, boundary, start_byte, end_byte, char_len, chunk_text FROM chunks"
 
 
-def _recursive(name: str, config: RecursiveConfig, of: str = "documents") -> None:
+def _recursive(name: str, config: RecursiveConfig) -> None:
     @query(name, f"WITH RECURSIVE {chunks_cte(config.max_size, config.min_size)} {_CHUNKS}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return chunk_rows(table(spark, sf_dir, of), F.col("text"), config, ["doc_id"])
+        return chunk_rows(documents(spark, sf_dir), F.col("text"), config, ["doc_id"])
 
 
 _recursive("chunk_recursive_512", RecursiveConfig())
@@ -99,12 +99,12 @@ FROM steps WHERE chunk_index >= 0"""
 
 
 def exploded(chunked: DataFrame, keep: list[str]) -> DataFrame:
-    rows = chunked.select(*keep, F.explode("chunks").alias("_c"))
+    rows = chunked.select(*keep, F.explode_outer("chunks").alias("_c")).where(F.col("_c").isNotNull())
     return rows.select(*keep, F.col("_c.index").alias("chunk_index"), "_c.boundary", "_c.start_byte", "_c.end_byte", "_c.char_len", F.col("_c.text").alias("chunk_text"))
 
 
 def _single(spark: SparkSession, sf_dir: str, config: ChunkerConfig) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text", F.lit("").alias("canonical_path"))
+    docs = documents(spark, sf_dir).where("text <> ''").select("doc_id", "text", F.lit("").alias("canonical_path"))
     return exploded(with_chunks(docs, config), ["doc_id"])
 
 
@@ -121,7 +121,7 @@ def chunk_tokens_512(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("chunk_texts", f"WITH RECURSIVE {chunks_cte(512)} SELECT doc_id, list(chunk_text ORDER BY chunk_index) AS chunk_texts FROM chunks GROUP BY doc_id")
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the texts of a document's chunks, as the simplest call gives them."""
-    docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text", F.lit("").alias("canonical_path"))
+    docs = documents(spark, sf_dir).where("text <> ''").select("doc_id", "text", F.lit("").alias("canonical_path"))
     chunked = with_chunks(docs, ChunkerConfig(single="recursive"))
     return chunked.select("doc_id", F.transform("chunks", lambda c: c["text"]).alias("chunk_texts"))
 
@@ -143,7 +143,7 @@ def _wrapped(kind: str) -> Column:
 def _templated(name: str, strategy: str, kind: str, config: RecursiveConfig) -> None:
     @query(name)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", _wrapped(kind).alias("text"), F.lit("").alias("canonical_path"))
+        docs = documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", _wrapped(kind).alias("text"), F.lit("").alias("canonical_path"))
         return exploded(with_chunks(docs, ChunkerConfig(config, strategy)), ["doc_id"])
 
 
@@ -168,7 +168,7 @@ def code_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     i = F.col("doc_id").cast("string")
     text = F.concat(F.lit("use a;\n// "), i, F.lit("\nfn f"), i, F.lit("() { g(); }\nx"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(slabs(text)).alias("slab", "s"))
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(slabs(text)).alias("slab", "s"))
     return rows.select("doc_id", "slab", F.col("s.start").alias("slab_start"), F.col("s.end").alias("slab_end"))
 
 
@@ -180,7 +180,7 @@ def sentences_uax29(spark: SparkSession, sf_dir: str) -> DataFrame:
     def spans(texts: pa.Array) -> pa.Array:
         return pa.array([[{"start": a, "end": b} for a, b in sentences(normalized(t.as_py() or ""))] for t in texts], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(spans("text")).alias("sentence", "s")).where("s IS NOT NULL")
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(spans("text")).alias("sentence", "s")).where("s IS NOT NULL")
     return rows.select("doc_id", "sentence", F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"))
 
 
@@ -194,7 +194,7 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("normalize_newlines", "SELECT doc_id, regexp_replace('a' || chr(13) || chr(10) || text || chr(13) || 'b', '\\r\\n?', chr(10), 'g') AS normalized FROM documents")
 def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", normalize_newlines(F.concat(F.lit("a\r\n"), "text", F.lit("\rb"))).alias("normalized"))
+    return documents(spark, sf_dir).select("doc_id", normalize_newlines(F.concat(F.lit("a\r\n"), "text", F.lit("\rb"))).alias("normalized"))
 
 
 @query("path_to_uri", f"SELECT doc_id, replace({PATH_SQL}, '\\', '/') AS p, CASE WHEN contains(p, ':/') THEN 'file:///' || p WHEN starts_with(p, '/') THEN 'file://' || p ELSE 'file:///' || p END AS uri FROM documents")
@@ -238,7 +238,7 @@ def route_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN doc_id % 5 = 0 THEN 'failed to read utf-8 file' END AS error_message FROM documents""",
 )
 def invalid_utf8_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     content = F.when(F.col("doc_id") % 5 == 0, F.concat(F.unhex(F.lit("C328")), F.col("text").cast("binary"))).otherwise(F.col("text").cast("binary"))
     text, kind, message = utf8_text(F.col("content"))
     return docs.select("doc_id", content.alias("content")).select("doc_id", text.alias("text"), kind.alias("error_kind"), message.alias("error_message"))
@@ -247,7 +247,7 @@ def invalid_utf8_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("point_id_check", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'point id is empty' END AS error_message FROM documents")
 def point_id_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     identifier = F.when(F.col("doc_id") % 4 == 0, " 　\t").otherwise(F.concat(F.lit(" p"), F.col("doc_id").cast("string")))
-    return table(spark, sf_dir, "documents").select("doc_id", point_id_errors(identifier).alias("error_message"))
+    return documents(spark, sf_dir).select("doc_id", point_id_errors(identifier).alias("error_message"))
 
 
 @query(
@@ -260,7 +260,7 @@ def point_id_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def empty_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file without chunks still gives one."""
     text = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "two words").otherwise("  ")
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.lit("a.txt").alias("canonical_path"))
+    docs = documents(spark, sf_dir).select("doc_id", text.alias("text"), F.lit("a.txt").alias("canonical_path"))
     return with_chunks(docs, ChunkerConfig()).select("doc_id", F.size("chunks").alias("n_chunks"), F.get("chunks", F.lit(0))["boundary"].alias("boundary"))
 
 
@@ -328,7 +328,7 @@ def file_version_ids_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def embed_lookup_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with vectors from a table instead of a service."""
-    chunks = chunk_rows(table(spark, sf_dir, "documents"), F.col("text"), RecursiveConfig(), ["doc_id"])
+    chunks = chunk_rows(documents(spark, sf_dir), F.col("text"), RecursiveConfig(), ["doc_id"])
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", F.size("embedding").alias("dimension"))
     return join_vectors(chunks, vectors, "doc_id").select("doc_id", "chunk_index", "chunk_text", "label", "dimension")
 
@@ -399,7 +399,7 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stale_tail", f"WITH RECURSIVE {chunks_cte(512)}, sized AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM chunks) SELECT doc_id, chunk_index, chunk_text FROM sized WHERE chunk_index >= (n + 1) // 2")
 def stale_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points beyond the end of documents that now have half as many chunks, rounded up."""
-    chunks = chunk_rows(table(spark, sf_dir, "documents"), F.col("text"), RecursiveConfig(), ["doc_id"]).select("doc_id", "chunk_index", "chunk_text")
+    chunks = chunk_rows(documents(spark, sf_dir), F.col("text"), RecursiveConfig(), ["doc_id"]).select("doc_id", "chunk_index", "chunk_text")
     now = chunks.groupBy("doc_id").agg(F.floor((F.count(F.lit(1)) + 1) / 2).alias("total_chunks"))
     return planning.stale_tail(chunks, now)
 

@@ -149,3 +149,13 @@ def test_oldest_calls():
     assert legacy.chunk_text("para1\n\npara2") == ["para1", "para2"]
     assert legacy.chunk_document("abc", 10, 0, 10) == ([], "legacy:v0|broken")
     assert legacy.chunk_document("abc")[1] == "recursive:v1|metric=chars|tokenizer=chars|max=512|min=0|overlap=0"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(texts, st.text(max_size=40), st.lists(st.sampled_from([*ODD, "  ", "'re", "'", "l", "12", "_", "՘"]), max_size=40).map("".join)))
+def test_token_counts_equal_the_tokenizer(text):
+    count = token_counter(default_token_ranks())
+    plain = lambda t: len(count._encoding.encode_ordinary(t))
+    assert count(text) == plain(text)
+    prefix = count.prefixes(text)
+    assert [prefix(k) for k in range(len(text) + 1)] == [plain(text[:k]) for k in range(len(text) + 1)]
