@@ -271,3 +271,11 @@ def test_errors_keep_their_contexts():
     assert str(LoomError("config", "a").within("b").within(" ")) == "config: b: a" and str(LoomError("i/o")) == "i/o"
     with pytest.raises(ValueError):
         LoomError("odd")
+
+
+def test_main(capsys):
+    from sparkloom.__main__ import main
+
+    assert main(["--help"]) == 0 and "usage: sparkloom" in capsys.readouterr().out
+    assert main(["--version"]) == 0
+    assert main(["--nope"]) == 1 and "fatal: invalid input: unknown argument: --nope" in capsys.readouterr().err
