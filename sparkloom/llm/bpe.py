@@ -176,7 +176,7 @@ BLOCK = 1 << 18
 class Memo(dict):
     """What make gives for a word, for the words of late: two generations of at most most words each."""
 
-    def __init__(self, make, most: int = 120_000, longest: int = 48) -> None:  # noqa: ANN001
+    def __init__(self, make, most: int = 200_000, longest: int = 48) -> None:  # noqa: ANN001
         super().__init__()
         self.make, self.most, self.longest, self.old = make, most, longest, {}
 
