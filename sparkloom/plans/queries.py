@@ -118,12 +118,12 @@ def chunk_tokens_512(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _single(spark, sf_dir, ChunkerConfig(RecursiveConfig(512, metric="tokens"), "recursive"))
 
 
-@query("chunk_texts", f"WITH RECURSIVE {chunks_cte(512)} SELECT doc_id, list(chunk_text ORDER BY chunk_index) AS chunk_texts FROM chunks GROUP BY doc_id")
+@query("chunk_texts", f"WITH RECURSIVE {chunks_cte(512)} SELECT doc_id, string_agg(chunk_text, '|' ORDER BY chunk_index) AS chunk_texts FROM chunks GROUP BY doc_id")
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the texts of a document's chunks, as the simplest call gives them."""
+    """Only the texts of a document's chunks, as the simplest call gives them, joined."""
     docs = documents(spark, sf_dir).where("text <> ''").select("doc_id", "text", F.lit("").alias("canonical_path"))
     chunked = with_chunks(docs, ChunkerConfig(single="recursive"))
-    return chunked.select("doc_id", F.transform("chunks", lambda c: c["text"]).alias("chunk_texts"))
+    return chunked.select("doc_id", F.array_join(F.transform("chunks", lambda c: c["text"]), "|").alias("chunk_texts"))
 
 
 _TEMPLATES = {
@@ -155,8 +155,8 @@ _templated("code_chunks_python", "code:python", "python", RecursiveConfig(512))
 @query(
     "code_tiles",
     """WITH d AS (SELECT doc_id, 'use a;' || chr(10) || '// ' || doc_id || chr(10) AS head, 'fn f' || doc_id || '() { g(); }' AS decl, chr(10) || 'x' AS tail FROM documents)
-SELECT doc_id, unnest([0, 1, 2, 3]) AS slab, unnest([0, 6, length(head), length(head) + length(decl)]) AS slab_start,
-  unnest([6, length(head), length(head) + length(decl), length(head) + length(decl) + 2]) AS slab_end FROM d""",
+SELECT doc_id, unnest([0, 1, 2, 3]) AS slab, unnest([0, 6, length(head), length(head) + length(decl)])::INT AS slab_start,
+  unnest([6, length(head), length(head) + length(decl), length(head) + length(decl) + 2])::INT AS slab_end FROM d""",
 )
 def code_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declarations and the gaps around them cover a source text without holes."""
@@ -252,7 +252,7 @@ def point_id_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "empty_fallback",
-    """SELECT doc_id, len(kinds) AS n_chunks, kinds[1] AS boundary FROM (
+    """SELECT doc_id, len(kinds)::INT AS n_chunks, kinds[1] AS boundary FROM (
   SELECT doc_id, ['Forced'] AS kinds FROM documents WHERE doc_id % 3 = 0
   UNION ALL SELECT doc_id, ['Whitespace', 'Forced'] FROM documents WHERE doc_id % 3 = 1
   UNION ALL SELECT doc_id, ['Whitespace'] FROM documents WHERE doc_id % 3 = 2)""",
@@ -282,7 +282,7 @@ ids AS (
     FROM chunks c JOIN (SELECT doc_id, {_TEXT_PATH} AS path, strlen(text) AS size_bytes FROM documents) p USING (doc_id))
 )
 SELECT id, 'file://' || path AS canonical_path, sha256('file://' || path) AS doc_id, 'default' AS tenant_id, 'txt' AS file_extension, size_bytes, 1700000000 + doc_id AS mtime_unix_secs,
-  chunk_index, count(*) OVER (PARTITION BY path) AS total_chunks, lag(id) OVER w AS previous_chunk_id, lead(id) OVER w AS next_chunk_id,
+  chunk_index, (count(*) OVER (PARTITION BY path))::INT AS total_chunks, lag(id) OVER w AS previous_chunk_id, lead(id) OVER w AS next_chunk_id,
   start_byte AS chunk_start_byte, end_byte AS chunk_end_byte, char_len AS chunk_char_len, sha256(chunk_text) AS chunk_text_sha256, '{_FP}' AS strategy_fingerprint, chunk_text,
   sha256(chunk_text) AS chunk_text_sha2_256
 FROM ids WINDOW w AS (PARTITION BY path ORDER BY chunk_index)""",
@@ -324,7 +324,7 @@ def file_version_ids_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "embed_lookup_points",
-    f"WITH RECURSIVE {chunks_cte(512)} SELECT c.doc_id, c.chunk_index, c.chunk_text, e.label, len(e.embedding) AS dimension FROM chunks c JOIN embeddings e ON e.vec_id = c.doc_id",
+    f"WITH RECURSIVE {chunks_cte(512)} SELECT c.doc_id, c.chunk_index, c.chunk_text, e.label, len(e.embedding)::INT AS dimension FROM chunks c JOIN embeddings e ON e.vec_id = c.doc_id",
 )
 def embed_lookup_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with vectors from a table instead of a service."""
