@@ -85,10 +85,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     Rows that share a doc_id must share their text: of those that don't, each is taken as the mixture has the first of them.
     """
     took, size, cut, of_id, of_source = (unused_name(docs, f"mixing_{c}") for c in ("taken", "size", "cut", "id", "source"))
+    counted = unused_name(docs, "mixing_words")  # a column of its own: a join key that is an expression is worked out again and again
     decided = mixture(docs, **options).where("taken > 0").select(F.col("doc_id").alias(of_id), F.col("size").alias(size), F.col("source").alias(of_source), F.col("taken").alias(took))
     decided = written(decided.groupBy(of_id, of_source, size).agg(F.max(took).alias(took)), "mixture")
     # a merge join at every size: texts are shuffled alike, and hot keys are split
-    met = docs.join(decided.hint("merge"), docs["doc_id"].eqNullSafe(F.col(of_id)) & docs["source"].eqNullSafe(F.col(of_source)) & (word_count(docs["text"]) == F.col(size)))
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & F.col("source").eqNullSafe(F.col(of_source)) & (F.col(counted) == F.col(size))
+    met = docs.withColumn(counted, word_count(F.col("text"))).join(decided.hint("merge"), same)
     whole, rest = F.floor(F.col(took) / F.col(size)).cast("int"), F.col(took) % F.col(size)
     cuts = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     copies = met.withColumn(cut, F.explode(cuts))
