@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -73,10 +74,24 @@ def chunks(text: str, bits: int = 64) -> list[tuple[int, int, int]]:
 _CHUNK = pa.struct([("line", pa.int32()), ("n", pa.int32()), ("h", pa.int64())])
 
 
+def _lists(counts: list[int], columns: list[pa.Array], names: list[str]) -> pa.Array:
+    """Lists of structs from flat columns; counts: how many of their rows each list takes."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, names=names))
+
+
 def chunks_udf(bits: int = 64):  # noqa: ANN201
     @F.arrow_udf("array<struct<line:int,n:int,h:bigint>>")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([[{"line": a, "n": n, "h": h} for a, n, h in chunks(t.as_py() or "", bits)] for t in texts], pa.list_(_CHUNK))
+        counts, lines, sizes, hashes = [], array("i"), array("i"), array("q")
+        for t in texts:
+            found = chunks(t.as_py() or "", bits)
+            counts.append(len(found))
+            for a, n, h in found:
+                lines.append(a)
+                sizes.append(n)
+                hashes.append(h)
+        return _lists(counts, [pa.array(np.array(lines, np.int32)), pa.array(np.array(sizes, np.int32)), pa.array(np.array(hashes, np.int64))], ["line", "n", "h"])
 
     return of
 
