@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import key_slices, slice_of, small_batches, table, written
-from .simhash import BITS, _hash, bit_votes, block_masks, blocks_for, fingerprint, hex16
+from .simhash import BITS, hash_bytes, bit_votes, block_masks, blocks_for, fingerprint, hex16
 
 WIDTH, RADIUS = 5, 3
 #: Documents of a slice that one task orders and reads.
@@ -33,7 +33,7 @@ def weighted_fingerprint(terms: Mapping[str, int], seed: int = 42) -> int:
     """The fingerprint of terms with whole weights: a bit is 1 if the terms whose hash sets it have over half the weight."""
     if not terms:
         return 0
-    hashes = np.array([_hash(t.encode(), seed) for t in terms], dtype=np.uint64)
+    hashes = np.array([hash_bytes(t.encode(), seed) for t in terms], dtype=np.uint64)
     weights = np.array(list(terms.values()), dtype=np.int64)
     return int(np.packbits(2 * bit_votes(hashes, weights) > weights.sum(), bitorder="little").view("<u8")[0])
 

@@ -13,7 +13,7 @@ BITS = 64
 #: Shingle hashes that are unpacked into bits at a time: 64 bytes each.
 VOTES_AT_ONCE = 1 << 15
 
-_hash = xxhash.xxh64_intdigest
+hash_bytes = xxhash.xxh64_intdigest
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = 42, lower: bool = True, at_once: int = VOTES_AT_ONCE) -> Iterator[list[int]]:
@@ -26,12 +26,12 @@ def shingle_hashes(text: str | None, width: int, seed: int = 42, lower: bool = T
     if not words:
         return
     if len(words) < width:
-        yield [_hash(b" ".join(words), seed)]
+        yield [hash_bytes(b" ".join(words), seed)]
         return
     join = b" ".join
     for at in range(0, len(words) - width + 1, at_once):
         part = words[at : at + at_once + width - 1]
-        yield [_hash(join(x), seed) for x in zip(*(part[i:] for i in range(width)), strict=False)]
+        yield [hash_bytes(join(x), seed) for x in zip(*(part[i:] for i in range(width)), strict=False)]
 
 
 def bit_votes(hashes: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
