@@ -26,20 +26,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir; only where that is unset, below this machine's temporary folder."""
+    """A new path below spark.checkpoint.dir; only where that is unset and Spark runs on this machine alone, below its
+    temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "sparkloom-checkpoints")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders of tables that this process has written, in order; drop() takes them out.
+WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df, written once to the shared folder and read from there."""
+    """The rows of df, written once to the shared folder and read from there. The table stays until drop()."""
     path = shared_folder(df.sparkSession, label)
+    WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables that nothing will read any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
+
+
 #: Most rows, and about the most bytes, of texts that go to a Python worker in one Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 

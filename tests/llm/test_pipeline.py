@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sparkloom.llm import line_dedup, mixing
+from sparkloom.llm.common import WRITTEN
 from sparkloom.llm.simhash import fingerprint
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -85,7 +86,9 @@ def test_stages_take_effect_and_equal_brute_force(docs, folder, spark, tmp_path)
     library = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     want = sorted((str(r.doc_id), library.encode(r.text, add_special_tokens=False).ids, hashlib.sha256(r.text.encode()).hexdigest()) for r in kept[3])
     assert sorted((str(r.doc_id), r.ids, r.decoded_sha256) for r in kept[4]) == want
+    before = list(WRITTEN)
     assert sorted(map(str, corpus_pipeline.run(spark, d).collect())) == sorted(map(str, kept[4]))
+    assert len(WRITTEN) == len(before) + 1 and WRITTEN[: len(before)] == before  # only what the last stage reads stays
 
 
 def test_columns_of_any_name_pass_through(docs, spark, tmp_path):
