@@ -10,8 +10,10 @@ from __future__ import annotations
 import codecs
 import json
 import re
+import threading
+import time
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -180,6 +182,10 @@ class Memo(dict):
         super().__init__()
         self.make, self.most, self.longest, self.old = make, most, longest, {}
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
     def __missing__(self, word: str):  # noqa: ANN204
         found = self.old.get(word)
         if found is None:
@@ -193,6 +199,27 @@ class Memo(dict):
         return found
 
 
+class Idle:
+    """Forgets what a worker remembers once it has not been used for some seconds: Spark keeps workers for later tasks, and
+    until then their memory is wanted elsewhere. touch() is called at each use."""
+
+    def __init__(self, forget: Callable[[], None], after_s: float = 3.0) -> None:
+        self.forget, self.after_s, self.last = forget, after_s, 0.0
+        self._watch: threading.Thread | None = None
+
+    def touch(self) -> None:
+        self.last = time.monotonic()
+        if self._watch is None:
+            self._watch = threading.Thread(target=self._wait, daemon=True)
+            self._watch.start()
+
+    def _wait(self) -> None:
+        while (left := self.last + self.after_s - time.monotonic()) > 0:
+            time.sleep(left)
+        self._watch = None
+        self.forget()
+
+
 class WordTokenizer:
     """A tokenizer file as its library applies it: special strings, normalisation, words; byte-pair merges are MergeTable's."""
 
@@ -214,6 +241,7 @@ class WordTokenizer:
         self.keeps_space = kinds == ["ByteLevel"]
         self._latin, self._other = _patterns(self.keeps_space)
         self._memo = Memo(self._encode_word)
+        self._idle = Idle(self._memo.forget)
         self._library = None
         self.text_of = list(self.table.bytes)
         for content, i in self.special.items():
@@ -281,6 +309,7 @@ class WordTokenizer:
 
     def encode(self, text: str) -> Iterator[list[int]]:
         """The ids of a text in lists of bounded length (but for words longer than a block)."""
+        self._idle.touch()
         word_ids = self._memo.__getitem__
         for piece, special in self.pieces(text):
             if special is not None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Memo, WordTokenizer, byte_symbols
+from .bpe import Idle, Memo, WordTokenizer, byte_symbols
 from .common import key_slices, shared_folder, slice_of, small_batches, table, written
 from .files import open_map, whole_file
 
@@ -51,6 +51,7 @@ class LibraryEncoder:
         self.dtype = "<u2" if self.library.get_vocab_size(True) <= 1 << 16 else "<u4"
         self._symbols = byte_symbols()
         self._memo = Memo(self._word, MEMO_WORDS)
+        self._idle = Idle(self._memo.forget)
 
     def _word(self, word: str) -> bytes:
         symbols = word if word.isascii() and word.isprintable() and " " not in word else "".join(map(self._symbols.__getitem__, word.encode()))
@@ -60,6 +61,7 @@ class LibraryEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
+        self._idle.touch()
         if not text.isascii():
             try:
                 text.encode("latin-1")

@@ -14,10 +14,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-from .bpe import BLOCK, Memo, MergeTable, WordTokenizer, load
+from .bpe import Idle, Memo, MergeTable, WordTokenizer, load
 
 #: Symbols of a word's last byte are numbered from here, as they differ from others.
 LAST = 256
+#: Characters of a chunk, of which a long text has many.
+CHUNK = 1 << 14
 #: States that are kept before they are compiled anew.
 STATES = 150_000
 
@@ -51,7 +53,7 @@ class Transducer:
             if whole is not None:
                 (self.outer if whole else self.inner)[table.bytes[token]] = token
         self.starts = {t[:k] for t in (*self.inner, *self.outer) for k in range(1, len(t))}
-        self._reset()
+        self.reset()
 
     def _alone(self, token: int) -> bool | None:
         """Whether a token ends a word, if its own bytes give it back; None for a token that no text gives."""
@@ -61,7 +63,7 @@ class Transducer:
             return False
         return True if table.merge([*inner[:-1], table.final[raw[-1]]]) == [token] else None
 
-    def _reset(self) -> None:
+    def reset(self) -> None:
         self.states: dict[tuple, State] = {}
         self.pairs: dict[int, bool] = {}
         self.points: dict[tuple[int, int], tuple[int, int]] = {}  # so that states share them
@@ -107,7 +109,7 @@ class Transducer:
     def count(self, word: bytes) -> int:
         """Tokens of a word."""
         if len(self.states) > self.most:
-            self._reset()
+            self.reset()
         state, n = self.start, 0
         for b in word[:-1]:
             state, emitted = state[b]
@@ -132,10 +134,15 @@ class ChunkMap:
 class Counter:
     """Counts the tokens of texts. A text is cut into chunks; their maps are composed by a parallel prefix scan."""
 
-    def __init__(self, tokenizer: WordTokenizer, chunk: int = BLOCK) -> None:
+    def __init__(self, tokenizer: WordTokenizer, chunk: int = CHUNK) -> None:
         self.tokenizer, self.chunk = tokenizer, chunk
         self.machine = Transducer(tokenizer.table)
         self._memo = Memo(lambda word: self.machine.count(word.encode("utf-8", "surrogateescape")))
+        self._idle = Idle(self._forget)
+
+    def _forget(self) -> None:
+        self._memo.forget()
+        self.machine.reset()  # a word that is on its way goes on with the states that it holds
 
     def words(self, text: str) -> int:
         """Tokens of a stretch that has no part in words outside."""
@@ -167,6 +174,7 @@ class Counter:
             yield text[at : at + self.chunk]
 
     def count(self, text: str | None) -> int:
+        self._idle.touch()
         total = 0
         for piece, special in self.tokenizer.pieces(text or ""):
             if special is not None:

@@ -37,7 +37,7 @@ def test_encoding_and_decoding_equal_the_library(path, text):
 def test_counts_equal_the_library_however_texts_are_cut(text, chunk):
     shared = transducer.counter(WORD)
     cut = transducer.Counter.__new__(transducer.Counter)
-    cut.tokenizer, cut.chunk, cut.machine, cut._memo = shared.tokenizer, chunk, shared.machine, shared._memo
+    cut.tokenizer, cut.chunk, cut.machine, cut._memo, cut._idle = shared.tokenizer, chunk, shared.machine, shared._memo, shared._idle
     assert shared.count(text) == cut.count(text) == len(ids(WORD, text))
 
 
@@ -137,3 +137,17 @@ def test_empty_tables(docs, folder, spark):
 def test_remembered_words_equal_the_library(path, text):
     encoder = token_files.library_encoder(path)
     assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == ids(path, text)
+
+
+def test_idle_workers_forget(monkeypatch):
+    import time
+
+    counter, tok, encoder = transducer.Counter(bpe.WordTokenizer(WORD)), bpe.WordTokenizer(BYTE), token_files.LibraryEncoder(WORD)
+    for x in (counter, tok, encoder):
+        x._idle.after_s = 0.2
+    use = lambda: (counter.count("some words here"), list(tok.encode("some words here")), encoder.encode("some words here"))
+    before = use()
+    assert counter._memo and tok._memo and encoder._memo
+    time.sleep(0.6)
+    assert not (counter._memo or tok._memo or encoder._memo) and tok._idle._watch is None
+    assert len(counter.machine.states) == 1 and use() == before and tok._memo
