@@ -36,16 +36,28 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Files of a small table, where there are few cores, and bytes of a file of others, at least.
+LEAST_FILES, FILE_BYTES = 24, 32 << 20
 #: Folders of tables that this process has written, in order; drop() takes them out.
 WRITTEN: list[str] = []
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df, written once to the shared folder and read from there. The table stays until drop()."""
-    path = shared_folder(df.sparkSession, label)
+def written(df: DataFrame, label: str, thin: bool = False) -> DataFrame:
+    """The rows of df, written once to the shared folder and read from there. The table stays until drop().
+
+    Small tables get few files: some for each core, or more if the plan's estimate gives each FILE_BYTES. thin: a table of few
+    bytes a row that a shuffle has made, which gets some for each core whatever the estimate, as that may be far too high.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, label)
     WRITTEN.append(path)
+    files = max(LEAST_FILES, 4 * spark.sparkContext.defaultParallelism)
+    if not thin:
+        files = max(files, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // FILE_BYTES)
+    if files < 1 << 31:
+        df = df.coalesce(files)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:

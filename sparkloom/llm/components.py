@@ -14,8 +14,8 @@ def _round(edges: DataFrame, large: bool) -> DataFrame:
         out = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         out = edges
-    out = written(out, "star-edges")
-    least = written(out.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "star-least")
+    out = written(out, "star-edges", thin=True)
+    least = written(out.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "star-least", thin=True)
     if large:
         new = out.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -31,11 +31,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     lo, hi = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
     now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(hi.alias("a"), lo.alias("b")).where("a > b").distinct()
-    now = written(now, "links")
+    now = written(now, "links", thin=True)
     seen = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             return now
         seen = mark
-        now = written(_round(written(_round(now, True), "large-star"), False), "small-star")
+        now = written(_round(written(_round(now, True), "large-star", thin=True), False), "small-star", thin=True)

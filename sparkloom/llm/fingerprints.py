@@ -162,7 +162,7 @@ def find_within(queries: DataFrame, counted: DataFrame, radius: int = RADIUS, bl
         return df.select("fp", n.alias("n"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
 
     data, asked = keyed(counted, F.col("n")), keyed(queries, F.lit(-1).cast("long"))
-    hot = written(data.groupBy("t", "key").count().where(F.col("count") > tile).select("t", "key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "hot-blocks")
+    hot = written(data.groupBy("t", "key").count().where(F.col("count") > tile).select("t", "key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "hot-blocks", thin=True)
     if hot.isEmpty():
         both = data.unionByName(asked).withColumn("tile", F.lit(0))
     else:
@@ -178,8 +178,8 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixed columns, and n_within: for ids divisible by 50, how many other documents are within RADIUS bits; else null."""
     rows = written(neighbour_fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
     asks = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
-    counted = written(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
-    found = written(find_within(rows.where(asks).select("fp").distinct(), counted), "within-radius")
+    counted = written(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct-fingerprints", thin=True)
+    found = written(find_within(rows.where(asks).select("fp").distinct(), counted), "within-radius", thin=True)
     out = ["doc_id", "n_chars", "edited_sha256", hex16(F.col("fp")).alias("fingerprint"), hex16(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next"]
     asked = rows.where(asks).join(found, "fp", "left").select(*out, (F.col("n") - 1).alias("n_within"))
     return asked.unionByName(rows.where(~asks).select(*out, F.lit(None).cast("long").alias("n_within")))

@@ -186,24 +186,24 @@ def _met(docs: DataFrame, doc_id: str, text: str, bits: int) -> tuple[DataFrame,
     thin = docs.select(key.alias("id"), F.explode(chunks_udf(bits)(F.col(f"`{text}`"))).alias("c")).select("id", "c.*")
     thin = written(thin, "line-chunks")
     firsts = thin.groupBy("h").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    firsts = written(firsts.select("h", "first"), "repeated-chunks")
+    firsts = written(firsts.select("h", "first"), "repeated-chunks", thin=True)
     here = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line"))
     found = thin.join(firsts, "h").select("id", F.struct("line", "n", "h", (~here).alias("again")).alias("o"))
-    found = written(found.groupBy("id").agg(F.collect_list("o").alias("found")).select(F.col("id").alias("_id"), F.col("found").alias("_found")), "occurrences")
+    found = written(found.groupBy("id").agg(F.collect_list("o").alias("found")).select(F.col("id").alias("_id"), F.col("found").alias("_found")), "occurrences", thin=True)
     occurrences, row_id = unused_name(docs, "occurrences"), unused_name(docs, "occurrence_id")
     found = found.withColumnsRenamed({"_found": occurrences, "_id": row_id})
     met = written(docs.join(found, key.eqNullSafe(F.col(row_id)), "left").drop(row_id), "documents-met")
 
     o, t = F.col(occurrences), F.col(f"`{text}`")
     seen = met.where(F.size(o) > 0).select(key.alias("id"), F.explode(_bytes_udf(bits)(t, o)).alias("c")).select("id", "c.*")
-    different = written(seen.groupBy("h", "bytes").agg(F.count(F.lit(1)).alias("times")).groupBy("h").agg(F.count(F.lit(1)).alias("strings")).where("strings > 1").select("h"), "different-bytes")
+    different = written(seen.groupBy("h", "bytes").agg(F.count(F.lit(1)).alias("times")).groupBy("h").agg(F.count(F.lit(1)).alias("strings")).where("strings > 1").select("h"), "different-bytes", thin=True)
     if different.isEmpty():
         again = F.filter(o, lambda x: x["again"])
     else:  # hashes that different bytes share: first occurrences by their bytes
         shared = written(seen.join(different, "h", "left_semi"), "shared-hashes")
-        by_bytes = written(shared.groupBy("h", "bytes").agg(F.min(F.struct("id", "line")).alias("first")), "firsts-by-bytes")
+        by_bytes = written(shared.groupBy("h", "bytes").agg(F.min(F.struct("id", "line")).alias("first")), "firsts-by-bytes", thin=True)
         exact = shared.join(by_bytes, ["h", "bytes"]).select("id", F.struct("line", "n", "h", (~here).alias("again")).alias("o")).distinct()
-        exact = written(exact.groupBy("id").agg(F.collect_list("o").alias("_exact")).withColumnRenamed("id", "_id"), "decided-by-bytes")
+        exact = written(exact.groupBy("id").agg(F.collect_list("o").alias("_exact")).withColumnRenamed("id", "_id"), "decided-by-bytes", thin=True)
         met = met.join(exact, key.eqNullSafe(F.col("_id")), "left")
         decided = F.coalesce(F.col("_exact"), F.filter(o, lambda x: F.lit(False)))
         same = lambda x, y: (x["line"] == y["line"]) & (x["n"] == y["n"]) & (x["h"] == y["h"])

@@ -69,7 +69,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction
     starts = sliced.groupBy("source", "part").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
-    starts = written(starts, "slice-starts")
+    starts = written(starts, "slice-starts", thin=True)
     within = Window.partitionBy("part", "source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     summed = sliced.repartition(F.col("part")).withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = summed.join(starts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     took, size, cut, of_id, of_source = (unused_name(docs, f"mixing_{c}") for c in ("taken", "size", "cut", "id", "source"))
     counted = unused_name(docs, "mixing_words")  # a column of its own: a join key that is an expression is worked out again and again
     decided = mixture(docs, **options).where("taken > 0").select(F.col("doc_id").alias(of_id), F.col("size").alias(size), F.col("source").alias(of_source), F.col("taken").alias(took))
-    decided = written(decided.groupBy(of_id, of_source, size).agg(F.max(took).alias(took)), "mixture")
+    decided = written(decided.groupBy(of_id, of_source, size).agg(F.max(took).alias(took)), "mixture", thin=True)
     # a merge join at every size: texts are shuffled alike, and hot keys are split
     same = F.col("doc_id").eqNullSafe(F.col(of_id)) & F.col("source").eqNullSafe(F.col(of_source)) & (F.col(counted) == F.col(size))
     met = docs.withColumn(counted, word_count(F.col("text"))).join(decided.hint("merge"), same)

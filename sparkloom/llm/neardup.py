@@ -66,7 +66,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, blocks: int | None =
         blocks = blocks_for(distinct.count(), radius)
     masks = block_masks(radius, blocks)
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
-    hot = written(keyed.groupBy("t", "key").count().where(F.col("count") > tile).select("t", "key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "hot-keys")
+    hot = written(keyed.groupBy("t", "key").count().where(F.col("count") > tile).select("t", "key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "hot-keys", thin=True)
     if hot.isEmpty():
         groups = keyed.select(F.xxhash64("t", "key").alias("g"), "fp")
     else:
@@ -81,16 +81,16 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, blocks: int | None =
 def simhash_components(fingerprints: DataFrame, radius: int = 3, doc_id: str = "doc_id", fp: str = "fp") -> DataFrame:
     """(doc_id, fp, component_id) for each row of a written table of fingerprints; fp must not be null."""
     rows = fingerprints.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"))
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints", thin=True)
     joined = components(fingerprint_links(distinct.select("fp"), radius))
     if joined.isEmpty():
         labels = distinct.select("fp", F.col("least").alias("component_id"))
     else:
         member = joined.select(F.col("a").alias("fp"), F.col("b").alias("root"))
-        rooted = written(distinct.join(member, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-        least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+        rooted = written(distinct.join(member, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted", thin=True)
+        least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids", thin=True)
         labels = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(written(labels, "labels"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(written(labels, "labels", thin=True), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, lower: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -107,7 +107,7 @@ def keep_representatives(docs: DataFrame, radius: int = 3, width: int = 3) -> Da
     """
     found, name = near_duplicates(docs, width, radius), unused_name(docs, "gone")
     gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(written(gone, "near-copies"), docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")
+    return docs.join(written(gone, "near-copies", thin=True), docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")
 
 
 def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,13 +22,13 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,7 +195,7 @@ def write_archives(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES
     spark = pages.sparkSession
     small_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    shared = written(response_of(rows), "shared-payloads")
+    shared = written(response_of(rows), "shared-payloads", thin=True)
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     if shared.isEmpty():
         rows = rows.withColumn("refers_to", F.lit(None).cast("long")).withColumn("shares", F.lit(False))
@@ -206,7 +206,7 @@ def write_archives(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        path = f"{folder}/{TaskContext.get().partitionId():07d}.warc.zst"
+        path = f"{folder}/{uuid.uuid4().hex}.warc.zst"  # a task may hold several partitions; a repeated one writes anew
         seen: dict[int | None, int] = {}
         with whole_file(path) as out:
             archive = ArchiveWriter(out, frame_bytes)
