@@ -1,11 +1,11 @@
 """Removes passages that repeat across documents, as content-defined chunks of lines.
 
 A line here ends at a newline, or at a sentence end with a space after it, so that a passage inside a long line has lines
-of its own. A rolling hash over the hashes of the last two lines chooses chunk boundaries; it sees nothing else, so a
-passage is cut alike wherever it stands. Two such cuts with different multipliers are made, since each loses the lines
-up to its first boundary in a passage. A chunk of at least two lines and LEAST_WORDS words that occurs again anywhere,
-in either cut, is removed everywhere but at its first occurrence, by (doc_id, position). Every removed line stays in
-some document: the one with the first occurrence of its chunk, or one before that.
+of its own. Each line starts a chunk, the fewest lines from it on that have LEAST_WORDS words, and each line ends one, the
+fewest lines up to it that have as many. A chunk depends on its own lines only, so a passage is cut alike wherever it
+stands, and the chunks inside it cover it from its first line to its last: a passage of LEAST_WORDS words leaves no line.
+A chunk that occurs again anywhere is removed everywhere but at its first occurrence, by (doc_id, position). Every removed
+line stays in some document: the one with the first occurrence of its chunk, or one before that.
 
 1. Beside the scan, each document gives (line, number of lines, 64-bit hash) for its chunks; this thin table is written.
 2. Hashes that occur twice get their first occurrence by a partial aggregate, and meet their occurrences in a join of two
@@ -33,11 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table, unused_name, written
 
-#: One line of so many ends a chunk, on average.
-LINES_A_CHUNK = 2
-LEAST_LINES, LEAST_WORDS = 2, 10
-#: Odd multipliers, one for each cut.
-CUTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: A chunk has the fewest lines with so many words.
+LEAST_WORDS = 10
 
 _END = re.compile(r"\n|[.!?] ")
 _hash = xxhash.xxh64_intdigest
@@ -52,23 +49,21 @@ def line_ends(text: str) -> list[int]:
 
 
 def chunks(text: str, bits: int = 64) -> list[tuple[int, int, int]]:
-    """(first line, lines, hash as a signed long) of the chunks of a text that are large enough, without repeats."""
+    """(first line, lines, hash as a signed long) of the chunks of a text, without repeats."""
     ends = line_ends(text)
-    if len(ends) < LEAST_LINES:
-        return []
     raw = [text[a:b].encode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends, strict=False)]
-    hashes = np.fromiter(map(_hash, raw), np.uint64, len(raw))
-    words = np.r_[0, np.cumsum([len(x.split()) for x in raw])]
-    rolled = hashes.copy()
-    rolled[1:] ^= hashes[:-1] << np.uint64(1) | hashes[:-1] >> np.uint64(63)
-    found = set()
-    for factor in CUTS:
-        cut = np.flatnonzero((rolled * np.uint64(factor) >> np.uint64(33)) % np.uint64(LINES_A_CHUNK) == 0) + 1
-        cut = np.unique(np.r_[0, cut, len(raw)])
-        large = (np.diff(cut) >= LEAST_LINES) & (np.diff(words[cut]) >= LEAST_WORDS)
-        found.update(zip(cut[:-1][large].tolist(), cut[1:][large].tolist(), strict=True))
-    mask = (1 << bits) - 1
-    return [(a, b - a, (_hash(b"".join(raw[a:b])) & mask) - (1 << 63)) for a, b in sorted(found)]
+    words = np.r_[0, np.cumsum([len(x.split()) for x in raw], dtype=np.int64)]
+    if words[-1] < LEAST_WORDS:
+        return []
+    stop = np.searchsorted(words, words[:-1] + LEAST_WORDS)
+    start = np.searchsorted(words, words[1:] - LEAST_WORDS, "right") - 1
+    lines = np.arange(len(raw))
+    from_each = (lines * (len(raw) + 1) + stop)[stop <= len(raw)]
+    to_each = (start * (len(raw) + 1) + lines + 1)[start >= 0]
+    first, last = (x.tolist() for x in np.divmod(np.unique(np.r_[from_each, to_each]), len(raw) + 1))
+    at = np.r_[0, np.cumsum([len(x) for x in raw])].tolist()
+    data, mask = b"".join(raw), (1 << bits) - 1
+    return [(a, b - a, (_hash(data[at[a] : at[b]]) & mask) - (1 << 63)) for a, b in zip(first, last, strict=True)]
 
 
 _CHUNK = pa.struct([("line", pa.int32()), ("n", pa.int32()), ("h", pa.int64())])

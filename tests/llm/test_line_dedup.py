@@ -95,3 +95,21 @@ def test_most_of_a_shared_passage_goes_wherever_it_stands(docs):
     ends = [0, *ld.line_ends(passage)]
     left = [sum(passage[a:b] in kept[i] for a, b in zip(ends, ends[1:])) for i in range(1, 30)]
     assert sum(left) / len(left) < 7
+
+
+@pytest.mark.parametrize("lines", [1, 2, 3, 4, 5])
+def test_short_passages_go_whole_wherever_they_stand(docs, lines):
+    rng = random.Random(lines)
+    words = [f"w{i}" for i in range(4000)]
+    line = lambda n: " ".join(rng.choices(words, k=n)) + rng.choice([". ", ".\n"])
+    rows, passages = [], []
+    for i in range(60):
+        n = rng.randint(51, 80)
+        cuts = [0, *sorted(rng.sample(range(1, n), lines - 1)), n]
+        passages.append("".join(line(b - a) for a, b in zip(cuts, cuts[1:])))
+        for j in (2 * i, 2 * i + 1):
+            rows.append((j, "".join(line(8) for _ in range(rng.randint(1, 9))) + passages[-1] + "".join(line(8) for _ in range(rng.randint(1, 9)))))
+    kept = {r.doc_id: r.text for r in ld.remove_repeated(docs(rows)).collect()}
+    for i, p in enumerate(passages):
+        assert kept[2 * i] == rows[2 * i][1]
+        assert kept[2 * i + 1] == rows[2 * i + 1][1].replace(p, "")
