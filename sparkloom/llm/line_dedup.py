@@ -4,6 +4,7 @@ A line here ends at a newline, or at a sentence end with a space after it, so th
 of its own. Each line starts a chunk, the fewest lines from it on that have LEAST_WORDS words, and each line ends one, the
 fewest lines up to it that have as many. A chunk depends on its own lines only, so a passage is cut alike wherever it
 stands, and the chunks inside it cover it from its first line to its last: a passage of LEAST_WORDS words leaves no line.
+A text of fewer words is one chunk, so the chunks tile any text with words, and an exact copy leaves nothing.
 A chunk that occurs again anywhere is removed everywhere but at its first occurrence, by (doc_id, position). Every removed
 line stays in some document: the one with the first occurrence of its chunk, or one before that.
 
@@ -53,8 +54,8 @@ def chunks(text: str, bits: int = 64) -> list[tuple[int, int, int]]:
     ends = line_ends(text)
     raw = [text[a:b].encode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends, strict=False)]
     words = np.r_[0, np.cumsum([len(x.split()) for x in raw], dtype=np.int64)]
-    if words[-1] < LEAST_WORDS:
-        return []
+    if words[-1] < LEAST_WORDS:  # a copy of a short text goes too; a text without words stays
+        return [(0, len(raw), (_hash(b"".join(raw)) & ((1 << bits) - 1)) - (1 << 63))] if words[-1] else []
     stop = np.searchsorted(words, words[:-1] + LEAST_WORDS)
     start = np.searchsorted(words, words[1:] - LEAST_WORDS, "right") - 1
     lines = np.arange(len(raw))

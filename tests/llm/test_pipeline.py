@@ -91,6 +91,17 @@ def test_stages_take_effect_and_equal_brute_force(docs, folder, spark, tmp_path)
     assert len(WRITTEN) == len(before) + 1 and WRITTEN[: len(before)] == before  # only what the last stage reads stays
 
 
+def test_exact_copies_leave_nothing(docs, folder, spark):
+    rows = corpus()
+    short = [(400, "Three words only", "a"), (401, "Two. Lines.\n", "b")]
+    rows += short + [(i + 100, *r) for i, *r in short] + [(150 + i, rows[i][1], "c") for i in range(5, 45)]
+    copies = {*range(100, 105), *range(155, 195), 500, 501}
+    assert copies < {r[0] for r in rows}
+    left = {r.doc_id for r in line_dedup.remove_repeated(docs(rows)).collect()}
+    assert not left & copies and left >= {*range(45), 400, 401}
+    assert not {r.doc_id for r in corpus_pipeline.run(spark, folder(documents=docs(rows))).collect()} & copies
+
+
 def test_columns_of_any_name_pass_through(docs, spark, tmp_path):
     names = ["gone", "_gone", "_id", "_source", "spans", "kept", "occurrences", "key", "taken", "size", "cut", "mixing_cut", "n_words", "tmp_w", "h", "id", "fp", "component_id", "found", "target", "ids"]
     rows = [r for r in corpus() if r[0] is None or r[0] < 110]
