@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from ..functions.recursive import RecursiveConfig, chunk_rows
 from ..functions.text import WHITE_CHARS, file_uri, normalize_newlines, payload_extension, point_id_errors, utf8_text
 from ..functions.vectors import merge_small_groups, neighbour_distances, semantic_groups
 from ..operators import planning, summary
-from ..operators.code import declarations, tiles
+from ..operators.code import LANGUAGES, declarations, tiles
 from ..operators.embedding import LocalProvider
 from ..operators.points import join_vectors, point_rows, with_vectors
 from ..operators.routing import ChunkerConfig, bound_batches, router_fingerprint, routes, strategy_of, with_chunks
@@ -126,30 +127,47 @@ def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked.select("doc_id", F.array_join(F.transform("chunks", lambda c: c["text"]), "|").alias("chunk_texts"))
 
 
-_TEMPLATES = {
-    "markdown": ("# Part ", "\n\n", "\n\n- one\n- two\n\n```\ncode\n```\n\nSetext\n---\n\n", "\n"),
-    "rust": ("use std::fmt;\n// ", "\nfn a() { let c = '{'; }\n/* ", " */\nstruct S { x: u8 }\n", "\n"),
-    "python": ("import os\n", "\ndef f(x):\n    return '", "'\n\nclass A:\n    pass\n", "\n"),
+#: For each language: how a comment begins; what stands before the comments, before the literals, between them, after them.
+_CODE = {
+    "rust": ("//", "use std::fmt;\n", "\nfn a() { let c = '{'; }\nconst B: &[&str] = &[\n  ", ",\n  ", "\n];\nstruct S { x: u8 }\n"),
+    "python": ("#", "import os\n", "\ndef f(x):\n    return [\n        ", ",\n        ", "\n    ]\n\nclass A:\n    pass\n"),
+    "javascript": ("//", "import a from 'a';\n", "\nfunction f(x) {\n  return [\n    ", ",\n    ", "\n  ];\n}\n\nclass A {\n  g() { return '{'; }\n}\n"),
+    "typescript": ("//", "import a from 'a';\n", "\nfunction f(x: number): string[] {\n  return [\n    ", ",\n    ", "\n  ];\n}\n\ninterface A { x: string }\n"),
+    "tsx": ("//", "import a from 'a';\n", "\nfunction f(x: number): string[] {\n  return [\n    ", ",\n    ", "\n  ];\n}\n\nfunction B() { return <p>it's</p>; }\n"),
+    "go": ("//", 'package a\n\nimport "fmt"\n', "\nfunc f() []string {\n\treturn []string{\n\t\t", ",\n\t\t", ",\n\t}\n}\n\ntype S struct { x int }\n"),
+    "java": ("//", "import java.util.List;\n", "\nclass A {\n  String[] b = {\n    ", ",\n    ", "\n  };\n  char c = '{';\n}\n\ninterface B { void g(); }\n"),
+    "c": ("//", "#include <stdio.h>\n", "\nconst char *a[] = {\n  ", ",\n  ", "\n};\n\nint f(int x) { return '{' + x; }\n"),
+    "cpp": ("//", "#include <vector>\n", "\nnamespace a {\nconst char *b[] = {\n  ", ",\n  ", "\n};\n}\n\nclass S { int x; };\n"),
+    "ruby": ("#", "require 'set'\n", "\ndef f\n  [\n    ", ",\n    ", "\n  ]\nend\n\nclass A\nend\n"),
+    "bash": ("#", "set -e\n", "\nf() {\n  echo ", "\n  echo ", '\n}\n\ng() { echo "}"; }\n'),
 }
+_NEWLINE = r"\r\n?|\n"
 
 
-def _wrapped(kind: str) -> Column:
-    """Texts of a kind that hold a document's first line and its text."""
-    a, b, c, d = map(F.lit, _TEMPLATES[kind])
+def _markdown() -> Column:
+    """Markdown that holds a document's first line and its text."""
     line = F.regexp_replace(F.substring_index("text", "\n", 1), r"[^\p{L} ]", "")
-    return F.concat(a, F.col("doc_id").cast("string"), b, line, c, F.col("text") if kind == "markdown" else line, d)
+    return F.concat(F.lit("# Part "), F.col("doc_id").cast("string"), F.lit("\n\n"), line, F.lit("\n\n- one\n- two\n\n```\ncode\n```\n\nSetext\n---\n\n"), F.col("text"), F.lit("\n"))
 
 
-def _templated(name: str, strategy: str, kind: str, config: RecursiveConfig) -> None:
+def _code(language: str) -> Column:
+    """Code that holds a document's whole text twice: each line as a comment, and each as a string literal."""
+    mark, head, before, between, after = _CODE[language]
+    comments = F.regexp_replace("text", _NEWLINE, f"\n{mark} ")
+    literals = F.regexp_replace(F.regexp_replace("text", r'([\\"])', r"\\$1"), _NEWLINE, f'"{between}"')
+    return F.concat(F.lit(f"{head}{mark} "), F.col("doc_id").cast("string"), F.lit(f"\n{mark} "), comments, F.lit(f'{before}"'), literals, F.lit(f'"{after}'))
+
+
+def _templated(name: str, strategy: str, text: Callable[[], Column], config: RecursiveConfig) -> None:
     @query(name)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", _wrapped(kind).alias("text"), F.lit("").alias("canonical_path"))
+        docs = documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", text().alias("text"), F.lit("").alias("canonical_path"))
         return exploded(with_chunks(docs, ChunkerConfig(config, strategy)), ["doc_id"])
 
 
-_templated("markdown_chunks", "markdown", "markdown", RecursiveConfig(512))
-_templated("code_chunks_rust", "code:rust", "rust", RecursiveConfig(512))
-_templated("code_chunks_python", "code:python", "python", RecursiveConfig(512))
+_templated("markdown_chunks", "markdown", _markdown, RecursiveConfig(512))
+for _language in LANGUAGES:
+    _templated(f"code_chunks_{_language}", f"code:{_language}", partial(_code, _language), RecursiveConfig(512))
 
 
 @query(

@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from sparkloom.operators.code import LANGUAGES
 from sparkloom.plans.queries import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
@@ -31,6 +32,21 @@ def test_query(spark, db, name):
         assert sorted(map(repr, found.select(*columns).fetchall())) == rows
 
 
+@pytest.mark.parametrize("language", LANGUAGES)
+def test_code_chunks_hold_whole_texts(spark, tmp_path, language):
+    bare = lambda s: "".join(s.split())
+    texts = {1: "one", 2: 'a "b" \\ c\r\n\r\n{ it\'s 4\n' + "word, 5 (six). " * 90 + "\nthe `last` line", 3: "\n".join(f"line {i} }} end" for i in range(400))}
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {}
+    for r in QUERIES[f"code_chunks_{language}"](spark, str(tmp_path)).orderBy("doc_id", "chunk_index").collect():
+        found[r.doc_id] = found.get(r.doc_id, "") + bare(r.chunk_text)
+    mark = "#" if language in ("python", "ruby", "bash") else "//"
+    for i, t in texts.items():
+        lines = t.replace("\r\n", "\n").split("\n")
+        assert bare("".join(mark + x for x in lines)) in found[i]
+        assert all(bare('"' + x.replace("\\", "\\\\").replace('"', '\\"') + '"') in found[i] for x in lines)
+
+
 def test_chunking_is_native_and_shuffle_free(spark):
     for name in ("chunk_recursive_512", "chunk_payload"):
         plan = QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
