@@ -10,10 +10,8 @@ from __future__ import annotations
 import codecs
 import json
 import re
-import threading
-import time
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sized
 from functools import lru_cache
 from itertools import chain
 
@@ -124,30 +122,52 @@ class MergeTable:
 
 
 class StreamEncoder:
-    """Encodes one word that comes in pieces; push() and finish() give its tokens as they become stable."""
+    """Encodes words that come in pieces; push() and finish() give tokens as they become stable.
+
+    It holds window bytes at most. A token that ends lookahead bytes before the end of what is held can't change any more;
+    the end of a word makes all its tokens stable.
+    """
 
     def __init__(self, table: MergeTable) -> None:
         self.table, self.held = table, b""
         self.window = 2 * table.lookahead + table.longest + 256
+        self.emitted = 0
 
-    def push(self, piece: bytes) -> Iterator[int]:
-        table = self.table
+    def push(self, piece: bytes) -> Iterator[list[int]]:
+        """Takes the next bytes of a word."""
+        if len(self.held) + len(piece) <= self.window:
+            self.held += piece
+            return
+        table, size = self.table, table_bytes(self.table)
         for at in range(0, len(piece), self.window):
             self.held += piece[at : at + self.window]
             if len(self.held) <= self.window:
                 continue
-            stable, done = len(self.held) - 1 - table.lookahead, 0  # the last byte may turn out to be a word's final symbol
+            stable, done, out = len(self.held) - 1 - table.lookahead, 0, []  # the last byte may turn out to be a word's final symbol
             for token in table.merge([table.base[b] for b in self.held[:-1]]):
-                end = done + len(table.bytes[token])
+                end = done + size(token)
                 if end > stable:
                     break
-                yield token
+                out.append(token)
                 done = end
             self.held = self.held[done:]
+            self.emitted += len(out)
+            yield out
 
     def finish(self) -> list[int]:
+        """The end of a word; the encoder is ready for the next."""
         held, self.held = self.held, b""
-        return self.table.merge([*(self.table.base[b] for b in held[:-1]), self.table.final[held[-1]]]) if held else []
+        if not held:
+            return []
+        base = self.table.base
+        out = self.table.merge([*[base[b] for b in held[:-1]], self.table.final[held[-1]]])
+        self.emitted += len(out)
+        return out
+
+
+def table_bytes(table: MergeTable) -> Callable[[int], int]:
+    """How many bytes a token stands for."""
+    return lambda token: len(table.bytes[token])
 
 
 #: Unicode White_Space, as pattern text.
@@ -155,6 +175,8 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 _LATIN_LETTER, _LATIN_NUMBER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 #: Characters whose classes, composition and lower case are the same in all versions of Unicode that matter here.
 _SAFE = regex.compile("[\0-՗ -⁤₠-₸ぁ-ゖ゙-ヿ一-龥가-힣\U0001f300-\U0001f5ff\U0001f600-\U0001f64f]*+")
+_LATIN = re.compile("[\\0-\xff]*+")
+_CUT = re.compile("[A-Za-z](?= [A-Za-z])")
 _CONTRACTION = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
@@ -171,20 +193,44 @@ def _patterns(keeps_space: bool) -> tuple[re.Pattern, regex.Pattern]:
     return tuple(out)
 
 
-#: Characters of a text that are cut into words at a time.
-BLOCK = 1 << 18
+#: Characters of a text whose words are listed at a time; words of more than LONG characters are read in pieces.
+BLOCK, LONG = 1 << 16, 1 << 12
+
+
+class LongWord:
+    """A word of more than LONG characters: a place in a text, of which pieces() are read one after the other."""
+
+    def __init__(self, text: str, start: int, end: int) -> None:
+        self.text, self.start, self.end = text, start, end
+
+    def pieces(self) -> Iterator[bytes]:
+        for at in range(self.start, self.end, LONG):
+            yield self.text[at : min(self.end, at + LONG)].encode("utf-8", "surrogateescape")
+
+    def whole(self) -> bytes:
+        return b"".join(self.pieces())
+
+
+def _with_long_words(words: list[str], size: int) -> Iterator[list[str] | LongWord]:
+    """The words, the long ones apart; size: of all."""
+    if size <= LONG or max(map(len, words), default=0) <= LONG:
+        yield words
+        return
+    at = 0
+    for i, word in enumerate(words):
+        if len(word) > LONG:
+            yield words[at:i]
+            yield LongWord(word, 0, len(word))
+            at = i + 1
+    yield words[at:]
 
 
 class Memo(dict):
-    """What make gives for a word, for the words of late: two generations of at most most words each."""
+    """What make gives for a word, for the words of late: two generations, each of at most most bytes, about."""
 
-    def __init__(self, make, most: int = 200_000, longest: int = 48) -> None:  # noqa: ANN001
+    def __init__(self, make: Callable[[str], Sized], most: int = 24 << 20, longest: int = 48) -> None:
         super().__init__()
-        self.make, self.most, self.longest, self.old = make, most, longest, {}
-
-    def forget(self) -> None:
-        self.old = {}
-        self.clear()
+        self.make, self.most, self.longest, self.old, self.bytes = make, most, longest, {}, 0
 
     def __missing__(self, word: str):  # noqa: ANN204
         found = self.old.get(word)
@@ -192,38 +238,21 @@ class Memo(dict):
             found = self.make(word)
             if len(word) > self.longest:
                 return found
-        if len(self) >= self.most:
-            self.old = dict(self)
+        if self.bytes >= self.most:
+            self.old, self.bytes = dict(self), 0
             self.clear()
         self[word] = found
+        self.bytes += 170 + len(word) + (8 * len(found) if hasattr(found, "__len__") else 0)
         return found
 
 
-class Idle:
-    """Forgets what a worker remembers once it has not been used for some seconds: Spark keeps workers for later tasks, and
-    until then their memory is wanted elsewhere. touch() is called at each use."""
-
-    def __init__(self, forget: Callable[[], None], after_s: float = 3.0) -> None:
-        self.forget, self.after_s, self.last = forget, after_s, 0.0
-        self._watch: threading.Thread | None = None
-
-    def touch(self) -> None:
-        self.last = time.monotonic()
-        if self._watch is None:
-            self._watch = threading.Thread(target=self._wait, daemon=True)
-            self._watch.start()
-
-    def _wait(self) -> None:
-        while (left := self.last + self.after_s - time.monotonic()) > 0:
-            time.sleep(left)
-        self._watch = None
-        self.forget()
-
-
 class WordTokenizer:
-    """A tokenizer file as its library applies it: special strings, normalisation, words; byte-pair merges are MergeTable's."""
+    """A tokenizer file as its library applies it: special strings, normalisation, words; words go through a StreamEncoder.
+
+    remember: what it gave for short words of late is kept and not worked out again.
+    """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remember: bool = True) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.path = path
@@ -240,13 +269,14 @@ class WordTokenizer:
             raise ValueError("this pre-tokenizer or normalizer is not supported")
         self.keeps_space = kinds == ["ByteLevel"]
         self._latin, self._other = _patterns(self.keeps_space)
-        self._memo = Memo(self._encode_word)
-        self._idle = Idle(self._memo.forget)
+        self.stream = StreamEncoder(self.table)
+        self._memo: Memo | None = Memo(self._encode_word) if remember else None
         self._library = None
         self.text_of = list(self.table.bytes)
         for content, i in self.special.items():
             self.text_of += [b""] * (i + 1 - len(self.text_of))
             self.text_of[i] = content.encode()
+        self.decimal = [str(i) for i in range(len(self.text_of))]
 
     # words
 
@@ -259,64 +289,76 @@ class WordTokenizer:
             if piece:
                 yield piece, self.special.get(piece)
 
-    def words(self, text: str) -> Iterator[list[str]]:
-        """The words of a stretch without special strings, normalised, in lists for about a BLOCK of characters each."""
-        try:
-            text.encode("latin-1")
+    def words(self, text: str) -> Iterator[list[str] | LongWord]:
+        """The words of a stretch without special strings, normalised, in lists of about BLOCK characters, long ones apart."""
+        if text.isascii() or _LATIN.fullmatch(text):
             pattern, text = self._latin, text.lower() if self.lowers else text
-        except UnicodeEncodeError:
-            if _SAFE.fullmatch(text):
-                pattern = self._other
-                if self.lowers:
-                    text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-            else:
-                yield from self._library_words(text)
-                return
+        elif _SAFE.fullmatch(text):
+            pattern = self._other
+            if self.lowers:
+                text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        else:
+            yield from self._library_words(text)
+            return
         if len(text) <= BLOCK:
-            yield pattern.findall(text)
+            yield from _with_long_words(pattern.findall(text), len(text))
             return
-        at, size = 0, BLOCK
-        while at < len(text):
-            found = list(pattern.finditer(text, at, min(len(text), at + size)))
-            if at + size < len(text):
-                if len(found) < 4:  # a word longer than the block
-                    size *= 2
-                    continue
-                found = found[:-2]  # what the end of the block may have cut
-            yield [m.group() for m in found]
-            at, size = found[-1].end() if found else len(text), BLOCK
-
-    def _library_words(self, text: str) -> Iterator[list[str]]:
-        """For characters that versions of Unicode may see differently: as the library itself cuts them."""
+        words, size = [], 0
+        for m in pattern.finditer(text):
+            start, end = m.span()
+            if end - start > LONG:
+                yield words
+                yield LongWord(text, start, end)
+                words, size = [], 0
+                continue
+            words.append(m.group())
+            size += end - start
+            if size >= BLOCK:
+                yield words
+                words, size = [], 0
+        yield words
+
+    def _library_words(self, text: str) -> Iterator[list[str] | LongWord]:
+        """For characters that versions of Unicode may see differently: as the library itself cuts them, a BLOCK at a time.
+
+        A block ends before a space between two ASCII letters, where any pre-tokenizer here begins a word.
+        """
         if self._library is None:
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_file(self.path)
             self._value = {s: b for b, s in enumerate(byte_symbols())}
-        if self._library.normalizer is not None:
-            text = self._library.normalizer.normalize_str(text)
-        yield [bytes(self._value[c] for c in word).decode("utf-8", "surrogateescape") for word, _ in self._library.pre_tokenizer.pre_tokenize_str(text)]
+        at = 0
+        while at < len(text):
+            cut = _CUT.search(text, at + BLOCK)
+            end = cut.start() + 1 if cut else len(text)
+            part, at = text[at:end], end
+            if self._library.normalizer is not None:
+                part = self._library.normalizer.normalize_str(part)
+            words = [bytes(self._value[c] for c in word).decode("utf-8", "surrogateescape") for word, _ in self._library.pre_tokenizer.pre_tokenize_str(part)]
+            yield from _with_long_words(words, len(part))
 
     # encoding
 
     def _encode_word(self, word: str) -> tuple[int, ...]:
-        raw = word.encode("utf-8", "surrogateescape")
-        if len(raw) <= 64:
-            base = self.table.base
-            return tuple(self.table.merge([*(base[b] for b in raw[:-1]), self.table.final[raw[-1]]]))
-        stream = StreamEncoder(self.table)
-        return (*stream.push(raw), *stream.finish())
+        """A word of bounded length through the streaming encoder."""
+        early = [i for part in self.stream.push(word.encode("utf-8", "surrogateescape")) for i in part]
+        return (*early, *self.stream.finish())
 
     def encode(self, text: str) -> Iterator[list[int]]:
-        """The ids of a text in lists of bounded length (but for words longer than a block)."""
-        self._idle.touch()
-        word_ids = self._memo.__getitem__
+        """The ids of a text in lists of bounded length, emitted as they become stable."""
+        word_ids = self._encode_word if self._memo is None else self._memo.__getitem__
         for piece, special in self.pieces(text):
             if special is not None:
                 yield [special]
                 continue
             for words in self.words(piece):
-                yield list(chain.from_iterable(map(word_ids, words)))
+                if isinstance(words, LongWord):
+                    for part in words.pieces():
+                        yield from self.stream.push(part)
+                    yield self.stream.finish()
+                else:
+                    yield list(chain.from_iterable(map(word_ids, words)))
 
 
 class TextDecoder:

@@ -3,7 +3,9 @@
 ``encode_column`` gives the ids and ``decode_column`` texts from ids; ``round_trip`` makes digests of both in one pass. It
 keeps neither unless the ids are wanted, so that a long text costs a block of memory at a time.
 
-Nulls: a null text encodes as an empty one, to no ids; null ids decode to an empty text. Rows are independent.
+Nulls: a null text encodes as an empty one, to no ids; null ids decode to an empty text. Rows are independent: repeated rows
+and equal ids give equal results, in any order. An empty table gives an empty result. Columns but those of the id and the
+text are not read, whatever their names. A text of any length is encoded in pieces (see bpe).
 """
 
 from __future__ import annotations
@@ -49,9 +51,10 @@ def digests(tokenizer: WordTokenizer, text: str, keep: list[int] | None = None)
     keep: a list that gets the ids, if they are wanted.
     """
     n, of_ids, of_text, decoder = 0, hashlib.sha256(), hashlib.sha256(), TextDecoder(tokenizer.text_of)
+    decimal = tokenizer.decimal.__getitem__
     for ids in tokenizer.encode(text):
         if ids:
-            of_ids.update(("," * (n > 0) + ",".join(map(str, ids))).encode())
+            of_ids.update(("," * (n > 0) + ",".join(map(decimal, ids))).encode())
             n += len(ids)
             of_text.update(decoder.push(ids).encode())
             if keep is not None:
