@@ -1,7 +1,8 @@
 """Token counts of texts, by a compiled transducer (see transducer).
 
 Nulls: a null text has 0 bytes and 0 tokens, as an empty one. Each row is counted for itself: repeated rows get equal
-counts. Special strings inside a text count as one token each, as the library has it by default.
+counts, whatever their ids, and null ids stay. An empty table gives an empty result; other columns are not read, whatever
+their names. A text of any length is counted in chunks, whose maps are composed. Special strings inside a text count as one token each, as the library has it by default.
 """
 
 from __future__ import annotations

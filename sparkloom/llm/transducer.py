@@ -6,22 +6,28 @@ tokens that end at the last few positions: those at which a token that is still
 list, with the token counts at its positions less the count at the first; there are finitely many, since tokens are
 bounded. A transition is annotated with the number of tokens emitted, by which the count at the first position grows,
 and the last symbol of a word emits the rest. States are compiled when a text first asks for them and kept up to a bound.
+
+A stretch of symbols maps each state before it to the state after it and the tokens emitted between. Such maps compose, so a
+text is cut into chunks whose maps are made each for itself, and a prefix scan composes them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
+from typing import NamedTuple
 
-from .bpe import Idle, Memo, MergeTable, WordTokenizer, load
+from .bpe import LongWord, Memo, MergeTable, WordTokenizer, load
 
 #: Symbols of a word's last byte are numbered from here, as they differ from others.
 LAST = 256
-#: Characters of a chunk, of which a long text has many.
-CHUNK = 1 << 14
+#: Chunks whose maps are composed at a time.
+GROUP = 64
 #: States that are kept before they are compiled anew.
-STATES = 150_000
+STATES = 60_000
+#: The state before a word: no token is open.
+START = (b"", ((-1, 0),))
 
 
 class State(dict):
@@ -36,6 +42,10 @@ class State(dict):
     def __init__(self, machine: Transducer, open_: bytes, ends: tuple[tuple[int, int], ...]) -> None:
         self.machine, self.open, self.ends = machine, open_, ends
 
+    @property
+    def key(self) -> Key:
+        return self.open, self.ends
+
     def __missing__(self, symbol: int):  # noqa: ANN204
         self[symbol] = found = self.machine.step(self, symbol)
         return found
@@ -67,13 +77,12 @@ class Transducer:
         self.states: dict[tuple, State] = {}
         self.pairs: dict[int, bool] = {}
         self.points: dict[tuple[int, int], tuple[int, int]] = {}  # so that states share them
-        self.start = self._state(b"", ((-1, 0),))
+        self.start = self.state(START)
 
-    def _state(self, open_: bytes, ends: tuple) -> State:
-        key = (open_, ends)
+    def state(self, key: Key) -> State:
         found = self.states.get(key)
         if found is None:
-            found = self.states[key] = State(self, open_, ends)
+            found = self.states[key] = State(self, *key)
         return found
 
     def fits(self, first: int, second: int, last: bool) -> bool:
@@ -104,86 +113,138 @@ class Transducer:
         cut = next((k for k in range(len(text)) if text[k:] in self.starts), len(text))
         ends = (*state.ends, (token, count))[cut:]
         gone = ends[0][1]
-        return self._state(text[cut:], tuple(self.points.setdefault(x, x) for x in [(t, n - gone) for t, n in ends])), gone
+        return self.state((text[cut:], tuple(self.points.setdefault(x, x) for x in [(t, n - gone) for t, n in ends]))), gone
 
-    def count(self, word: bytes) -> int:
-        """Tokens of a word."""
-        if len(self.states) > self.most:
-            self.reset()
-        state, n = self.start, 0
-        for b in word[:-1]:
+    def run(self, state: State, raw: bytes) -> tuple[State, int]:
+        """The state after some bytes within a word, and the tokens emitted."""
+        n = 0
+        for b in raw:
             state, emitted = state[b]
             n += emitted
+        return state, n
+
+    def end(self, state: State, last: int) -> int:
+        """The tokens emitted by a word's last byte."""
+        return state[LAST + last]
+
+    def count(self, word: bytes) -> int:
+        """Tokens of a word."""
+        state, n = self.run(self.start, word[:-1])
         return n + state[LAST + word[-1]]
 
 
-@dataclass(frozen=True)
-class ChunkMap:
-    """What a chunk of a text does to the transducer, whatever its state before.
+class Chunk(NamedTuple):
+    """A stretch of the symbols of a text: head continues a word that began before, and ends it if head_ends; then whole
+    words; then tail, the beginning of a word that goes on behind. Special strings are counted apart."""
 
-    White space brings the transducer back to its start from every state, so only the stretch before the first of it
-    depends on the state before: head. count holds the tokens of the words between the first and the last white space and
-    tail the stretch after the last, which decides the state after. Without white space count is None and head is all.
-    """
+    words: list[str]
+    head: bytes = b""
+    head_ends: bool = False
+    tail: bytes = b""
+    special: int = 0
+
+
+#: The state of a transducer, told apart from others by its values, so that maps of any process fit together.
+Key = tuple[bytes, tuple[tuple[int, int], ...]]
+#: What a chunk does: from the state before it to the state after it and the tokens emitted between.
+StateMap = dict[Key, tuple[Key, int]]
 
-    head: str
-    count: int | None = None
-    tail: str = ""
+
+def compose(a: StateMap, b: StateMap) -> StateMap:
+    """The map of a and then b; associative. b must have the states that a can end in."""
+    return {s: (b[e][0], n + b[e][1]) for s, (e, n) in a.items()}
+
+
+def scan(maps: list[StateMap]) -> list[StateMap]:
+    """The maps of all prefixes. Each round composes neighbours a distance apart, which doubles: a round's compositions don't
+    depend on each other, and there are as many rounds as the logarithm of the number of maps."""
+    maps, apart = list(maps), 1
+    while apart < len(maps):
+        maps = maps[:apart] + [compose(maps[i - apart], maps[i]) for i in range(apart, len(maps))]
+        apart *= 2
+    return maps
 
 
 class Counter:
-    """Counts the tokens of texts. A text is cut into chunks; their maps are composed by a parallel prefix scan."""
-
-    def __init__(self, tokenizer: WordTokenizer, chunk: int = CHUNK) -> None:
-        self.tokenizer, self.chunk = tokenizer, chunk
-        self.machine = Transducer(tokenizer.table)
-        self._memo = Memo(lambda word: self.machine.count(word.encode("utf-8", "surrogateescape")))
-        self._idle = Idle(self._forget)
-
-    def _forget(self) -> None:
-        self._memo.forget()
-        self.machine.reset()  # a word that is on its way goes on with the states that it holds
-
-    def words(self, text: str) -> int:
-        """Tokens of a stretch that has no part in words outside."""
-        return sum(sum(map(self._memo.__getitem__, words)) for words in self.tokenizer.words(text))
-
-    def chunk_map(self, chunk: str) -> ChunkMap:
-        head = chunk.split(" ", 1)
-        if len(head) == 1:
-            return ChunkMap(chunk)
-        body, _, tail = chunk[len(head[0]) :].rpartition(" ")
-        return ChunkMap(head[0], self.words(body), tail)
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        """The map of a and then b; associative."""
-        if a.count is None:
-            return ChunkMap(a.head + b.head, b.count, b.tail)
-        if b.count is None:
-            return ChunkMap(a.head, a.count, a.tail + b.head)
-        return ChunkMap(a.head, a.count + self.words(a.tail + b.head) + b.count, b.tail)
-
-    def scan(self, maps: list[ChunkMap]) -> ChunkMap:
-        """All maps composed, in rounds that join neighbours: as many as the logarithm of their number."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
-
-    def _chunks(self, text: str) -> Iterator[str]:
-        for at in range(0, len(text), self.chunk):
-            yield text[at : at + self.chunk]
+    """Counts the tokens of texts. A text is cut into chunks, whose state maps are composed by a prefix scan.
 
-    def count(self, text: str | None) -> int:
-        self._idle.touch()
-        total = 0
-        for piece, special in self.tokenizer.pieces(text or ""):
+    The last symbol of a word brings the transducer to its start, so a chunk that begins with a word has a map from that one
+    state. A chunk that a long word is cut for gets a map from the state that the bytes before the cut lead to, whatever
+    stood before these; where the state turns out to be another, the map gets that one, too.
+    remember: what short words gave is kept and not worked out again.
+    """
+
+    def __init__(self, tokenizer: WordTokenizer, remember: bool = True) -> None:
+        self.tokenizer, self.machine = tokenizer, Transducer(tokenizer.table)
+        self._memo: Memo | None = Memo(self._word) if remember else None
+        self.look = 2 * tokenizer.table.longest
+
+    def _word(self, word: str) -> int:
+        return self.machine.count(word.encode("utf-8", "surrogateescape"))
+
+    def chunks(self, text: str) -> Iterator[Chunk]:
+        for piece, special in self.tokenizer.pieces(text):
             if special is not None:
-                total += 1
-            elif len(piece) <= self.chunk or self.tokenizer.keeps_space:  # there a space may belong to the word after it
-                total += self.words(piece)
+                yield Chunk([], special=1)
+                continue
+            for words in self.tokenizer.words(piece):
+                if not isinstance(words, LongWord):
+                    yield Chunk(words)
+                    continue
+                parts = words.pieces()  # two at least
+                yield Chunk([], tail=next(parts))
+                held = next(parts)
+                for part in parts:
+                    yield Chunk([], head=held)
+                    held = part
+                yield Chunk([], head=held, head_ends=True)
+
+    def extend(self, found: StateMap, chunk: Chunk, before: Key) -> None:
+        """Puts into the map of a chunk what it does from a state."""
+        machine = self.machine
+        state, n = machine.state(before), chunk.special
+        if chunk.head:
+            if not chunk.head_ends:
+                state, more = machine.run(state, chunk.head)
+                found[before] = state.key, n + more
+                return
+            state, more = machine.run(state, chunk.head[:-1])
+            n += more + machine.end(state, chunk.head[-1])
+        elif before != START:
+            raise ValueError("a word goes on, but the chunk does not continue one")
+        n += sum(map(self._word if self._memo is None else self._memo.__getitem__, chunk.words))
+        state, more = machine.run(machine.start, chunk.tail)
+        found[before] = state.key, n + more
+
+    def maps(self, chunks: list[Chunk], before: Key) -> list[StateMap]:
+        """The state maps of chunks that follow each other, each with all states that those before it can end in."""
+        out: list[StateMap] = [{} for _ in chunks]
+        for i, chunk in enumerate(chunks):  # each for itself
+            if not i:
+                self.extend(out[i], chunk, before)
+            elif not chunk.head:
+                self.extend(out[i], chunk, START)
             else:
-                whole = self.scan([self.chunk_map(c) for c in self._chunks(piece)])
-                total += self.words(whole.head) + (0 if whole.count is None else whole.count + self.words(whole.tail))
+                seen = (chunks[i - 1].tail or chunks[i - 1].head)[-self.look :]
+                self.extend(out[i], chunk, self.machine.run(self.machine.start, seen)[0].key)
+        missing = True
+        while missing:
+            missing = False
+            for i in range(1, len(chunks)):
+                for after, _ in list(out[i - 1].values()):
+                    if after not in out[i]:
+                        self.extend(out[i], chunks[i], after)
+                        missing = True
+        return out
+
+    def count(self, text: str | None) -> int:
+        machine = self.machine
+        if len(machine.states) > machine.most:
+            machine.reset()
+        total, state, chunks = 0, START, self.chunks(text or "")
+        while group := list(islice(chunks, GROUP)):
+            state, n = scan(self.maps(group, state))[-1][state]
+            total += n
         return total
 
 
