@@ -36,7 +36,7 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-#: Files of a small table, where there are few cores, and bytes of a file of others, at least.
+#: Files of a thin table: so many at least, or some for each core, or one for so many bytes of the tables that it comes from.
 LEAST_FILES, FILE_BYTES = 24, 32 << 20
 #: Folders of tables that this process has written, in order; drop() takes them out.
 WRITTEN: list[str] = []
@@ -45,17 +45,16 @@ WRITTEN: list[str] = []
 def written(df: DataFrame, label: str, thin: bool = False) -> DataFrame:
     """The rows of df, written once to the shared folder and read from there. The table stays until drop().
 
-    Small tables get few files: some for each core, or more if the plan's estimate gives each FILE_BYTES. thin: a table of few
-    bytes a row that a shuffle has made, which gets some for each core whatever the estimate, as that may be far too high.
+    It gets a file a task. thin: a table of few bytes a row, which gets fewer; their number grows with the tables below.
     """
     spark = df.sparkSession
     path = shared_folder(spark, label)
     WRITTEN.append(path)
-    files = max(LEAST_FILES, 4 * spark.sparkContext.defaultParallelism)
-    if not thin:
-        files = max(files, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // FILE_BYTES)
-    if files < 1 << 31:
-        df = df.coalesce(files)
+    if thin:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        below = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+        files = max(LEAST_FILES, 4 * spark.sparkContext.defaultParallelism, below // FILE_BYTES)
+        df = df.coalesce(int(min(files, (1 << 31) - 1)))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -103,30 +102,52 @@ def word_count(text: Column | str) -> Column:
 MOST_SLICES = 20_000
 
 
-def key_slices(df: DataFrame, key: str, rows_per_slice: int) -> list[int]:
-    """Upper bounds, ascending, of slices of an integer key with about rows_per_slice rows each.
+class Slices:
+    """Slices of rows in the order of an integer key, null first, and a hash of the row, each of about rows_per_slice rows.
 
-    They come from one aggregate over the key column alone, and there is one bound a slice. Null keys count as the
-    smallest. Rows with equal keys always share a slice.
+    The bounds come from one aggregate over the key column alone. A key that would be the bound of several slices, as null or
+    an id that very many rows share, gets slices of its own, among which its rows are dealt by the hash. Rows with equal key
+    and hash always share a slice.
     """
-    n = df.select(F.count(F.col(key))).first()[0]
-    slices = int(min(MOST_SLICES, max(1, -(-n // rows_per_slice))))
-    if slices == 1:
-        return []
-    at = [i / slices for i in range(1, slices)]
-    found = df.select(F.percentile_approx(F.col(key), at, max(10_000, 20 * slices))).first()[0]
-    return sorted({int(x) for x in found})
-
-
-def slice_of(key: Column, bounds: list[int]) -> Column:
-    """The number of the slice that holds a key: how many bounds lie below it. The closure holds the bounds only."""
-    if not bounds:
-        return F.lit(0)
-    arr = np.array(bounds, dtype=np.int64)
-
-    @F.arrow_udf("int")
-    def place(keys: pa.Array) -> pa.Array:
-        ids = keys.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-        return pa.array(np.searchsorted(arr, ids, side="left").astype(np.int32))
-
-    return place(key)
+
+    def __init__(self, df: DataFrame, key: str, rows_per_slice: int) -> None:
+        n = df.count()
+        slices = int(min(MOST_SLICES, max(1, -(-n // rows_per_slice))))
+        found: list[int] = []
+        if slices > 1:
+            at = [i / slices for i in range(1, slices)]
+            known = F.coalesce(F.col(key).cast("long"), F.lit(_LEAST).cast("long"))
+            found = [int(x) for x in df.select(F.percentile_approx(known, at, max(10_000, 20 * slices))).first()[0]]
+        bounds, times = np.unique(np.array(found, np.int64), return_counts=True)
+        self.bounds, self.own = bounds, np.where(times > 1, times, 0)  # own: slices of a bound's rows alone
+        self.base = np.concatenate([[0], np.cumsum(1 + self.own)])
+        self.count = int(self.base[-1]) + 1
+
+    def of(self, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The slices of rows: ascending with (key, hash)."""
+        i = np.searchsorted(self.bounds, keys, side="left")
+        out = self.base[i]
+        if len(self.bounds):
+            at = np.minimum(i, len(self.bounds) - 1)
+            alone = (i < len(self.bounds)) & (self.bounds[at] == keys) & (self.own[at] > 0)
+            share = (hashes.astype(np.float64) / 2.0**64 + 0.5).clip(0, 1)
+            out = out + np.where(alone, 1 + np.minimum((share * self.own[at]).astype(np.int64), self.own[at] - 1), 0)
+        return out
+
+    def column(self, key: Column, hashed: Column) -> Column:
+        """The slice of each row; the closure holds the bounds only."""
+        of = self.of
+
+        @F.arrow_udf("int")
+        def place(keys: pa.Array, hashes: pa.Array) -> pa.Array:
+            return pa.array(of(longs(keys), longs(hashes)).astype(np.int32))
+
+        return place(key, hashed)
+
+
+_LEAST = -(1 << 63)
+
+
+def longs(values: pa.Array) -> np.ndarray:
+    """Whole numbers as longs; null is the least of them."""
+    return values.cast(pa.int64()).fill_null(_LEAST).to_numpy(zero_copy_only=False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import WRITTEN, drop, written
 
 
 def _round(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,13 +29,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Node ids are longs; links to itself and nulls are left out. The number of rounds grows with the logarithm of the
     longest chain. Each round's table is written to the shared folder, and only a count and a checksum reach the driver.
     """
+    spark = edges.sparkSession
     lo, hi = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
     now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(hi.alias("a"), lo.alias("b")).where("a > b").distinct()
     now = written(now, "links", thin=True)
-    seen = None
+    seen, before = None, len(WRITTEN) - 1
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             return now
         seen = mark
         now = written(_round(written(_round(now, True), "large-star", thin=True), False), "small-star", thin=True)
+        drop(spark, WRITTEN[before:-1])  # all but what the next round reads

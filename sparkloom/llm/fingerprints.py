@@ -5,8 +5,9 @@ votes for the bits that it sets. ``find_within`` looks fingerprints up in permut
 each table holds every fingerprint under a different choice of its blocks, and queries meet what agrees with them in it.
 
 Nulls: a null text counts as empty, and a text without words has fingerprint 0. In the order of documents a null doc_id
-comes last; rows that share an id follow each other by text. Other columns are not read, whatever their names. A table
-of one document has that as its own next one; an empty table gives an empty result.
+comes last; rows that share an id (or have none) follow each other by a hash of their text, then by it, so that an id that
+very many rows share is dealt to several tasks. Other columns are not read, whatever their names. A table of one document has
+that as its own next one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_slices, slice_of, small_batches, table, written
-from .simhash import BITS, hash_bytes, bit_votes, block_masks, blocks_for, fingerprint, hex16
+from .common import WRITTEN, Slices, drop, longs, small_batches, table, written
+from .simhash import BITS, hash_bytes, bit_votes, block_masks, blocks_for, fingerprint, hex16, longer, parents_of
 
 WIDTH, RADIUS = 5, 3
 #: Documents of a slice that one task orders and reads.
 SLICE_ROWS = 4096
-#: Rows of one block key that a task holds; beyond it the key's rows are dealt to several.
+#: Rows of one block key, of either side, that a task holds; beyond it the key is split.
 TILE = 4096
+#: Pairs that are compared in one step.
+PAIRS_AT_ONCE = 1 << 20
 
 
 def weighted_fingerprint(terms: Mapping[str, int], seed: int = 42) -> int:
@@ -91,43 +94,61 @@ def neighbour_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str =
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bounds = key_slices(rows, "doc_id", slice_rows)
-    placed = rows.withColumn("slot", slice_of(F.col("doc_id"), bounds))
-    firsts = {r[0]: r[1] for r in rows.select(slice_of(F.col("doc_id"), bounds).alias("slot"), "doc_id").groupBy("slot").agg(F.max("doc_id")).collect()}
-    order = sorted(firsts, reverse=True)
-    before = {s: order[i - 1] for i, s in enumerate(order)}  # the slice that reads this one's first row after its own
-    first = F.col("doc_id").isin([i for i in firsts.values() if i is not None]) if any(i is not None for i in firsts.values()) else F.lit(False)
-    if None in firsts.values():  # a slice of null ids only
-        first = F.coalesce(first, F.lit(False)) | F.col("doc_id").isNull()
-    # the slice number is a function of the id, so the map from slice to reader is a lookup in an array of the slices
-    readers = F.array(*[F.lit(before.get(s, 0)) for s in range(len(bounds) + 1)])
-    copies = F.when(first, F.array(F.struct("slot", F.lit(False).alias("halo")), F.struct(F.get(readers, F.col("slot")).alias("slot"), F.lit(True).alias("halo"))))
-    dealt = placed.select("doc_id", "text", F.explode(F.coalesce(copies, F.array(F.struct("slot", F.lit(False).alias("halo"))))).alias("at")).select("doc_id", "text", "at.*")
-    dealt = dealt.repartitionById(len(bounds) + 1, F.col("slot")).sortWithinPartitions("halo", F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.mapInArrow(_compare_neighbours, _PAIRS)
-
-
-def _count_within(radius: int, masks: list[int]):  # noqa: ANN202
-    unsigned = np.array(masks, dtype=np.int64).view(np.uint64)
+    slices = Slices(rows, "doc_id", slice_rows)
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    id_, hash_ = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long")), F.col("hash")
+    firsts = rows.select(slices.column(F.col("doc_id"), hash_).alias("slot"), F.struct(id_.alias("i"), hash_.alias("h")).alias("at")).groupBy("slot").agg(F.max("at").alias("at")).collect()
+    first_id, first_hash, reader = (np.zeros(slices.count, np.int64) for _ in range(3))
+    reader -= 1
+    order = sorted((r.slot for r in firsts), reverse=True)
+    for r in firsts:
+        first_id[r.slot], first_hash[r.slot] = r["at"].i, r["at"].h
+    for i, s in enumerate(order):  # the slice that reads this one's first row after its own; the first comes after the last
+        reader[s] = order[i - 1]
+    of = slices.of
+
+    @F.arrow_udf("struct<slot:int,halo:int>")
+    def place(keys: pa.Array, hashes: pa.Array) -> pa.Array:
+        k, h = longs(keys), longs(hashes)
+        slot = of(k, h)
+        halo = np.where((k == first_id[slot]) & (h == first_hash[slot]), reader[slot], -1)
+        return pa.StructArray.from_arrays([pa.array(slot.astype(np.int32)), pa.array(halo.astype(np.int32))], names=["slot", "halo"])
+
+    own = F.struct(F.col("p.slot").alias("slot"), F.lit(False).alias("halo"))
+    copy = F.struct(F.col("p.halo").alias("slot"), F.lit(True).alias("halo"))
+    placed = rows.withColumn("p", place("doc_id", "hash"))
+    dealt = placed.select("doc_id", "text", "hash", F.explode(F.when(F.col("p.halo") >= 0, F.array(own, copy)).otherwise(F.array(own))).alias("at")).select("doc_id", "text", "hash", "at.*")
+    dealt = dealt.repartitionById(slices.count, F.col("slot")).sortWithinPartitions("halo", F.col("doc_id").desc_nulls_last(), F.col("hash").desc(), "text")
+    return dealt.select("doc_id", "text", "halo").mapInArrow(_compare_neighbours, _PAIRS)
+
+
+def _count_within(radius: int, tables: list[tuple[int, tuple[int, ...]]]):  # noqa: ANN202
+    ahead = [np.array(x, dtype=np.int64).view(np.uint64) for _, x in tables]
 
     def matches(g: np.ndarray, t: np.ndarray, n: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
         ends = np.r_[starts[1:], len(g)]
         asks = np.add.reduceat((n < 0).astype(np.int64), starts)
-        found_q, found_n = [], []
-        for a, b in zip(starts[(asks > 0) & (ends - starts > asks)], ends[(asks > 0) & (ends - starts > asks)], strict=True):
+        found_q, found_n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        wanted = (asks > 0) & (ends - starts > asks)
+        for a, b in zip(starts[wanted].tolist(), ends[wanted].tolist(), strict=True):
             data = n[a:b] >= 0
             have, count, which = fp[a:b][data], n[a:b][data], t[a:b][data]
-            for q, qt in zip(fp[a:b][~data], t[a:b][~data], strict=True):
-                apart = have ^ q
-                near = (np.bitwise_count(apart) <= radius) & (which == qt)
-                near &= (apart & unsigned[qt]) == 0
-                for m in unsigned[:qt]:  # told by the first table under which the two meet
-                    near &= (apart & m) != 0
-                if (total := int(count[near].sum())) > 0:
-                    found_q.append(q)
-                    found_n.append(total)
-        return pa.RecordBatch.from_arrays([pa.array(np.array(found_q, np.uint64).view(np.int64)), pa.array(found_n, pa.int64())], names=["fp", "n"])
+            asked, of = fp[a:b][~data], t[a:b][~data]
+            step = max(1, PAIRS_AT_ONCE // len(have))
+            for k in range(0, len(asked), step):
+                q, d = np.nonzero(np.bitwise_count(asked[k : k + step, None] ^ have[None, :]) <= radius)
+                keep = of[k + q] == which[d]
+                q, d = q[keep] + k, d[keep]
+                apart = asked[q] ^ have[d]
+                for x in np.unique(of[q]).tolist():  # told by the first table under which the two meet
+                    mine = of[q] == x
+                    met = ~((apart[mine, None] & ahead[x][None, :]) == 0).any(1)
+                    sums = np.zeros(len(asked), np.int64)
+                    np.add.at(sums, q[mine][met], count[d[mine][met]])
+                    found_q.append(asked[sums > 0])
+                    found_n.append(sums[sums > 0])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_q).view(np.int64)), pa.array(np.concatenate(found_n))], names=["fp", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -151,26 +172,46 @@ def find_within(queries: DataFrame, counted: DataFrame, radius: int = RADIUS, bl
     """(fp, n): for each query fingerprint (distinct, column fp) the sum of n over the rows of counted (distinct fp, n)
     whose fingerprint differs in at most radius bits; queries without any are left out.
 
-    A block key with more than tile rows is dealt to several groups by fingerprint, and its queries go to each of them.
-    No pair is emitted: each group gives one sum a query.
+    A block key with more than tile rows, of either side, is split by longer blocks (see simhash.longer); where these don't
+    help, both sides are dealt to tiles, and each pair of tiles is a group. No pair is emitted: a group gives one sum a query.
     """
     if blocks is None:
         blocks = blocks_for(counted.count(), radius, rows_per_key=1024)
-    masks = block_masks(radius, blocks)
-
-    def keyed(df: DataFrame, n: Column) -> DataFrame:
-        return df.select("fp", n.alias("n"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
-
-    data, asked = keyed(counted, F.col("n")), keyed(queries, F.lit(-1).cast("long"))
-    hot = written(data.groupBy("t", "key").count().where(F.col("count") > tile).select("t", "key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "hot-blocks", thin=True)
-    if hot.isEmpty():
-        both = data.unionByName(asked).withColumn("tile", F.lit(0))
+    rows = counted.select("fp", "n").unionByName(queries.select("fp", F.lit(-1).cast("long").alias("n")))
+    levels = longer(block_masks(radius, blocks), radius)
+    tables = [table for level in levels for table in level]
+    ready, now, at = [], rows, 0
+    for depth, level in enumerate(levels):
+        masks = F.array(*[F.lit(m).cast("long") for m, _ in level])
+        if not depth:
+            t = F.posexplode(masks).alias("t", "mask")
+            now = now.select("fp", "n", t)
+        else:  # a hot key's rows under the tables that follow from its own
+            children: dict[int, list[int]] = {}
+            for k, (_, parent) in enumerate(zip(level, parents_of(levels, depth), strict=True)):
+                children.setdefault(parent + at - len(levels[depth - 1]), []).append(at + k)
+            lists = F.create_map(*[x for p, c in children.items() for x in (F.lit(p), F.array(*map(F.lit, c)))])
+            now = hot.select("fp", "n", F.explode(lists[F.col("t")]).alias("t")).withColumn("mask", F.get(masks, F.col("t") - at))
+        at += len(level)
+        now = now.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).drop("mask")
+        sizes = now.groupBy("t", "key").agg(F.count_if(F.col("n") >= 0).alias("data"), F.count_if(F.col("n") < 0).alias("asked")).where((F.col("data") > tile) | (F.col("asked") > tile))
+        sizes = written(sizes, "hot-blocks", thin=True)
+        if sizes.isEmpty():
+            ready.append(now.withColumns({"d": F.lit(0), "q": F.lit(0)}))
+            break
+        ready.append(now.join(sizes, ["t", "key"], "left_anti").withColumns({"d": F.lit(0), "q": F.lit(0)}))
+        hot = written(now.join(sizes.where("data > 0 AND asked > 0"), ["t", "key"]), "hot-rows")
     else:
-        dealt = data.join(hot, ["t", "key"], "left").withColumn("tile", F.coalesce(F.pmod(F.xxhash64("fp", "t"), F.col("tiles")), F.lit(0)).cast("int")).drop("tiles")
-        spread = asked.join(hot, ["t", "key"], "left").withColumn("tile", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles"), F.lit(1)) - 1))).drop("tiles")
-        both = dealt.unionByName(spread)
-    groups = both.select(F.xxhash64("t", "key", "tile").alias("g"), F.col("t").cast("long").alias("t"), "n", "fp")
-    sums = groups.repartition("g").sortWithinPartitions("g").mapInArrow(_count_within(radius, masks), "fp long, n long")
+        tiles = lambda c: F.ceil(F.col(c) / tile).cast("int")
+        mine, all_ = F.pmod(F.xxhash64("fp", "t"), F.greatest(F.lit(1), F.when(F.col("n") >= 0, tiles("data")).otherwise(tiles("asked")))).cast("int"), F.when(F.col("n") >= 0, tiles("asked")).otherwise(tiles("data"))
+        dealt = hot.withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), all_ - 1))})
+        first = F.col("n") >= 0
+        ready.append(dealt.select("fp", "n", "t", "key", F.when(first, F.col("mine")).otherwise(F.col("other")).alias("d"), F.when(first, F.col("other")).otherwise(F.col("mine")).alias("q")))
+    both = ready[0]
+    for x in ready[1:]:
+        both = both.unionByName(x)
+    groups = both.select(F.xxhash64("t", "key", "d", "q").alias("g"), F.col("t").cast("long").alias("t"), "n", "fp")
+    sums = groups.repartition("g").sortWithinPartitions("g").mapInArrow(_count_within(radius, tables), "fp long, n long")
     return sums.groupBy("fp").agg(F.sum("n").alias("n"))
 
 
@@ -179,7 +220,9 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(neighbour_fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
     asks = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
     counted = written(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct-fingerprints", thin=True)
+    before = len(WRITTEN) - 1
     found = written(find_within(rows.where(asks).select("fp").distinct(), counted), "within-radius", thin=True)
+    drop(spark, WRITTEN[before:-1])
     out = ["doc_id", "n_chars", "edited_sha256", hex16(F.col("fp")).alias("fingerprint"), hex16(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next"]
     asked = rows.where(asks).join(found, "fp", "left").select(*out, (F.col("n") - 1).alias("n_within"))
     return asked.unionByName(rows.where(~asks).select(*out, F.lit(None).cast("long").alias("n_within")))

@@ -1,6 +1,6 @@
 """Mixes sources to target weights, exactly and alike in every run.
 
-Each source has a budget of words. Its documents are ordered by a random key, the hash of their id, and taken whole for
+Each source has a budget of words. Its documents are ordered by a random key, the hash of id and text, and taken whole for
 every epoch that the budget holds; the last epoch stops where a running sum of words in key order reaches the rest, so
 one document of a source may be cut.
 
@@ -9,8 +9,8 @@ however large. A table of words by (source, slice) gives each slice its start; w
 Sums and budgets are whole numbers. One row a source reaches the driver, where weights are shared out.
 
 Nulls: a null text has no words, null and "" are different sources, a null source is the last. Documents without words
-take nothing. Rows that share a doc_id are told apart by their size and then are alike, so that ties change no sum of
-theirs; a null id is hashed like any other. An empty table gives an empty result.
+take nothing. Rows that share a doc_id (or have none) are told apart by a hash of their text, which the key covers, too; equal
+ones are alike, so that ties change no sum. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,10 +51,10 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, sh
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, epochs: int = MOST_EPOCHS, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken) for each document; taken counts repeats."""
+    """(doc_id, size, source, source_size, target, taken, text_hash) for each document; taken counts repeats."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), word_count(F.col(f"`{text}`")).alias("size"), F.col(f"`{source}`").alias("source"))
-    rows = written(rows.withColumn("key", F.xxhash64("doc_id", F.lit("mixing"))), "document-sizes")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), word_count(F.col(f"`{text}`")).alias("size"), F.col(f"`{source}`").alias("source"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
+    rows = written(rows.withColumn("key", F.xxhash64("doc_id", "text_hash", F.lit("mixing"))), "document-sizes")
     sizes = {r[0]: (r[1], r[2]) for r in rows.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).collect()}
     goal = targets({s: n for s, (n, _) in sizes.items()}, weights, share, epochs)
     plan = []
@@ -70,27 +70,27 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
     starts = written(starts, "slice-starts", thin=True)
-    within = Window.partitionBy("part", "source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part", "source").orderBy("key", "doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     summed = sliced.repartition(F.col("part")).withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = summed.join(starts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
     placed = placed.withColumn("ahead", F.col("ahead") + F.col("start")).drop("s", "p", "start", "part", "key").withColumnRenamed("source", "of")
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("ahead")))
-    return placed.join(plan, F.col("of").eqNullSafe(F.col("source"))).select("doc_id", "size", "source", "source_size", "target", (F.col("whole") * F.col("size") + last).cast("long").alias("taken"))
+    return placed.join(plan, F.col("of").eqNullSafe(F.col("source"))).select("doc_id", "size", "source", "source_size", "target", (F.col("whole") * F.col("size") + last).cast("long").alias("taken"), "text_hash")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """The mixed documents: each row of docs as often as it is taken whole, and once more, cut after a word, for the rest.
 
     All columns are kept and n_chars, if there is one, is that of the cut text. Rows without words are taken by no source.
-    Rows that share a doc_id must share their text: of those that don't, each is taken as the mixture has the first of them.
+    Rows of one id, source and text are alike: each is taken as the mixture has that of them that it takes most of.
     """
-    took, size, cut, of_id, of_source = (unused_name(docs, f"mixing_{c}") for c in ("taken", "size", "cut", "id", "source"))
-    counted = unused_name(docs, "mixing_words")  # a column of its own: a join key that is an expression is worked out again and again
-    decided = mixture(docs, **options).where("taken > 0").select(F.col("doc_id").alias(of_id), F.col("size").alias(size), F.col("source").alias(of_source), F.col("taken").alias(took))
-    decided = written(decided.groupBy(of_id, of_source, size).agg(F.max(took).alias(took)), "mixture", thin=True)
+    took, size, cut, of_id, of_source, of_text = (unused_name(docs, f"mixing_{c}") for c in ("taken", "size", "cut", "id", "source", "text"))
+    hashed = unused_name(docs, "mixing_hash")  # a column of its own: a join key that is an expression is worked out again and again
+    decided = mixture(docs, **options).where("taken > 0").select(F.col("doc_id").alias(of_id), F.col("size").alias(size), F.col("source").alias(of_source), F.col("text_hash").alias(of_text), F.col("taken").alias(took))
+    decided = written(decided.groupBy(of_id, of_source, of_text, size).agg(F.max(took).alias(took)), "mixture", thin=True)
     # a merge join at every size: texts are shuffled alike, and hot keys are split
-    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & F.col("source").eqNullSafe(F.col(of_source)) & (F.col(counted) == F.col(size))
-    met = docs.withColumn(counted, word_count(F.col("text"))).join(decided.hint("merge"), same)
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & F.col("source").eqNullSafe(F.col(of_source)) & (F.col(hashed) == F.col(of_text))
+    met = docs.withColumn(hashed, F.xxhash64(F.col("text"))).join(decided.hint("merge"), same)
     whole, rest = F.floor(F.col(took) / F.col(size)).cast("int"), F.col(took) % F.col(size)
     cuts = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     copies = met.withColumn(cut, F.explode(cuts))

@@ -3,7 +3,8 @@
 1. Fingerprints are computed beside the scan; only (doc_id, fingerprint) goes on.
 2. Equal fingerprints are merged by a partial aggregate, so any number of exact copies costs one row from here on.
 3. Each distinct fingerprint goes to one key a block table (see simhash.block_masks): no pair within the radius is lost.
-4. A key with more rows than TILE is dealt out to tiles; each pair of tiles is one group, so no task holds a hot key.
+4. A key with more rows than TILE is split by longer blocks, twice if need be; what is still as large is dealt out to tiles,
+   and each pair of tiles is one group, so no task holds a hot key.
 5. Groups are compared bit-sliced (see bitslice); a spanning forest of the links comes out, not all pairs.
 6. Components are found by star rounds over distributed tables.
 
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitslice import links
-from .common import small_batches, table, unused_name, written
+from .common import WRITTEN, drop, small_batches, table, unused_name, written
 from .components import components
-from .simhash import block_masks, blocks_for, fingerprint_udf, hex16
+from .simhash import block_masks, blocks_for, fingerprint_udf, hex16, longer, parents_of
 
-#: Fingerprints of one block key that are compared within one group; above it the key is split into tiles.
+#: Fingerprints of one block key that are compared within one group; above it the key is split.
 TILE = 1024
 #: Rows of whole groups that a task compares at a time.
 ROWS_AT_ONCE = 1 << 17
@@ -64,22 +65,39 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, blocks: int | None =
     """
     if blocks is None:
         blocks = blocks_for(distinct.count(), radius)
-    masks = block_masks(radius, blocks)
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
-    hot = written(keyed.groupBy("t", "key").count().where(F.col("count") > tile).select("t", "key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "hot-keys", thin=True)
-    if hot.isEmpty():
-        groups = keyed.select(F.xxhash64("t", "key").alias("g"), "fp")
+    levels = longer(block_masks(radius, blocks), radius)
+    ready: list[DataFrame] = []
+    now = distinct.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m, _ in levels[0]])).alias("mask"))
+    for depth, level in enumerate(levels):
+        if depth:  # a hot key's rows under the tables that follow from its own
+            children: dict[int, list[int]] = {}
+            for (mask, _), parent in zip(level, parents_of(levels, depth), strict=True):
+                of_parent = children.setdefault(levels[depth - 1][parent][0], [])
+                if mask not in of_parent:
+                    of_parent.append(mask)
+            lists = F.create_map(*[x for m, c in children.items() for x in (F.lit(m).cast("long"), F.array(*[F.lit(y).cast("long") for y in c]))])
+            now = hot.select("fp", F.explode(lists[F.col("mask")]).alias("mask")).distinct()
+        now = now.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = written(now.groupBy("mask", "key").count().where(F.col("count") > tile), "hot-keys", thin=True)
+        if sizes.isEmpty():
+            ready.append(now.select(F.xxhash64("mask", "key").alias("g"), "fp"))
+            break
+        ready.append(now.join(sizes, ["mask", "key"], "left_anti").select(F.xxhash64("mask", "key").alias("g"), "fp"))
+        hot = written(now.join(sizes, ["mask", "key"]), "hot-rows")
     else:
-        dealt = keyed.join(hot, ["t", "key"], "left").withColumn("mine", F.pmod(F.xxhash64("fp", "t"), F.col("tiles")))
-        others = F.when(F.col("tiles").isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: i != F.col("mine")))
-        pairs = dealt.select("t", "key", "fp", "mine", F.explode(others).alias("other"))
-        groups = pairs.select(F.xxhash64("t", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "fp")
+        dealt = hot.withColumn("tiles", F.ceil(F.col("count") / tile).cast("int")).withColumn("mine", F.pmod(F.xxhash64("fp", "mask"), F.col("tiles")))
+        pairs = dealt.select("mask", "key", "fp", "mine", F.explode(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: i != F.col("mine"))).alias("other"))
+        ready.append(pairs.select(F.xxhash64("mask", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "fp"))
+    groups = ready[0]
+    for x in ready[1:]:
+        groups = groups.unionByName(x)
     # two keys that share a 64-bit group number are compared together, which costs time but is exact
     return groups.repartition("g").sortWithinPartitions("g", "fp").mapInArrow(_link_groups(radius), "a long, b long")
 
 
 def simhash_components(fingerprints: DataFrame, radius: int = 3, doc_id: str = "doc_id", fp: str = "fp") -> DataFrame:
     """(doc_id, fp, component_id) for each row of a written table of fingerprints; fp must not be null."""
+    spark, before = fingerprints.sparkSession, len(WRITTEN)
     rows = fingerprints.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"))
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints", thin=True)
     joined = components(fingerprint_links(distinct.select("fp"), radius))
@@ -90,7 +108,9 @@ def simhash_components(fingerprints: DataFrame, radius: int = 3, doc_id: str = "
         rooted = written(distinct.join(member, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted", thin=True)
         least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids", thin=True)
         labels = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(written(labels, "labels", thin=True), "fp").select("doc_id", "fp", "component_id")
+    labels = written(labels, "labels", thin=True)
+    drop(spark, WRITTEN[before:-1])
+    return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, lower: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

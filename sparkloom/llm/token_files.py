@@ -8,13 +8,15 @@ Shard k holds the documents of one range of ids in ascending order, in two files
 
 A table of shards goes with them; the place of a shard's first token among all tokens is the prefix sum over shards.
 
-Rows with a null doc_id come first; rows that share one are ordered by text. A null text is empty. An empty table gives
-no shards. Other columns are not read.
+Rows with a null doc_id come first; rows that share one (or have none) are ordered by a hash of their text, then by it, so
+that an id that very many rows share takes several shards. A null text is empty. An empty table gives no shards. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,12 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Idle, Memo, WordTokenizer, byte_symbols
-from .common import key_slices, shared_folder, slice_of, small_batches, table, written
+from .bpe import LongWord, Memo, WordTokenizer, byte_symbols
+from .common import Slices, shared_folder, small_batches, table, written
 from .files import open_map, whole_file
 
-#: Words whose ids a worker keeps, twice at most (see Memo): about 200 bytes each.
-MEMO_WORDS = 200_000
 #: Documents of a shard, about.
 SHARD_ROWS = 8192
 SHARDS = "shard int, path string, dtype string, n_docs long, n_tokens long"
@@ -50,8 +50,7 @@ class LibraryEncoder:
         self.cut = WordTokenizer(path)
         self.dtype = "<u2" if self.library.get_vocab_size(True) <= 1 << 16 else "<u4"
         self._symbols = byte_symbols()
-        self._memo = Memo(self._word, MEMO_WORDS)
-        self._idle = Idle(self._memo.forget)
+        self._memo = Memo(self._word)
 
     def _word(self, word: str) -> bytes:
         symbols = word if word.isascii() and word.isprintable() and " " not in word else "".join(map(self._symbols.__getitem__, word.encode()))
@@ -61,7 +60,6 @@ class LibraryEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
-        self._idle.touch()
         if not text.isascii():
             try:
                 text.encode("latin-1")
@@ -69,7 +67,9 @@ class LibraryEncoder:
                 return self._whole(text)
         word = self._memo.__getitem__
         return b"".join(
-            np.array([special], self.dtype).tobytes() if special is not None else b"".join([b"".join(map(word, words)) for words in self.cut.words(piece)])
+            np.array([special], self.dtype).tobytes()
+            if special is not None
+            else b"".join([self._word(words.whole().decode()) if isinstance(words, LongWord) else b"".join(map(word, words)) for words in self.cut.words(piece)])
             for piece, special in self.cut.pieces(text)
         )
 
@@ -87,11 +87,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, doc_
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bounds = key_slices(rows, "doc_id", shard_rows)
-    dealt = rows.withColumn("shard", slice_of(F.col("doc_id"), bounds)).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("doc_id", "text")
+    slices = Slices(rows, "doc_id", shard_rows)
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    dealt = rows.withColumn("shard", slices.column(F.col("doc_id"), F.col("hash"))).repartitionById(slices.count, F.col("shard")).sortWithinPartitions("doc_id", "hash", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, known, ends, total, shard, encoder = [], [], [0], 0, None, library_encoder(tokenizer)
+        ids, known, ends, total, encoder = array("q"), bytearray(), array("Q", [0]), 0, library_encoder(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
         width = len(end)
         first = next((b for b in batches if b.num_rows), None)
@@ -111,8 +112,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, doc_
                     ends.append(total)
                 batch = next(batches, None)
         with whole_file(f"{path}.idx") as out:
-            for values, kind in (([len(ids)], "<i8"), (ids, "<i8"), (ends, "<u8"), (known, "u1")):
-                out.write(np.array(values, kind).tobytes())
+            for values, kind in ((array("q", [len(ids)]), "<i8"), (ids, "<i8"), (ends, "<u8"), (known, "u1")):
+                out.write(np.asarray(values).astype(kind, copy=False).tobytes())
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "dtype": [encoder.dtype], "n_docs": [len(ids)], "n_tokens": [total]})
 
     shards = written(dealt.select("shard", "doc_id", "text").mapInArrow(write, SHARDS), "token-shards")

@@ -1,10 +1,13 @@
 import hashlib
 import random
+import struct
 from collections import Counter
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
+from sparkloom.llm import common
 from sparkloom.llm import fingerprints as fpr
 from sparkloom.llm.simhash import fingerprint
 
@@ -30,8 +33,13 @@ def corpus(n):
     return texts
 
 
+def hash_of(text):
+    """As a signed long; rows that share an id are ordered by it."""
+    return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(text.encode(), 42)))[0]
+
+
 def check(found, rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -hash_of(r[1] or "")))
     want = []
     fps = [plain(t or "") for _, t in order]
     for k, (i, t) in enumerate(order):
@@ -50,6 +58,16 @@ def test_query_equals_brute_force(docs, folder, spark, monkeypatch):
     check(fpr.op1_document_fingerprints(spark, folder(documents=docs(rows))), rows)
 
 
+def test_an_id_that_many_rows_share_takes_several_slices(docs, folder, spark, monkeypatch):
+    monkeypatch.setattr(fpr.neighbour_fingerprints, "__defaults__", ("doc_id", "text", 10))
+    rows = [(None if i % 3 else 7 if i % 2 else i, t) for i, t in enumerate(corpus(150))]
+    check(fpr.op1_document_fingerprints(spark, folder(documents=docs(rows))), rows)
+    ids = spark.range(100_000).selectExpr("IF(id % 3 = 0, id, NULL) AS k", "xxhash64(id) AS h")
+    slices = common.Slices(ids, "k", 1000)
+    sizes = [r["count"] for r in ids.groupBy(slices.column(F.col("k"), F.col("h"))).count().collect()]
+    assert max(sizes) < 3000 and sum(sizes) == 100_000 and len(sizes) <= slices.count
+
+
 def test_one_document_and_null_ids(docs, folder, spark):
     check(fpr.op1_document_fingerprints(spark, folder(documents=docs([(100, "one two three four five six seven")]))), [(100, "one two three four five six seven")])
 

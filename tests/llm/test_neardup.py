@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.classic.dataframe import DataFrame
 
 from sparkloom.llm import neardup
 from sparkloom.llm.bitslice import links
@@ -98,6 +99,22 @@ def test_hot_keys_are_tiled_without_loss(spark):
     assert roots(len(fps), [(at[a], at[b]) for a, b in found]) == roots(len(fps), brute)
 
 
+def test_a_block_of_very_many_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    fps = np.unique(rng.integers(0, 2**32, 50_000))  # all agree in half their bits
+    df = spark.createDataFrame([(x,) for x in fps.tolist()], "fp long").repartition(4)
+    grouped = []
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, *a, f=DataFrame.mapInArrow: grouped.append(self) or f(self, *a))
+    found = neardup.fingerprint_links(df, 3).collect()
+    assert grouped[0].groupBy("g").count().agg({"count": "max"}).first()[0] <= neardup.TILE
+    at = {x: i for i, x in enumerate(fps.tolist())}
+    small, brute = fps.astype(np.uint32), []
+    for i in range(0, len(small), 500):
+        a, b = np.nonzero(np.bitwise_count(small[i : i + 500, None] ^ small[None, i:]) <= 3)
+        brute += [(i + x, i + y) for x, y in zip(a.tolist(), b.tolist()) if x < y]
+    assert brute and roots(len(fps), [(at[a], at[b]) for a, b in found]) == roots(len(fps), brute)
+
+
 def test_one_document_of_each_group_stays(docs):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y z u v w q"), (4, None), (5, "")]
     kept = neardup.keep_representatives(docs(rows).selectExpr("*", "doc_id AS FP"))

@@ -1,10 +1,13 @@
 import hashlib
 import random
+import struct
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -32,13 +35,90 @@ def test_encoding_and_decoding_equal_the_library(path, text):
         assert "".join(decoder.push([i]) for i in got) + decoder.finish() == LIBRARY[path].decode(got, skip_special_tokens=False)
 
 
-@settings(max_examples=300, deadline=None)
-@given(text=st.one_of(st.lists(st.sampled_from(ODD), max_size=25).map("".join), st.text(max_size=40)), chunk=st.integers(1, 12))
-def test_counts_equal_the_library_however_texts_are_cut(text, chunk):
-    shared = transducer.counter(WORD)
-    cut = transducer.Counter.__new__(transducer.Counter)
-    cut.tokenizer, cut.chunk, cut.machine, cut._memo, cut._idle = shared.tokenizer, chunk, shared.machine, shared._memo, shared._idle
-    assert shared.count(text) == cut.count(text) == len(ids(WORD, text))
+def cut_anywhere(tok, text, size):
+    """The symbols of a text in chunks of size bytes."""
+    out, words, head, head_ends, tail, room = [], [], b"", False, b"", size
+
+    def close():
+        nonlocal words, head, head_ends, tail, room
+        out.append(transducer.Chunk(words, head, head_ends, tail))
+        words, head, head_ends, tail, room = [], b"", False, b"", size
+
+    for piece, special in tok.pieces(text):
+        if special is not None:
+            out += [transducer.Chunk(words, head, head_ends, tail), transducer.Chunk([], special=1)]
+            words, head, head_ends, room = [], b"", False, size
+            continue
+        for word in (w for part in tok.words(piece) for w in part):
+            raw = word.encode("utf-8", "surrogateescape")
+            first = True
+            while len(raw) > room:
+                if first:
+                    tail = raw[:room]
+                else:
+                    head = raw[:room]
+                raw, first = raw[room:], first and not room
+                close()
+            if first:
+                words.append(raw.decode("utf-8", "surrogateescape"))
+            else:
+                head, head_ends = raw, True
+            room -= len(raw)
+    close()
+    return out
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@settings(max_examples=200, deadline=None)
+@given(text=st.one_of(st.lists(st.sampled_from(ODD), max_size=25).map("".join), st.text(st.characters(max_codepoint=255), max_size=40)), size=st.integers(1, 12))
+def test_counts_equal_the_library_however_texts_are_cut(path, text, size):
+    counter = transducer.counter(path)
+    chunks = cut_anywhere(counter.tokenizer, text, size)
+    maps = counter.maps(chunks, transducer.START)
+    scanned = transducer.scan(maps)
+    one_by_one = maps[0]
+    for k, m in enumerate(maps[1:], 1):
+        assert scanned[k - 1][transducer.START] == one_by_one[transducer.START]
+        one_by_one = transducer.compose(one_by_one, m)
+    assert scanned[-1][transducer.START] == (transducer.START, len(ids(path, text))) == one_by_one[transducer.START]
+    if len(maps) > 2:
+        a, b, c = maps[:3]
+        assert transducer.compose(transducer.compose(a, b), c) == transducer.compose(a, transducer.compose(b, c))
+    assert counter.count(text) == len(ids(path, text))
+
+
+def test_maps_hold_no_text():
+    counter = transducer.counter(BYTE)
+    chunks = [transducer.Chunk([], tail=b"ab" * 4000), *(transducer.Chunk([], head=b"ab" * 4000) for _ in range(5)), transducer.Chunk(["word"], head=b"ab" * 4000, head_ends=True)]
+    maps = counter.maps(chunks, transducer.START)
+    longest = counter.tokenizer.table.longest
+    assert all(len(s[0]) < longest and len(e[0]) < longest for m in maps for s, (e, _) in m.items())
+    assert transducer.scan(maps)[-1][transducer.START][1] == len(ids(BYTE, "ab" * 28000)) + len(ids(BYTE, "word"))
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_ids_of_all_words_come_from_the_stream(path):
+    rng = random.Random(2)
+    text = "".join(rng.choices([*ODD, "word ", "and "], k=2000)) + "x" * 9000 + " end"
+    for remember in (False, True):
+        tok = bpe.WordTokenizer(path, remember)
+        got = [i for part in tok.encode(text) for i in part]
+        assert got == ids(path, text)
+        special = sum(i in tok.special.values() for i in got)
+        assert tok.stream.emitted + special == len(got) if not remember else 0 < tok.stream.emitted < len(got)
+
+
+@pytest.mark.parametrize("unit", ["abcdefghij", "the cat sat. ", "՘՘ ՘ word word "])
+def test_memory_of_encoding_does_not_grow_with_the_text(unit):
+    tok, peaks = bpe.WordTokenizer(BYTE), []
+    for n in (1 << 14, 1 << 16, 1 << 18):
+        text = unit * (n // len(unit))
+        tracemalloc.start()
+        count = sum(len(part) for part in tok.encode(text))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert count
+    assert peaks[2] < 2 * peaks[1] + (1 << 20), peaks
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
@@ -50,7 +130,7 @@ def test_long_words_stream_with_a_bounded_window(path, letters):
     stream = bpe.StreamEncoder(tok.table)
     for at in range(0, 20_000, 777):
         list(stream.push(text[at : at + 777].encode()))
-        assert len(stream.held) <= stream.window + 777
+        assert len(stream.held) <= stream.window
     assert transducer.counter(path).count(text) == len(ids(path, text))
 
 
@@ -76,6 +156,7 @@ def test_blocks_of_long_texts(monkeypatch):
     text = "".join(rng.choices([x for x in ODD if x.isascii()] + ["word ", "other  "], k=4000))
     want = {p: ids(p, text) for p in (BYTE, WORD)}
     monkeypatch.setattr(bpe, "BLOCK", 50)
+    monkeypatch.setattr(bpe, "LONG", 7)
     for p in (BYTE, WORD):
         assert [i for part in bpe.load(p).encode(text) for i in part] == want[p]
 
@@ -117,7 +198,7 @@ def test_op2_reads_back_what_the_library_gives(docs, folder, spark, monkeypatch)
     monkeypatch.setattr(token_files.write_tokens, "__defaults__", ("doc_id", "text", 20))
     rows = [(i * 7 - 20, t) for i, t in enumerate(texts())] + [(1, "a repeated id"), (1, "a repeated id"), (None, "no id"), (None, "another")]
     want, start = [], 0
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, struct.pack(">Q", xxhash.xxh64_intdigest((r[1] or "").encode(), 42) ^ 1 << 63))):
         got = [*ids(WORD, t or ""), 2]
         want.append((i, start, len(got), zlib.crc32(np.array(got, "<u4").tobytes())))
         start += len(got)
@@ -139,15 +220,8 @@ def test_remembered_words_equal_the_library(path, text):
     assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == ids(path, text)
 
 
-def test_idle_workers_forget(monkeypatch):
-    import time
-
-    counter, tok, encoder = transducer.Counter(bpe.WordTokenizer(WORD)), bpe.WordTokenizer(BYTE), token_files.LibraryEncoder(WORD)
-    for x in (counter, tok, encoder):
-        x._idle.after_s = 0.2
-    use = lambda: (counter.count("some words here"), list(tok.encode("some words here")), encoder.encode("some words here"))
-    before = use()
-    assert counter._memo and tok._memo and encoder._memo
-    time.sleep(0.6)
-    assert not (counter._memo or tok._memo or encoder._memo) and tok._idle._watch is None
-    assert len(counter.machine.states) == 1 and use() == before and tok._memo
+def test_what_is_remembered_is_bounded():
+    memo = bpe.Memo(lambda w: (1, 2, 3), most=100_000)
+    for i in range(50_000):
+        assert memo[f"w{i}"] == (1, 2, 3)
+    assert len(memo) + len(memo.old) < 1200
