@@ -25,7 +25,8 @@ def main(args: list[str]) -> int:
 
         spark = SparkSession.builder.appName("sparkloom").getOrCreate()
         log.info({"event": "start", "root": config.root, "collection": config.store.collection})
-        query = start(spark, IngestConfig(config.root, config.checkpoint, config.chunker, signals=config.signals), config.store, config.provider, IngestSummary(log.info), config.once)
+        ingest = IngestConfig(config.root, config.checkpoint, config.chunker, ack_path=config.ack_path, ack_failed=config.ack_failed, max_files=config.max_files, signals=config.signals, retries=config.retries)
+        query = start(spark, ingest, config.store, config.provider, IngestSummary(log.info), config.once, log=log)
         try:
             query.awaitTermination()
         except KeyboardInterrupt:

@@ -26,16 +26,19 @@ USAGE = """usage: sparkloom --dir DIR --qdrant-url URL --collection NAME [option
   --chunker-strategy recursive|legacy  --size-metric chars|tokens  --size-max N  --size-min N  --size-overlap N
   --tokenizer byte-bpe-50k  --enable-semantic  --semantic-provider adapter|fastembed|local  --semantic-percentile 1..99 (95)
   --onnx-model FILE  --onnx-tokenizer FILE    the model of the fastembed provider
-  --checkpoint DIR  --once  --help  --version"""
+  --checkpoint DIR  --once  --max-files N (of a batch; 0: all)  --retries N (2)  --ack-path DIR  --ack-failed
+  -h, --help  -V, --version"""
 
 # The flags, and what they stand for where they aren't given.
-SWITCHES = ("create-collection-if-missing", "enable-semantic", "once", "help", "version")
+SWITCHES = ("create-collection-if-missing", "enable-semantic", "once", "ack-failed", "help", "version")
+SHORT = {"-h": "--help", "-V": "--version"}
 DEFAULTS = {
     "config": None, "dir": None, "qdrant-url": None, "collection": None, "collection-vector-size": None,
     "embed-backend": "openai", "embed-url": None, "embed-model": "default",
     "openai-endpoint": "https://api.openai.com/v1/embeddings", "openai-api-key": None, "openai-model": "text-embedding-3-small",
     "chunker-strategy": "recursive", "size-metric": "chars", "size-max": None, "size-min": "0", "size-overlap": "0", "tokenizer": None,
     "chunker-mode": "router", "chunker-single": None, "semantic-provider": "adapter", "semantic-percentile": "95", "onnx-model": None, "onnx-tokenizer": None, "checkpoint": None,
+    "max-files": "0", "retries": "2", "ack-path": None,
 }
 SIZE_MAX = {"chars": 2000, "tokens": 512}
 
@@ -79,6 +82,10 @@ class RunConfig:
     checkpoint: str
     once: bool
     signals: Provider  # of the semantic chunker
+    max_files: int = 0
+    retries: int = 2
+    ack_path: str | None = None
+    ack_failed: bool = False
     warnings: tuple[str, ...] = ()
 
 
@@ -88,6 +95,7 @@ def _flags(args: list[str]) -> dict[str, Any]:
     rest = list(args)
     while rest:
         flag, equals, value = rest.pop(0).partition("=")
+        flag = SHORT.get(flag, flag)
         name = flag.removeprefix("--")
         if not flag.startswith("--") or (name not in DEFAULTS and name not in SWITCHES):
             raise LoomError("invalid input", f"unknown argument: {flag}\n{USAGE}")
@@ -179,7 +187,7 @@ def parse_args(args: list[str]) -> RunConfig | str:
     explicit = _number(given, "collection-vector-size", None, 1)
     size = vector_size(provider, explicit) if given.get("create-collection-if-missing") else None
     checkpoint = get("checkpoint") or os.path.join(root, "..", f".sparkloom-{collection}")
-    return RunConfig(root, HttpVectorStore(url, collection, size), provider, ChunkerConfig(sizes, single, semantic), checkpoint, bool(given.get("once")), signals, tuple(warnings))
+    return RunConfig(root, HttpVectorStore(url, collection, size), provider, ChunkerConfig(sizes, single, semantic), checkpoint, bool(given.get("once")), signals, _number(given, "max-files", "0"), _number(given, "retries", "2"), get("ack-path"), bool(given.get("ack-failed")), tuple(warnings))
 
 
 class _Json(logging.Formatter):

@@ -82,6 +82,27 @@ def boundary_kind(chunk: Column, after: Column, config: RecursiveConfig) -> Colu
     return F.when(size < max(1, config.min_size), "Forced").otherwise(kind)
 
 
+#: Numbers that running_starts appends one by one, which copies those before.
+_RUN = 64
+
+
+def running_starts(sizes: Column) -> Column:
+    """For each of an array of whole numbers the sum of those before it.
+
+    An array is copied whenever it gets longer, so sums are put into runs of _RUN, and full runs into an array of arrays: for
+    n numbers that copies n * _RUN / 2 of them and n * n / (2 * _RUN * _RUN) runs.
+    """
+    start = F.struct(F.array().cast("array<array<bigint>>").alias("runs"), F.array().cast("array<bigint>").alias("now"), F.lit(0).cast("bigint").alias("end"))
+
+    def step(acc: Column, size: Column) -> Column:
+        full = F.size(acc["now"]) >= _RUN
+        runs = F.when(full, F.array_append(acc["runs"], acc["now"])).otherwise(acc["runs"])
+        now = F.when(full, F.array(acc["end"])).otherwise(F.array_append(acc["now"], acc["end"]))
+        return F.struct(runs.alias("runs"), now.alias("now"), (acc["end"] + size).alias("end"))
+
+    return F.aggregate(sizes, start, step, lambda acc: F.flatten(F.array_append(acc["runs"], acc["now"])))
+
+
 def with_pieces(df: DataFrame, text: Column, config: RecursiveConfig, out: str) -> DataFrame:
     """df with an array column of (text, piece, start) structs: each chunk, the same with the white space after it, and its
     byte offset in the normalised text."""
@@ -92,13 +113,7 @@ def with_pieces(df: DataFrame, text: Column, config: RecursiveConfig, out: str)
     p = F.lit(pattern(config))
     df = df.withColumn(f"{out}_t", normalize_newlines(text))
     df = df.withColumns({f"{out}_p": F.regexp_extract_all(f"{out}_t", p, F.lit(0)), f"{out}_c": F.regexp_extract_all(f"{out}_t", p, F.lit(1))})
-    starts = F.aggregate(
-        F.col(f"{out}_p"),
-        F.struct(F.array().cast("array<bigint>").alias("at"), F.lit(0).cast("bigint").alias("end")),
-        lambda acc, x: F.struct(F.array_append(acc["at"], acc["end"]).alias("at"), (acc["end"] + F.octet_length(x)).alias("end")),
-        lambda acc: acc["at"],
-    )
-    df = df.withColumn(f"{out}_s", starts)
+    df = df.withColumn(f"{out}_s", running_starts(F.transform(f"{out}_p", F.octet_length)))
     zipped = F.arrays_zip(F.col(f"{out}_c").alias("text"), F.col(f"{out}_p").alias("piece"), F.col(f"{out}_s").alias("start"))
     return df.withColumn(out, zipped).drop(*(f"{out}_{x}" for x in "tpcs"))
 

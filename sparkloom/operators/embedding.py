@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import urllib.error
 import urllib.parse
 import urllib.request
@@ -53,6 +54,17 @@ class Provider:
         return out
 
 
+def retried(call, retries: int, wait_s: float = 0.2):  # noqa: ANN001, ANN201
+    """What call gives; an error of a service is tried again so often, after waits that double."""
+    for left in range(retries, -1, -1):
+        try:
+            return call()
+        except LoomError as e:
+            if not left or e.kind not in ("embed", "sink"):
+                raise
+            time.sleep(wait_s * 2 ** (retries - left))
+
+
 @dataclass(frozen=True)
 class LocalProvider(Provider):
     dimension: int = 64

@@ -6,26 +6,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import LoomError
 from ..functions.identity import chunk_ids, text_hash
 from ..functions.text import file_uri, payload_extension
 from ..schema import PAYLOAD
-from .embedding import Provider
+from .embedding import Provider, retried
 
 TENANT = "default"
+_VECTORS = pa.list_(pa.list_(pa.float32()))
 
 
 def point_rows(chunked: DataFrame, hash_name: str = "blake3") -> DataFrame:
     """One row a chunk: id, the columns of schema.PAYLOAD, and chunk_text_sha2_256.
 
     chunked: canonical_path, size_bytes, mtime_unix_secs, strategy_fingerprint and chunks. The payload's chunk_text_sha256
-    holds the hash that hash_name names, as other tools expect it there; the honest SHA-256 is the last column.
+    holds the hash that hash_name names, as other tools expect it there; the honest SHA-256 is the last column. If chunked has
+    vectors beside its chunks, the columns vector and source_path follow.
     """
     path, none = F.col("canonical_path"), F.lit(None).cast("string")
     # no filter on chunks here: pushed below, it would have every text chunked once more
     docs = chunked.withColumn("_ids", chunk_ids(path, F.size("chunks"), F.col("strategy_fingerprint"), hash_name))
     # neighbours stand beside each chunk before chunks become rows, so that no row carries the arrays of its document
     ids = F.col("_ids")
+    vectors = [F.col("vectors").alias("vector")] if "vectors" in chunked.columns else []
     zipped = F.arrays_zip(
+        *vectors,
         F.col("chunks").alias("chunk"),
         ids.alias("id"),
         F.concat(F.array(none), F.slice(ids, 1, F.greatest(F.size(ids) - 1, F.lit(0)))).alias("previous"),
@@ -53,6 +58,7 @@ def point_rows(chunked: DataFrame, hash_name: str = "blake3") -> DataFrame:
         "strategy_fingerprint",
         chunk["text"].alias("chunk_text"),
         F.sha2(chunk["text"], 256).alias("chunk_text_sha2_256"),
+        *([F.col("_at.vector").alias("vector"), F.col("_path").alias("source_path")] if vectors else []),
     )
 
 
@@ -66,9 +72,35 @@ def embedded(texts: Column, provider: Provider) -> Column:
     return vectors(texts)
 
 
+def embed_documents(chunked: DataFrame, provider: Provider, retries: int = 0) -> DataFrame:
+    """chunked with a column vectors, one for each chunk; no request has chunks of two documents.
+
+    A document whose request fails, after so many retries, gets no vectors but error_kind and error_message.
+    """
+
+    @F.arrow_udf("struct<vectors:array<array<float>>,kind:string,message:string>")
+    def vectors(documents: pa.Array) -> pa.Array:
+        out = []
+        for texts in documents:
+            try:
+                out.append((retried(lambda t=texts: provider.embed_all(t.as_py()), retries) if texts.is_valid else None, None, None))
+            except Exception as e:  # noqa: BLE001  a document's error is a value of its row
+                out.append((None, e.kind if isinstance(e, LoomError) else "embed", str(e)))
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((_VECTORS, pa.string(), pa.string()))], names=["vectors", "kind", "message"])
+
+    made = chunked.withColumn("_embedded", vectors(F.transform("chunks", lambda c: c["text"])))
+    kind, message = F.coalesce("error_kind", "_embedded.kind"), F.coalesce("error_message", "_embedded.message")
+    return made.withColumns({"vectors": F.col("_embedded.vectors"), "error_kind": kind, "error_message": message}).drop("_embedded")
+
+
 def with_vectors(points: DataFrame, provider: Provider) -> DataFrame:
     """(id, vector, payload): payload is a struct of the fixed keys; a sink makes JSON of it."""
-    return points.select("id", embedded(F.col("chunk_text"), provider).alias("vector"), F.struct(*PAYLOAD).alias("payload"))
+    return payload_rows(points.withColumn("vector", embedded(F.col("chunk_text"), provider)))
+
+
+def payload_rows(points: DataFrame) -> DataFrame:
+    """(id, vector, payload) of points that have vectors, and their source_path if they have one."""
+    return points.select("id", "vector", F.struct(*PAYLOAD).alias("payload"), *(c for c in ("source_path",) if c in points.columns))
 
 
 def join_vectors(points: DataFrame, vectors: DataFrame, on: str) -> DataFrame:

@@ -10,16 +10,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes on disk between which a table is dealt to all cores before its texts are worked on.
-SPREAD_FROM, SPREAD_TO = 4 << 20, 256 << 20
+#: Bytes on disk of a table that is dealt to all cores, at least.
+SPREAD_FROM = 4 << 20
+
+
+def _row_groups(spark: SparkSession, files: list[str]) -> int:
+    """Row groups of some Parquet files, from their footers."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    total = 0
+    for file in files:
+        place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(place, conf))
+        try:
+            total += reader.getRowGroups().size()
+        finally:
+            reader.close()
+    return total
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents. A table of that size may be one row group, which one task reads: chunking costs far more than dealing
-    its rows out. Larger tables have tasks enough, and are not shuffled."""
-    docs = table(spark, sf_dir, "documents")
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return docs.repartition(2 * spark.sparkContext.defaultParallelism) if SPREAD_FROM <= size <= SPREAD_TO else docs
+    """The documents. A row group is read by one task, and chunking costs far more than dealing rows out: a table that has
+    fewer row groups than there are cores is dealt to all of them. Any other is not shuffled; footers are read only of a table
+    with fewer files than cores."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    if int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SPREAD_FROM:
+        return docs
+    files = docs.inputFiles()
+    return docs.repartition(2 * cores) if len(files) < cores and _row_groups(spark, files) < cores else docs
 
 
 def path_column() -> Column:

@@ -1,9 +1,8 @@
-"""The registered queries, and the SQL that says the same where SQL can."""
+"""Queries over the driver's tables, and the SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,35 +13,26 @@ from ..functions.recursive import RecursiveConfig, chunk_rows
 from ..functions.text import WHITE_CHARS, file_uri, normalize_newlines, payload_extension, point_id_errors, utf8_text
 from ..functions.vectors import merge_small_groups, neighbour_distances, semantic_groups
 from ..operators import planning, summary
-from ..operators.code import LANGUAGES, declarations, tiles
+from ..operators.code import declarations, tiles
 from ..operators.embedding import LocalProvider
 from ..operators.points import join_vectors, point_rows, with_vectors
 from ..operators.routing import ChunkerConfig, bound_batches, router_fingerprint, routes, strategy_of, with_chunks
-from ..operators.semantic import SemanticConfig
+from ..operators.semantic import Embedder, SemanticConfig, hashed_words
 from ..operators.sentences import sentences
 from ..operators.splitting import normalized
 from .inputs import OBSERVATIONS_SQL, PATH_SQL, document_files, documents, observations, table
+from .registry import ORACLES, QUERIES, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return register
+# chunks
 
 
-# chunks
+#: The columns of the only chunk of a text without chunks.
+_ALONE = "0, 'Forced', 0::BIGINT, 0::BIGINT, 0::BIGINT, ''"
 
 
-def chunks_cte(n: int, least: int = 0, texts: str = "SELECT doc_id, text FROM documents") -> str:
-    """A recursive table chunks (doc_id, chunk_index, boundary, start_byte, end_byte, char_len, chunk_text)."""
+def chunks_cte(n: int, least: int = 0, texts: str = "SELECT doc_id, text FROM documents", alone: bool = False) -> str:
+    """A recursive table chunks (doc_id, chunk_index, boundary, start_byte, end_byte, char_len, chunk_text). alone: an empty text
+    has one empty chunk."""
     enough = lambda x: f"length({x}) >= {max(1, least)}"
     return f"""texts AS (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS t FROM ({texts}) WHERE text <> ''),
 steps AS (
@@ -64,7 +54,7 @@ steps AS (
 chunks AS (
   SELECT doc_id, chunk_index, CASE boundary WHEN 'Line1' THEN 'Line' ELSE boundary END AS boundary, start_byte,
     start_byte + strlen(chunk_text) AS end_byte, length(chunk_text) AS char_len, chunk_text
-  FROM steps WHERE chunk_index >= 0
+  FROM steps WHERE chunk_index >= 0{f" UNION ALL SELECT doc_id, {_ALONE} FROM ({texts}) WHERE text = ''" if alone else ""}
 )"""
 
 
@@ -82,7 +72,7 @@ _recursive("chunk_recursive_min", RecursiveConfig(512, 200))
 _recursive("chunk_recursive_small", RecursiveConfig(64, 20))
 _recursive("chunk_recursive_2000", RecursiveConfig(2000))
 
-_OVERLAP = """WITH RECURSIVE texts AS (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS t, length(t) AS n FROM documents WHERE text <> ''),
+_OVERLAP = f"""WITH RECURSIVE texts AS (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS t, length(t) AS n FROM documents WHERE text <> ''),
 steps AS (
   SELECT doc_id, t, n, -1 AS chunk_index, '' AS boundary, 0 AS cur, '' AS ch, 0 AS nxt FROM texts
   UNION ALL
@@ -96,7 +86,8 @@ steps AS (
   )
 )
 SELECT doc_id, chunk_index, boundary, strlen(substr(t, 1, cur)) AS start_byte, strlen(substr(t, 1, cur)) + strlen(ch) AS end_byte, length(ch) AS char_len, ch AS chunk_text
-FROM steps WHERE chunk_index >= 0"""
+FROM steps WHERE chunk_index >= 0
+UNION ALL SELECT doc_id, {_ALONE} FROM documents WHERE text = ''"""
 
 
 def exploded(chunked: DataFrame, keep: list[str]) -> DataFrame:
@@ -105,7 +96,7 @@ def exploded(chunked: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _single(spark: SparkSession, sf_dir: str, config: ChunkerConfig) -> DataFrame:
-    docs = documents(spark, sf_dir).where("text <> ''").select("doc_id", "text", F.lit("").alias("canonical_path"))
+    docs = documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", "text", F.lit("").alias("canonical_path"))
     return exploded(with_chunks(docs, config), ["doc_id"])
 
 
@@ -119,55 +110,30 @@ def chunk_tokens_512(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _single(spark, sf_dir, ChunkerConfig(RecursiveConfig(512, metric="tokens"), "recursive"))
 
 
-@query("chunk_texts", f"WITH RECURSIVE {chunks_cte(512)} SELECT doc_id, string_agg(chunk_text, '|' ORDER BY chunk_index) AS chunk_texts FROM chunks GROUP BY doc_id")
+@query("chunk_texts", f"WITH RECURSIVE {chunks_cte(512, alone=True)} SELECT doc_id, string_agg(chunk_text, '|' ORDER BY chunk_index) AS chunk_texts FROM chunks GROUP BY doc_id")
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the texts of a document's chunks, as the simplest call gives them, joined."""
-    docs = documents(spark, sf_dir).where("text <> ''").select("doc_id", "text", F.lit("").alias("canonical_path"))
+    docs = documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", "text", F.lit("").alias("canonical_path"))
     chunked = with_chunks(docs, ChunkerConfig(single="recursive"))
     return chunked.select("doc_id", F.array_join(F.transform("chunks", lambda c: c["text"]), "|").alias("chunk_texts"))
 
 
-#: For each language: how a comment begins; what stands before the comments, before the literals, between them, after them.
-_CODE = {
-    "rust": ("//", "use std::fmt;\n", "\nfn a() { let c = '{'; }\nconst B: &[&str] = &[\n  ", ",\n  ", "\n];\nstruct S { x: u8 }\n"),
-    "python": ("#", "import os\n", "\ndef f(x):\n    return [\n        ", ",\n        ", "\n    ]\n\nclass A:\n    pass\n"),
-    "javascript": ("//", "import a from 'a';\n", "\nfunction f(x) {\n  return [\n    ", ",\n    ", "\n  ];\n}\n\nclass A {\n  g() { return '{'; }\n}\n"),
-    "typescript": ("//", "import a from 'a';\n", "\nfunction f(x: number): string[] {\n  return [\n    ", ",\n    ", "\n  ];\n}\n\ninterface A { x: string }\n"),
-    "tsx": ("//", "import a from 'a';\n", "\nfunction f(x: number): string[] {\n  return [\n    ", ",\n    ", "\n  ];\n}\n\nfunction B() { return <p>it's</p>; }\n"),
-    "go": ("//", 'package a\n\nimport "fmt"\n', "\nfunc f() []string {\n\treturn []string{\n\t\t", ",\n\t\t", ",\n\t}\n}\n\ntype S struct { x int }\n"),
-    "java": ("//", "import java.util.List;\n", "\nclass A {\n  String[] b = {\n    ", ",\n    ", "\n  };\n  char c = '{';\n}\n\ninterface B { void g(); }\n"),
-    "c": ("//", "#include <stdio.h>\n", "\nconst char *a[] = {\n  ", ",\n  ", "\n};\n\nint f(int x) { return '{' + x; }\n"),
-    "cpp": ("//", "#include <vector>\n", "\nnamespace a {\nconst char *b[] = {\n  ", ",\n  ", "\n};\n}\n\nclass S { int x; };\n"),
-    "ruby": ("#", "require 'set'\n", "\ndef f\n  [\n    ", ",\n    ", "\n  ]\nend\n\nclass A\nend\n"),
-    "bash": ("#", "set -e\n", "\nf() {\n  echo ", "\n  echo ", '\n}\n\ng() { echo "}"; }\n'),
-}
-_NEWLINE = r"\r\n?|\n"
-
-
 def _markdown() -> Column:
     """Markdown that holds a document's first line and its text."""
     line = F.regexp_replace(F.substring_index("text", "\n", 1), r"[^\p{L} ]", "")
     return F.concat(F.lit("# Part "), F.col("doc_id").cast("string"), F.lit("\n\n"), line, F.lit("\n\n- one\n- two\n\n```\ncode\n```\n\nSetext\n---\n\n"), F.col("text"), F.lit("\n"))
 
 
-def _code(language: str) -> Column:
-    """Code that holds a document's whole text twice: each line as a comment, and each as a string literal."""
-    mark, head, before, between, after = _CODE[language]
-    comments = F.regexp_replace("text", _NEWLINE, f"\n{mark} ")
-    literals = F.regexp_replace(F.regexp_replace("text", r'([\\"])', r"\\$1"), _NEWLINE, f'"{between}"')
-    return F.concat(F.lit(f"{head}{mark} "), F.col("doc_id").cast("string"), F.lit(f"\n{mark} "), comments, F.lit(f'{before}"'), literals, F.lit(f'"{after}'))
-
+def templated(name: str, strategy: str, text: Callable[[], Column], sizes: RecursiveConfig, sql: str | None = None, config: ChunkerConfig | None = None, embed: Embedder = hashed_words) -> None:
+    """Registers the chunks of texts that are made from documents."""
 
-def _templated(name: str, strategy: str, text: Callable[[], Column], config: RecursiveConfig) -> None:
-    @query(name)
+    @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", text().alias("text"), F.lit("").alias("canonical_path"))
-        return exploded(with_chunks(docs, ChunkerConfig(config, strategy)), ["doc_id"])
+        return exploded(with_chunks(docs, config or ChunkerConfig(sizes, strategy), embed=embed), ["doc_id"])
 
 
-_templated("markdown_chunks", "markdown", _markdown, RecursiveConfig(512))
-for _language in LANGUAGES:
-    _templated(f"code_chunks_{_language}", f"code:{_language}", partial(_code, _language), RecursiveConfig(512))
+templated("markdown_chunks", "markdown", _markdown, RecursiveConfig(512))
 
 
 @query(
@@ -292,7 +258,7 @@ _TEXT_PATH = "'/' || source || '/' || doc_id || '.txt'"
 
 @query(
     "chunk_payload",
-    f"""WITH RECURSIVE {chunks_cte(512)},
+    f"""WITH RECURSIVE {chunks_cte(512, alone=True)},
 ids AS (
   SELECT *, {_UUID} AS id FROM (
     SELECT c.*, p.path, p.size_bytes, lpad(printf('%x', c.chunk_index), 16, '0') AS h,
@@ -307,7 +273,7 @@ FROM ids WINDOW w AS (PARTITION BY path ORDER BY chunk_index)""",
 )
 def chunk_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of all documents, ids by SHA-256."""
-    files = document_files(spark, sf_dir, plain=True).where("text <> ''")
+    files = document_files(spark, sf_dir, plain=True).where("text IS NOT NULL")
     return point_rows(with_chunks(files, ChunkerConfig(single="recursive")), "sha256")
 
 
@@ -471,3 +437,6 @@ def semantic_merge_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = semantic_groups(_distances(spark, sf_dir), "label", "vec_id", 95)
     sizes = grouped.groupBy("label", "group_no").agg(F.count(F.lit(1)).alias("size"))
     return merge_small_groups(sizes, "label", "group_no", "size", 5)
+
+
+from . import made  # noqa: E402, F401  it registers its queries, and needs the functions above

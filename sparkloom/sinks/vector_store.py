@@ -9,11 +9,15 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..errors import LoomError
-from ..operators.embedding import request
+from ..operators.embedding import request, retried
+
+#: What became of the points of a document.
+OUTCOMES = "canonical_path string, size_bytes long, mtime_unix_secs long, points long, error_kind string, error_message string"
 
 
 class Sink:
@@ -23,12 +27,19 @@ class Sink:
     def upsert(self, points: DataFrame) -> None:
         raise NotImplementedError
 
+    def outcomes(self, points: DataFrame, retries: int = 0) -> DataFrame | None:
+        """Upserts points that have a source_path, and gives a row for each document (see OUTCOMES), to be evaluated once; None
+        if a sink takes all points or raises."""
+        self.upsert(points.drop("source_path"))
+        return None
+
 
 @dataclass(frozen=True)
 class HttpVectorStore(Sink):
     """A collection of a vector store. vector_size: if given, prepare() makes the collection if it is missing.
 
-    Points are put by the tasks that hold them, in requests of batch points.
+    Points are put by the tasks that hold them, in requests of at most batch points of one document: a document that fails
+    takes no other with it.
     """
 
     url: str
@@ -66,19 +77,41 @@ class HttpVectorStore(Sink):
             raise LoomError("sink", f"upsert status is not ok: {text}")
 
     def upsert(self, points: DataFrame) -> None:
+        sent = self.outcomes(points.withColumn("source_path", F.col("payload.canonical_path")))
+        n, first = sent.agg(F.count("error_kind"), F.first("error_message", True)).first()
+        if n:
+            raise LoomError("sink", f"{n} documents failed, among them: {first}")
+
+    def outcomes(self, points: DataFrame, retries: int = 0) -> DataFrame:
         put, size = self.put, self.batch
 
-        def send(rows: Iterator[Row]) -> None:
-            held: list[dict] = []
-            for row in rows:
-                held.append({"id": checked_id(row.id), "vector": list(row.vector), "payload": json.loads(row.payload)})
-                if len(held) >= size:
-                    put(held)
-                    held = []
+        def finish(document: tuple, held: list[dict]) -> tuple:
+            try:
+                for row in held:
+                    row["id"] = checked_id(row["id"])
+                for at in range(0, len(held), size):
+                    retried(lambda k=at: put(held[k : k + size]), retries)
+            except LoomError as e:
+                return *document, len(held), e.kind, str(e)
+            return *document, len(held), None, None
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held, done = None, [], []
+            for batch in batches:
+                for row in batch.to_pylist():  # the points of a document follow each other
+                    document = row["canonical_path"], row["size_bytes"], row["mtime_unix_secs"]
+                    if document != now and held:
+                        done.append(finish(now, held))
+                        held = []
+                    now = document
+                    held.append({"id": row["id"], "vector": row["vector"], "payload": json.loads(row["payload"])})
             if held:
-                put(held)
+                done.append(finish(now, held))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], names=["canonical_path", "size_bytes", "mtime_unix_secs", "points", "error_kind", "error_message"])
 
-        points.select("id", "vector", F.to_json("payload", {"ignoreNullFields": "false"}).alias("payload")).foreachPartition(send)
+        payload = F.to_json("payload", {"ignoreNullFields": "false"}).alias("payload")
+        return points.select("id", "vector", payload, F.col("source_path").alias("canonical_path"), "payload.size_bytes", "payload.mtime_unix_secs").mapInArrow(send, OUTCOMES)
 
 
 @dataclass(frozen=True)

@@ -3,12 +3,14 @@
     dirscan stream → versions not planned before (state) → UTF-8 text → chunks → points → vectors → foreachBatch → sink
 
 The checkpoint holds offsets and the state of planned versions; it takes the place of a write-ahead log. A batch that
-fails is run again as a whole, and upserts by id make that harmless. A document that can't be loaded or chunked doesn't stop
-the stream: it is a row with an error in the results, and it is not acknowledged.
+fails is run again as a whole, and upserts by id make that harmless. A document that can't be loaded, chunked, embedded or
+upserted doesn't stop the stream: it is a row with an error in the results, it is logged, and it is not acknowledged. Requests
+to services are tried again a bounded number of times first, and hold chunks of one document only.
 """
 
 from __future__ import annotations
 
+import logging
 import threading
 import time
 from dataclasses import dataclass, field
@@ -22,7 +24,7 @@ from ..functions.identity import file_version_id
 from ..functions.text import utf8_text
 from ..operators import planning
 from ..operators.embedding import LocalProvider, Provider
-from ..operators.points import point_rows, with_vectors
+from ..operators.points import embed_documents, payload_rows, point_rows
 from ..operators.routing import ChunkerConfig, with_chunks
 from ..sinks.vector_store import Sink
 from ..sources import dirscan
@@ -32,7 +34,7 @@ from ..sources import dirscan
 class IngestConfig:
     """ack_path: a folder to which acknowledgements of each batch are appended, if given. ack_failed: failed files are
     acknowledged, too. max_files: of a micro-batch; 0 for no bound. signals: what embeds sentences for the semantic chunker,
-    by default the provider of the points' vectors."""
+    by default the provider of the points' vectors. retries: of a request to a service."""
 
     root: str
     checkpoint: str
@@ -42,6 +44,7 @@ class IngestConfig:
     ack_failed: bool = False
     max_files: int = 0
     signals: Provider | None = None
+    retries: int = 2
 
 
 def loaded(files: DataFrame) -> DataFrame:
@@ -102,23 +105,40 @@ class IngestSummary(StreamingQueryListener):
         self.flush("shutdown")
 
 
-def write_batch(batch: DataFrame, sink: Sink, config: IngestConfig, provider: Provider, summary: IngestSummary | None = None) -> None:
-    """One micro-batch of planned versions: chunks once, writes points, then acknowledges."""
-    results = document_results(batch, config.chunker, config.signals or provider).persist(StorageLevel.MEMORY_AND_DISK)
+def write_batch(batch: DataFrame, sink: Sink, config: IngestConfig, provider: Provider, summary: IngestSummary | None = None, log: logging.Logger | None = None) -> None:
+    """One micro-batch of planned versions: chunks and embeds once, writes points, then acknowledges and logs.
+
+    Documents that fail before the sink, and what becomes of the others in it, are two tables, which need not be joined.
+    """
+    log = log or logging.getLogger("sparkloom")
+    began, version = time.monotonic(), [F.col(c) for c in planning.VERSION]
+    embedded = embed_documents(document_results(batch, config.chunker, config.signals or provider), provider, config.retries).persist(StorageLevel.MEMORY_AND_DISK)
+    failed = F.col("error_kind").isNotNull()
+    early = embedded.where(failed).select(*version, F.lit(0).cast("long").alias("points"), "error_kind", "error_message")
+    sent = sink.outcomes(payload_rows(point_rows(embedded.where(~failed), config.hash_name)), config.retries)
+    if sent is None:
+        sent = embedded.where(~failed).select(*version, F.size("chunks").cast("long").alias("points"), "error_kind", "error_message")
+    sent = sent.persist(StorageLevel.MEMORY_AND_DISK)
+    counts = dict.fromkeys(("discovered", "indexed", "failed", "emitted_points"), 0)
     try:
-        n = results.agg(F.count(F.lit(1)), F.count_if(F.col("status") == "ok"), F.coalesce(F.sum(F.when(F.col("status") == "ok", F.size("chunks"))), F.lit(0))).first()
-        if not n[0]:
-            return
-        if summary is not None:
-            summary.add(discovered=n[0])
-        sink.upsert(with_vectors(point_rows(results.where("status = 'ok'"), config.hash_name), provider))
-        if config.ack_path:
-            done = results.withColumn("seq", F.lit(time.time_ns()))
-            planning.acknowledgements(done, only_ok=not config.ack_failed).write.mode("append").parquet(config.ack_path)
+        for outcomes in (early, sent):
+            n, bad, points = outcomes.agg(F.count(F.lit(1)), F.count("error_kind"), F.coalesce(F.sum(F.when(~failed, F.col("points"))), F.lit(0))).first()
+            for name, more in (("discovered", n), ("indexed", n - bad), ("failed", bad), ("emitted_points", int(points))):
+                counts[name] += more
+            if config.ack_path and n:
+                done = outcomes.withColumns({"seq": F.lit(time.time_ns()), "status": F.when(failed, "failed").otherwise("ok")})
+                planning.acknowledgements(done, only_ok=not config.ack_failed).write.mode("append").parquet(config.ack_path)
+            for r in outcomes.where(failed).toLocalIterator() if bad else ():
+                log.warning({"event": "document.failed", "canonical_path": r.canonical_path, "error_kind": r.error_kind, "error_message": r.error_message})
+            for r in outcomes.where(~failed).toLocalIterator() if log.isEnabledFor(logging.DEBUG) else ():
+                log.debug({"event": "document.indexed", "canonical_path": r.canonical_path, "points": r.points})
+        if counts["discovered"]:
+            log.info({"event": "ingest.batch", **counts, "elapsed_ms": int(1000 * (time.monotonic() - began))})
         if summary is not None:
-            summary.add(indexed=n[1], failed=n[0] - n[1], emitted_points=int(n[2]))
+            summary.add(**counts)
     finally:
-        results.unpersist()
+        sent.unpersist()
+        embedded.unpersist()
 
 
 def planned_stream(spark: SparkSession, config: IngestConfig) -> DataFrame:
@@ -131,12 +151,12 @@ def planned_stream(spark: SparkSession, config: IngestConfig) -> DataFrame:
     return versions.dropDuplicates(["file_version_id"])
 
 
-def start(spark: SparkSession, config: IngestConfig, sink: Sink, provider: Provider | None = None, summary: IngestSummary | None = None, once: bool = False, interval: str = "1 second") -> StreamingQuery:
+def start(spark: SparkSession, config: IngestConfig, sink: Sink, provider: Provider | None = None, summary: IngestSummary | None = None, once: bool = False, interval: str = "1 second", log: logging.Logger | None = None) -> StreamingQuery:
     """Starts ingestion. once: takes what is there and ends; else looks for changes at an interval until it is stopped."""
     provider = provider or LocalProvider()
     sink.prepare()
     if summary is not None:
         spark.streams.addListener(summary)
     writer = planned_stream(spark, config).writeStream.option("checkpointLocation", config.checkpoint).queryName("ingest")
-    writer = writer.foreachBatch(lambda batch, _: write_batch(batch, sink, config, provider, summary))
+    writer = writer.foreachBatch(lambda batch, _: write_batch(batch, sink, config, provider, summary, log))
     return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime=interval).start()

@@ -119,6 +119,41 @@ def test_upserts_over_http(spark, server, tmp_path):
     assert {len(p["vector"]) for p in sent} == {4} and None in {p["payload"]["previous_chunk_id"] for p in sent} and len(sent[0]["payload"]) == 16
 
 
+def test_a_poison_document_stops_no_other(spark, server, tmp_path):
+    import io
+
+    for i in range(10):
+        write(tmp_path / "in" / f"{i}.txt", "one venom" if i == 4 else f"text number {i}")
+    store, provider = HttpVectorStore(server.url, "docs"), HttpProvider(server.url + "/embed", "m")
+    vectors = lambda body: json.dumps({"status": "ok"} if "points" in body else {"embeddings": [[1.0, 2.0] for _ in body["input"]]})
+    poisoned = lambda where: lambda body: "no json" if "venom" in json.dumps(body) and where in body else vectors(body)
+    for where, kind in (("input", "embed"), ("points", "sink")):
+        server.asked.clear()
+        server.answers = [(200, poisoned(where))]
+        out, said = io.StringIO(), []
+        log = configure_logging({"SPARKLOOM_LOG_FORMAT": "json", "SPARKLOOM_LOG": "debug"}, out)
+        config = IngestConfig(str(tmp_path / "in"), str(tmp_path / f"cp-{where}"), ChunkerConfig(single="recursive"), ack_path=str(tmp_path / f"acks-{where}"), retries=1)
+        summary = IngestSummary(said.append)
+        start(spark, config, store, provider, summary, once=True, log=log).awaitTermination()
+        spark.streams.removeListener(summary)
+        summary.flush("test")
+        events = [json.loads(x) for x in out.getvalue().splitlines()]
+        failed = [e for e in events if e["event"] == "document.failed"]
+        assert len(failed) == 1
+        assert failed[0]["error_kind"] == kind and failed[0]["canonical_path"].endswith("4.txt") and failed[0]["error_message"]
+        assert sum(e["event"] == "document.indexed" for e in events) == 9 and sum(e["failed"] for e in events if e["event"] == "ingest.batch") == 1
+        assert {k: sum(s[k] for s in said) for k in ("discovered", "indexed", "failed")} == {"discovered": 10, "indexed": 9, "failed": 1}
+        stored = [p["payload"]["chunk_text"] for _, _, _, body in server.asked if "points" in body for p in body["points"] if where == "input" or "venom" not in p["payload"]["chunk_text"]]
+        assert len(set(stored)) >= 9 and not any("venom" in t for t in stored)
+        asked = [body for _, _, _, body in server.asked if where in body and "venom" in json.dumps(body)]
+        assert len(asked) == 2  # once, and one retry
+        assert spark.read.parquet(config.ack_path).count() == 9
+    server.answers = [(500, "down")]
+    df = spark.createDataFrame([("i", [1.0], ("p", 1, 2))], "id string, vector array<float>, payload struct<canonical_path:string,size_bytes:long,mtime_unix_secs:long>")
+    with pytest.raises(LoomError, match="1 documents failed"):
+        store.upsert(df)
+
+
 def test_store_errors(server):
     store = HttpVectorStore(server.url + "/", "c", 3)
     for status, body in ((500, "down"), (400, '{"message":"wrong vector size"}'), (200, '{"status":"error"}'), (200, "no json")):
@@ -215,6 +250,10 @@ def test_command_line(tmp_path):
     assert parse_args([*BASE, "--size-metric", "tokens"]).chunker.sizes.max_size == 512
     assert parse_args([*BASE, "--create-collection-if-missing"]).store.vector_size == 1536
     assert parse_args(["--help", "--collection", ""]) == "help" and parse_args(["--version"]) == "version"
+    assert parse_args(["-h"]) == "help" and parse_args(["-V"]) == "version"
+    assert (c.ack_path, c.ack_failed, c.max_files, c.retries) == (None, False, 0, 2)
+    told = parse_args([*BASE, "--ack-path", "/a", "--ack-failed", "--max-files", "7", "--retries=0"])
+    assert (told.ack_path, told.ack_failed, told.max_files, told.retries) == ("/a", True, 7, 0)
     assert parse_args([*BASE, "--chunker-strategy", "legacy"]).warnings
     single = parse_args([*BASE, "--chunker-mode", "single", "--chunker-single", "code:rust"])
     assert single.chunker.single == "code:rust"
@@ -232,6 +271,7 @@ def test_command_line(tmp_path):
         ([], "--dir is required"),
         (BASE[:-2], "--openai-api-key is required"),
         ([*BASE, "--size-max", "x"], "whole number"),
+        ([*BASE, "--max-files", "-1"], "whole number"),
         ([*BASE, "--collection-vector-size"], "needs a value"),
         ([*BASE, "--collection-vector-size", "0"], "at least 1"),
         ([*BASE, "--once=1"], "takes no value"),
@@ -277,5 +317,6 @@ def test_main(capsys):
     from sparkloom.__main__ import main
 
     assert main(["--help"]) == 0 and "usage: sparkloom" in capsys.readouterr().out
-    assert main(["--version"]) == 0
+    assert main(["--version"]) == 0 and main(["-V"]) == 0 and main(["-h"]) == 0
+    capsys.readouterr()
     assert main(["--nope"]) == 1 and "fatal: invalid input: unknown argument: --nope" in capsys.readouterr().err
