@@ -3,8 +3,8 @@
 An archive is one file:
 
 * independent Zstandard frames, each of whole records, about FRAME_BYTES of them;
-* a skippable frame with the record index: for each record its page id, whether that is not null, its frame and its
-  offset within the frame's decompressed bytes;
+* a skippable frame with the record index: for each record its page id, whether that is not null (1) and whether other rows
+  have it, too (2), its frame and its offset within the frame's decompressed bytes;
 * a skippable frame with the seek table, as the seekable format has it: compressed and decompressed size of each frame,
   then the number of frames and the magic number, so that a reader starts at the file's end.
 
@@ -12,10 +12,14 @@ A page becomes a ``response`` record, or a ``revisit`` if an equal payload of at
 page id; a revisit names that response and keeps the HTTP header, whose Content-Length is that of the whole payload, but
 not the payload.
 
+``record_locations`` gives the table from record ids to archive, frame and offset, read from the indexes alone, and ``fetch`` a
+record of it, of which it reads one frame.
+
 A null page id is larger than any other; where all ids of a payload are null, its records are responses. Rows that share an
-id are told apart by an ordinal in their record id; each of them that has the smallest id of its payload is a response.
-Null html is an empty payload, a null url gives no target.
-Other columns are not read. An empty table gives no archives.
+id, or have none, are told apart by the archive and their number in it, which their record ids name; each of them that has the
+smallest id of its payload is a response. A revisit names the page of its response, whose record id is that of the page alone
+unless rows share it. Null html is an empty payload, a null url gives no target. Other columns are not read, whatever their
+names. An empty table gives no archives. A payload of any length lies in one frame.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,8 +50,9 @@ IDENTICAL_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-d
 NO_DATE = "1970-01-01T00:00:00Z"
 
 
-def record_id(page_id: int | None, ordinal: int = 0) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}{f'/{ordinal}' if ordinal else ''}>"
+def record_id(page_id: int | None, place: str = "") -> str:
+    """place: tells the records of rows that share a page id apart."""
+    return f"<urn:page:{'null' if page_id is None else page_id}{f'/{place}' if place else ''}>"
 
 
 def page_of(name: str) -> int | None:
@@ -71,9 +77,9 @@ class Record:
     url: str | None
     payload: bytes | None
 
-    def bytes(self, ordinal: int = 0) -> bytes:
+    def bytes(self, place: str = "") -> bytes:
         http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {self.length}\r\n\r\n".encode()
-        lines = ["WARC/1.1", f"WARC-Type: {self.kind}", f"WARC-Record-ID: {record_id(self.page_id, ordinal)}", f"WARC-Date: {NO_DATE}"]
+        lines = ["WARC/1.1", f"WARC-Type: {self.kind}", f"WARC-Record-ID: {record_id(self.page_id, place)}", f"WARC-Date: {NO_DATE}"]
         if self.url is not None:
             lines.append(f"WARC-Target-URI: {header_text(self.url)}")
         lines.append(f"WARC-Payload-Digest: sha256:{self.digest}")
@@ -101,20 +107,24 @@ def parse(data: bytes, at: int = 0) -> Record:
 
 
 class ArchiveWriter:
-    """Writes records to an open stream; close() appends the record index and the seek table."""
+    """Writes records to an open stream; close() appends the record index and the seek table. name: the archive's."""
 
-    def __init__(self, out: pa.NativeFile, frame_bytes: int = FRAME_BYTES) -> None:
-        self.out, self.frame_bytes = out, frame_bytes
+    def __init__(self, out: pa.NativeFile, name: str, frame_bytes: int = FRAME_BYTES) -> None:
+        self.out, self.name, self.frame_bytes = out, name, frame_bytes
         self.zstd = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
         self.held: list[bytes] = []
         self.size = 0
         self.frames: list[tuple[int, int]] = []
-        self.index: list[tuple[int, bool, int, int]] = []
-
-    def add(self, page_id: int | None, record: bytes) -> None:
-        self.index.append((page_id or 0, page_id is not None, len(self.frames), self.size))
-        self.held.append(record)
-        self.size += len(record)
+        self.ids, self.kinds, self.places = array("q"), bytearray(), array("I")  # of the index; places: frame and offset in turns
+
+    def add(self, record: Record, shared: bool) -> None:
+        """shared: other rows have the record's page id, too, or it has none."""
+        raw = record.bytes(place(self.name, len(self.ids)) if shared else "")
+        self.ids.append(record.page_id or 0)
+        self.kinds.append((record.page_id is not None) + 2 * shared)
+        self.places.extend((len(self.frames), self.size))
+        self.held.append(raw)
+        self.size += len(raw)
         if self.size >= self.frame_bytes:
             self._end_frame()
 
@@ -130,8 +140,8 @@ class ArchiveWriter:
 
     def close(self) -> None:
         self._end_frame()
-        columns = list(zip(*self.index, strict=True)) or [()] * 4
-        self._skippable(INDEX_FRAME, struct.pack("<Q", len(self.index)) + b"".join(np.array(c, k).tobytes() for c, k in zip(columns, ("<i8", "u1", "<u4", "<u4"), strict=True)))
+        ids, places = np.asarray(self.ids).astype("<i8"), np.asarray(self.places).astype("<u4")
+        self._skippable(INDEX_FRAME, struct.pack("<Q", len(ids)) + ids.tobytes() + bytes(self.kinds) + places[::2].tobytes() + places[1::2].tobytes())
         self._skippable(SEEK_TABLE_FRAME, np.array(self.frames, "<u4").tobytes() + struct.pack("<IBI", len(self.frames), 0, SEEKABLE))
 
 
@@ -139,7 +149,7 @@ class Archive:
     """Reads an archive from its end: the seek table, the record index, then any frame for itself."""
 
     def __init__(self, uri: str) -> None:
-        self.file = open_map(uri)
+        self.file, self.name = open_map(uri), archive_name(uri)
         size = self.file.size()
         n, _, magic = struct.unpack("<IBI", self.file.read_at(9, size - 9))
         if magic != SEEKABLE:
@@ -153,7 +163,8 @@ class Archive:
             raise ValueError(f"{uri} has no record index")
         raw = self.file.read_at(length, at + 8)
         (count,) = struct.unpack_from("<Q", raw)
-        self.ids, self.known = np.frombuffer(raw, "<i8", count, 8), np.frombuffer(raw, "u1", count, 8 + 8 * count).astype(bool)
+        self.ids, kinds = np.frombuffer(raw, "<i8", count, 8), np.frombuffer(raw, "u1", count, 8 + 8 * count)
+        self.known, self.shared = kinds & 1 == 1, kinds & 2 == 2
         self.frame, self.offset = (np.frombuffer(raw, "<u4", count, 8 + 9 * count + 4 * count * k) for k in (0, 1))
         self.zstd = zstandard.ZstdDecompressor()
 
@@ -164,10 +175,17 @@ class Archive:
         a, b = int(self.starts[k]), int(self.starts[k + 1])
         return self.zstd.decompress(self.file.read_at(b - a, a), max_output_size=int(self.sizes[k]))
 
+    def record_ids(self) -> list[str]:
+        return [record_id(i if known else None, place(self.name, k) if shared else "") for k, (i, known, shared) in enumerate(zip(self.ids.tolist(), self.known.tolist(), self.shared.tolist(), strict=True))]
+
+    def at(self, frame: int, offset: int) -> Record:
+        """The record at a place; reads its frame only."""
+        return parse(self.read_frame(frame), offset)
+
     def find(self, page_id: int) -> Record | None:
         """The first record of a page; reads its frame only."""
         at = np.flatnonzero(self.known & (self.ids == page_id))
-        return parse(self.read_frame(int(self.frame[at[0]])), int(self.offset[at[0]])) if len(at) else None
+        return self.at(int(self.frame[at[0]]), int(self.offset[at[0]])) if len(at) else None
 
     def __iter__(self) -> Iterator[Record]:
         now, data = -1, b""
@@ -177,6 +195,15 @@ class Archive:
             yield parse(data, at)
 
 
+def archive_name(uri: str) -> str:
+    return uri.rpartition("/")[2].partition(".")[0]
+
+
+def place(archive: str, number: int) -> str:
+    """Of a record in its archive, for ids of rows that share a page id."""
+    return f"{archive}-{number}"
+
+
 def response_of(pages: DataFrame) -> DataFrame:
     """(digest, refers_to): payloads of at least LEAST_SHARED bytes that several rows have, and their smallest page id.
 
@@ -186,6 +213,9 @@ def response_of(pages: DataFrame) -> DataFrame:
     return digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "refers_to")
 
 
+_READ = ("page_id", "url", "html", "digest", "refers_to", "shares", "again")
+
+
 def write_archives(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Writes an archive for each partition and returns the written table (path, n_records) of them.
 
@@ -201,30 +231,33 @@ def write_archives(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES
         rows = rows.withColumn("refers_to", F.lit(None).cast("long")).withColumn("shares", F.lit(False))
     else:
         rows = rows.join(shared, "digest", "left").withColumn("shares", F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    again = written(pages.select(F.col("page_id").cast("long").alias("again")).where("again IS NOT NULL").groupBy("again").count().where("count > 1").select("again"), "shared-ids", thin=True)
+    if again.isEmpty():
+        rows = rows.withColumn("again", F.col("page_id").isNull())
+    else:
+        rows = rows.join(again, rows["page_id"] == again["again"], "left").withColumn("again", F.col("page_id").isNull() | F.col("again").isNotNull())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
         path = f"{folder}/{uuid.uuid4().hex}.warc.zst"  # a task may hold several partitions; a repeated one writes anew
-        seen: dict[int | None, int] = {}
         with whole_file(path) as out:
-            archive = ArchiveWriter(out, frame_bytes)
+            archive = ArchiveWriter(out, archive_name(path), frame_bytes)
             batch: pa.RecordBatch | None = first
             while batch is not None:
-                for page_id, url, html, digest, refers, shares in zip(*(batch.column(c) for c in ("page_id", "url", "html", "digest", "refers_to", "shares")), strict=True):
+                for page_id, url, html, digest, refers, shares, shared_id in zip(*(batch.column(c) for c in _READ), strict=True):
                     i, payload = page_id.as_py(), html.as_py().encode("utf-8", "surrogatepass")
-                    ordinal = seen[i] = seen.get(i, -1) + 1
                     if shares.as_py():
                         record = Record(i, "revisit", len(payload), digest.as_py(), refers.as_py(), url.as_py(), None)
                     else:
                         record = Record(i, "response", len(payload), digest.as_py(), None, url.as_py(), payload)
-                    archive.add(i, record.bytes(ordinal))
+                    archive.add(record, shared_id.as_py())
                 batch = next(batches, None)
             archive.close()
-        yield pa.RecordBatch.from_pydict({"path": [path], "n_records": pa.array([len(archive.index)], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"path": [path], "n_records": pa.array([len(archive.ids)], pa.int64())})
 
-    return written(rows.select("page_id", "url", "html", "digest", "refers_to", "shares").mapInArrow(write, "path string, n_records long"), "archives")
+    return written(rows.select(*_READ).mapInArrow(write, "path string, n_records long"), "archives")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -245,6 +278,25 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.repartition(n, "path").mapInArrow(read, schema)
 
 
+def record_locations(archives: DataFrame) -> DataFrame:
+    """(record_id, page_id, path, frame, offset) of every record of the archives in a table; no frame is read."""
+    n = max(1, archives.count())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                a = Archive(path)
+                columns = [pa.array(a.record_ids(), pa.string()), pa.array(a.ids, mask=~a.known), pa.array([path] * len(a), pa.string()), pa.array(a.frame.astype(np.int64)), pa.array(a.offset.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["record_id", "page_id", "path", "frame", "offset"])
+
+    return archives.repartition(n, "path").mapInArrow(read, "record_id string, page_id long, path string, frame long, offset long")
+
+
+def fetch(path: str, frame: int, offset: int) -> Record:
+    """The record at a place that record_locations names."""
+    return Archive(path).at(frame, offset)
+
+
 def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(table(spark, sf_dir, "pages"), shared_folder(spark, "warc")))
 

@@ -51,9 +51,9 @@ def test_archive_is_a_seekable_bundle(tmp_path):
     records = [warc.Record(i, "response", n := 100 * i, hashlib.sha256(b"z" * n).hexdigest(), None, f"http://u/{i}", b"z" * n) for i in range(50)]
     path = f"{tmp_path}/a.warc.zst"
     with pa.OSFile(path, "wb") as out:
-        writer = warc.ArchiveWriter(out, 20_000)
+        writer = warc.ArchiveWriter(out, "a", 20_000)
         for r in records:
-            writer.add(r.page_id, r.bytes())
+            writer.add(r, False)
         writer.close()
     raw = open(path, "rb").read()
     n, _, magic = struct.unpack("<IBI", raw[-9:])
@@ -65,6 +65,24 @@ def test_archive_is_a_seekable_bundle(tmp_path):
     assert archive.find(7) == records[7] and archive.find(99) is None
 
 
+def test_record_ids_are_unique_and_lead_to_their_records(spark, tmp_path):
+    rows = [(7, f"http://h/{i}", f"{i % 3}" * 150) for i in range(30)] + [(None, "u", "n" * 200)] * 5 + [(i, f"http://o/{i}", "short" if i % 2 else "x" * 300) for i in range(100, 130)]
+    table = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS digest", "2 AS again", "3 AS PATH").repartition(6)
+    archives = warc.write_archives(table, str(tmp_path), 500)
+    assert archives.count() > 3
+    found = warc.record_locations(archives).collect()
+    assert len({r.record_id for r in found}) == len(found) == len(rows)
+    got = []
+    for r in found:
+        record = warc.fetch(r.path, r.frame, r.offset)
+        assert record.page_id == r.page_id
+        raw = warc.Archive(r.path).read_frame(r.frame)[r.offset :]
+        assert f"WARC-Record-ID: {r.record_id}\r\n".encode() in raw[:400]
+        got.append((record.page_id, record.url, record.length))
+    assert sorted(got, key=str) == sorted(((i, u, len(h)) for i, u, h in rows), key=str)
+    assert {r.record_id for r in found if r.page_id and r.page_id >= 100} == {f"<urn:page:{i}>" for i in range(100, 130)}
+
+
 def test_damage_is_found():
     record = warc.Record(1, "response", 5, hashlib.sha256(b"right").hexdigest(), None, None, b"wrong")
     with pytest.raises(ValueError, match="does not hold the payload"):
