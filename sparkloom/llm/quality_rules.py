@@ -28,7 +28,7 @@ WINDOW = 5
 #: Base rule: fewer words, or a larger share of words in repeated windows, and a document is not judged further.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-EXTRA = ("n_lines", "n_letters", "n_upper", "n_shouts", "n_distinct")
+EXTRA = ("n_lines", "n_letters", "n_upper", "n_shouts", "n_distinct", "n_alphabetic")
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -44,7 +44,8 @@ def rules(c: dict[str, Column]) -> dict[str, Column]:
     length, symbols = _share(c["word_chars"], c["n_words"]), _share(c["n_symbols"], c["n_words"])
     again, lines = _share(c["n_repeat_words"], c["n_words"]), _share(c["n_dup_lines"], c["n_lines"])
     letters, upper = _share(c["n_letters"], c["word_chars"]), _share(c["n_upper"], c["n_letters"])
-    shouts, distinct = _share(c["n_shouts"], c["n_words"]), _share(c["n_distinct"], F.least(c["n_words"], F.lit(200)))
+    shouts, alphabetic = _share(c["n_shouts"], c["n_words"]), _share(c["n_alphabetic"], c["n_words"])
+    distinct = c["n_distinct"] / F.sqrt(F.greatest(c["n_words"], F.lit(1)))  # which hardly depends on the length of a text
     return {
         "word_length": _rule(length, length.between(3, 10), (length < 2) | (length > 14)),
         "symbols": _rule(symbols, symbols < 0.02, symbols > 0.1),
@@ -53,7 +54,8 @@ def rules(c: dict[str, Column]) -> dict[str, Column]:
         "letters": _rule(letters, letters > 0.85, letters < 0.7),
         "upper_case": _rule(upper, upper < 0.2, upper > 0.4),
         "shouting": _rule(shouts, shouts < 0.02, shouts > 0.2),
-        "vocabulary": _rule(distinct, distinct > 0.3, distinct < 0.1),
+        "vocabulary": _rule(distinct, distinct > 4, distinct < 1),
+        "alphabetic": _rule(alphabetic, alphabetic > 0.95, alphabetic < 0.8),
     }
 
 
@@ -89,12 +91,13 @@ def annotate(df: DataFrame, text: str = "text", keep: list[str] | None = None) -
         name["n_upper"]: chars(r"\P{Lu}+"),
         name["n_shouts"]: chars(r"[^!]+"),
         name["n_distinct"]: F.size(F.array_distinct(w)).cast("long"),
+        name["n_alphabetic"]: F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).cast("long"),
     }
     line_name = unused_name(clash, "tmp_lines")
     made[line_name] = made.pop("_lines")
     step = _pick(step, keep, **made)
 
-    done = [*keep, *(name[c] for c in ("n_words", "word_chars", "n_symbols", "n_letters", "n_upper", "n_shouts", "n_distinct"))]
+    done = [*keep, *(name[c] for c in ("n_words", "word_chars", "n_symbols", "n_letters", "n_upper", "n_shouts", "n_distinct", "n_alphabetic"))]
     h, ln = col("h"), F.col(f"`{line_name}`")
     found_twice = F.size(F.array_distinct(h)) < F.size(h)
     ordered = F.when(found_twice, F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))

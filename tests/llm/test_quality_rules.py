@@ -1,7 +1,9 @@
 import random
 import re
 
+import numpy as np
 import pytest
+import regex
 
 from sparkloom.llm import quality_rules as q
 
@@ -42,10 +44,82 @@ def test_counts_equal_brute_force(docs, folder, spark):
     assert not found.where("base_failed and kept").count()
 
 
-def test_plan_has_no_python(docs, spark):
+def plain_votes(text):
+    """The rules' votes, from the text alone."""
+    words, lines = WORD.findall(text or ""), [x for x in (text or "").split("\n") if WORD.search(x)]
+    n, chars = max(1, len(words)), max(1, sum(map(len, words)))
+    letters = regex.findall(r"\p{L}", text or "")
+    shares = [
+        (sum(map(len, words)) / n, lambda x: 3 <= x <= 10, lambda x: x < 2 or x > 14),
+        (sum(c in "#*$%&|<>" for c in text or "") / n, lambda x: x < 0.02, lambda x: x > 0.1),
+        (plain(text)[4] / n, lambda x: x < 0.05, lambda x: x > 0.15),
+        ((len(lines) - len(set(lines))) / max(1, len(lines)), lambda x: x < 0.1, lambda x: x > 0.3),
+        (len(letters) / chars, lambda x: x > 0.85, lambda x: x < 0.7),
+        (len(regex.findall(r"\p{Lu}", text or "")) / max(1, len(letters)), lambda x: x < 0.2, lambda x: x > 0.4),
+        ((text or "").count("!") / n, lambda x: x < 0.02, lambda x: x > 0.2),
+        (len(set(words)) / n**0.5, lambda x: x > 4, lambda x: x < 1),
+        (sum(bool(regex.search(r"\p{L}", w)) for w in words) / n, lambda x: x > 0.95, lambda x: x < 0.8),
+    ]
+    return tuple(-1 if bad(x) else 1 if good(x) else 0 for x, good, bad in shares)
+
+
+def plain_quality(table, rounds=200):
+    """Posteriors of vote rows by expectation-maximisation over rows, one after the other, with arrays."""
+    votes = np.array(table)
+    good = np.where((votes == -1).any(1), 0.1, np.where((votes == 1).any(1), 0.9, 0.5))
+    last = None
+    for _ in range(rounds):
+        prior = (1 + good.sum()) / (2 + len(good))
+        on_good = np.clip((18 + ((votes == 1) * good[:, None]).sum(0)) / (20 + ((votes != 0) * good[:, None]).sum(0)), 1e-6, 1 - 1e-6)
+        on_bad = np.clip((3 + ((votes == -1) * (1 - good)[:, None]).sum(0)) / (5 + ((votes != 0) * (1 - good)[:, None]).sum(0)), 1e-6, 1 - 1e-6)
+        p = np.log(prior) + np.where(votes == 1, np.log(on_good), np.where(votes == -1, np.log(1 - on_good), 0)).sum(1)
+        r = np.log(1 - prior) + np.where(votes == 1, np.log(1 - on_bad), np.where(votes == -1, np.log(on_bad), 0)).sum(1)
+        good = 1 / (1 + np.exp(r - p))
+        likely = np.logaddexp(p, r).sum()
+        if last is not None and abs(likely - last) <= 1e-9 * max(1, abs(last)):
+            break
+        last = likely
+    return 1 / (1 + np.exp(r - p))
+
+
+def junk_and_prose(n=150):
+    rng = random.Random(8)
+    sounds = ["ri", "sto", "wa", "gre", "le", "spo", "win", "ta", "mor", "hou", "ne", "ver"]
+    word = lambda: "".join(rng.choices(sounds, k=rng.randint(1, 4)))
+    prose = [" ".join([word() for _ in range(rng.randint(30, 300))]).capitalize() + "." for _ in range(n)]
+    piped = [" | ".join(word() for _ in range(rng.randint(15, 150))) for _ in range(n // 10)]
+    marked = [" ".join(word() + rng.choice(["###", "&&&", "%%%"]) for _ in range(rng.randint(30, 300))) for _ in range(n // 10)]
+    shouted = [" ".join(word().upper() + "!!" for _ in range(rng.randint(30, 300))) for _ in range(n // 10)]
+    return prose, piped + marked + shouted
+
+
+def test_kept_equals_plain_expectation_maximisation(docs, folder, spark):
+    prose, junk = junk_and_prose()
+    rows = list(enumerate(prose + junk + texts()))
+    found = {r.doc_id: r for r in q.op4_quality_rules(spark, folder(documents=docs(rows))).collect()}
+    judged = [(i, t) for i, t in rows if not plain(t)[5]]
+    want = plain_quality([plain_votes(t) for _, t in judged])
+    for (i, _), p in zip(judged, want):
+        assert found[i].quality == pytest.approx(p, abs=1e-6) and found[i].kept == (p >= 0.5)
+    assert not any(r.kept for i, r in found.items() if plain(dict(rows)[i])[5])
+    assert all(found[i].kept for i in range(len(prose)))
+    assert sum(found[i].kept for i in range(len(prose), len(prose) + len(junk))) <= 0.1 * len(junk)
+
+
+def test_a_very_long_text(docs, folder, spark):
+    long = "\n".join(f"line {i} of a text that goes on and on, word{i % 977}" for i in range(60_000))
+    r = q.op4_quality_rules(spark, folder(documents=docs([(1, long), (2, None)]))).where("doc_id = 1").first()
+    words = long.split()
+    assert (r.n_words, r.word_chars, r.n_dup_lines) == (len(words), sum(map(len, words)), 0) and len(long) > 2_500_000
+
+
+def test_plan_has_no_python(docs, folder, spark, tmp_path):
     counted, name = q.annotate(docs([(1, "a b")]))
+    for df in (counted, q.op4_quality_rules(spark, folder(documents=docs([(1, "a b")]))), q.keep_good(docs([(1, "a b")]))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
     plan = counted._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Exchange" not in plan.replace("RoundRobinPartitioning", "").split("Scan")[0].split("AdaptiveSparkPlan")[0]
+    assert "Exchange" not in plan.replace("RoundRobinPartitioning", "").split("Scan")[0].split("AdaptiveSparkPlan")[0]
 
 
 def test_em_recovers_planted_accuracies():
