@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WRITTEN, Slices, drop, longs, small_batches, table, written
-from .simhash import BITS, hash_bytes, bit_votes, block_masks, blocks_for, fingerprint, hex16, longer, parents_of
+from .simhash import BITS, hash_bytes, bit_votes, DEPTH, BlockTable, block_masks, blocks_for, fingerprint, first_tables, hex16, longer
 
 WIDTH, RADIUS = 5, 3
 #: Documents of a slice that one task orders and reads.
@@ -122,7 +122,7 @@ def neighbour_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str =
     return dealt.select("doc_id", "text", "halo").mapInArrow(_compare_neighbours, _PAIRS)
 
 
-def _count_within(radius: int, tables: list[tuple[int, tuple[int, ...]]]):  # noqa: ANN202
+def _count_within(radius: int, tables: list[BlockTable]):  # noqa: ANN202
     ahead = [np.array(x, dtype=np.int64).view(np.uint64) for _, x in tables]
 
     def matches(g: np.ndarray, t: np.ndarray, n: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -178,22 +178,17 @@ def find_within(queries: DataFrame, counted: DataFrame, radius: int = RADIUS, bl
     if blocks is None:
         blocks = blocks_for(counted.count(), radius, rows_per_key=1024)
     rows = counted.select("fp", "n").unionByName(queries.select("fp", F.lit(-1).cast("long").alias("n")))
-    levels = longer(block_masks(radius, blocks), radius)
-    tables = [table for level in levels for table in level]
-    ready, now, at = [], rows, 0
-    for depth, level in enumerate(levels):
-        masks = F.array(*[F.lit(m).cast("long") for m, _ in level])
+    level = first_tables(block_masks(radius, blocks))
+    tables, ready, before = [], [], 0  # tables: of all levels, numbered on; before: of those above the level
+    for depth in range(DEPTH + 1):
         if not depth:
-            t = F.posexplode(masks).alias("t", "mask")
-            now = now.select("fp", "n", t)
+            numbers, now = F.sequence(F.lit(0), F.lit(len(level) - 1)), rows
         else:  # a hot key's rows under the tables that follow from its own
-            children: dict[int, list[int]] = {}
-            for k, (_, parent) in enumerate(zip(level, parents_of(levels, depth), strict=True)):
-                children.setdefault(parent + at - len(levels[depth - 1]), []).append(at + k)
-            lists = F.create_map(*[x for p, c in children.items() for x in (F.lit(p), F.array(*map(F.lit, c)))])
-            now = hot.select("fp", "n", F.explode(lists[F.col("t")]).alias("t")).withColumn("mask", F.get(masks, F.col("t") - at))
-        at += len(level)
-        now = now.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).drop("mask")
+            level, first = longer(level, radius), (F.col("t") - before) * (radius + 1) + len(tables)
+            before, numbers, now = len(tables), F.sequence(first, first + radius), hot
+        tables += level
+        masks = F.array(*[F.lit(m).cast("long") for m, _ in level])
+        now = now.select("fp", "n", F.explode(numbers).alias("t")).withColumn("key", F.col("fp").bitwiseAND(F.get(masks, F.col("t") - before)))
         sizes = now.groupBy("t", "key").agg(F.count_if(F.col("n") >= 0).alias("data"), F.count_if(F.col("n") < 0).alias("asked")).where((F.col("data") > tile) | (F.col("asked") > tile))
         sizes = written(sizes, "hot-blocks", thin=True)
         if sizes.isEmpty():

@@ -110,3 +110,29 @@ def mix(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: documents, words, target (to three places) and words taken."""
+    rows = mixture(table(spark, sf_dir, "documents"))
+    of_source = [F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"), F.round(F.first("target"), 3).alias("target"), F.sum("taken").alias("taken")]
+    return rows.groupBy("source").agg(*of_source)
+
+
+#: The level at which weights fill up sources that hold so much each is the highest of those that any number of the smallest
+#: sources by weight, taken as full, would give.
+MIXING_TOTALS_SQL = """
+WITH sized AS (
+  SELECT source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS size FROM documents
+), s AS (
+  SELECT source, count(*) AS n_docs, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), w AS (
+  SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s
+), r AS (
+  SELECT *, sum(2 * source_size) OVER o AS full_words, sum(weight) OVER () - sum(weight) OVER o AS open_weight, 1.5 * sum(source_size) OVER () AS words FROM w
+  WINDOW o AS (ORDER BY 2 * source_size / weight, source ROWS UNBOUNDED PRECEDING)
+), l AS (
+  SELECT max(level) AS level FROM (SELECT (words - full_words) / open_weight AS level FROM r WHERE open_weight > 0 UNION ALL SELECT any_value(words) / sum(weight) FROM r)
+)
+SELECT source, n_docs, source_size, round(least(2.0 * source_size, level * weight), 3)::DOUBLE AS target, floor(least(2.0 * source_size, level * weight) + 1e-6)::BIGINT AS taken FROM r, l
+"""

@@ -8,6 +8,8 @@
 5. Groups are compared bit-sliced (see bitslice); a spanning forest of the links comes out, not all pairs.
 6. Components are found by star rounds over distributed tables.
 
+For the removal of near copies the links are then held against the sets of shingles of the texts that they join.
+
 Nulls: a null text counts as empty; a document without words has fingerprint 0 and is linked like any other. A row with
 a null doc_id takes part in linking but is never a representative; component_id is null if no id can be reached. Rows
 with the same doc_id are separate rows that share their id. Other columns, of whatever name, are neither read nor kept.
@@ -15,7 +17,7 @@ with the same doc_id are separate rows that share their id. Other columns, of wh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .bitslice import links
 from .common import WRITTEN, drop, small_batches, table, unused_name, written
 from .components import components
-from .simhash import block_masks, blocks_for, fingerprint_udf, hex16, longer, parents_of
+from .simhash import DEPTH, block_masks, blocks_for, fingerprint_udf, first_tables, hex16, longer, shingle_hashes
 
 #: Fingerprints of one block key that are compared within one group; above it the key is split.
 TILE = 1024
@@ -65,18 +67,16 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, blocks: int | None =
     """
     if blocks is None:
         blocks = blocks_for(distinct.count(), radius)
-    levels = longer(block_masks(radius, blocks), radius)
-    ready: list[DataFrame] = []
-    now = distinct.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m, _ in levels[0]])).alias("mask"))
-    for depth, level in enumerate(levels):
+    level, ready = first_tables(block_masks(radius, blocks)), []
+    now = distinct.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m, _ in level])).alias("mask"))
+    for depth in range(DEPTH + 1):
         if depth:  # a hot key's rows under the tables that follow from its own
-            children: dict[int, list[int]] = {}
-            for (mask, _), parent in zip(level, parents_of(levels, depth), strict=True):
-                of_parent = children.setdefault(levels[depth - 1][parent][0], [])
-                if mask not in of_parent:
-                    of_parent.append(mask)
-            lists = F.create_map(*[x for m, c in children.items() for x in (F.lit(m).cast("long"), F.array(*[F.lit(y).cast("long") for y in c]))])
-            now = hot.select("fp", F.explode(lists[F.col("mask")]).alias("mask")).distinct()
+            below = {level[i // (radius + 1)][0]: [] for i in range(len(level) * (radius + 1))}
+            deeper = longer(level, radius)
+            for i, (mask, _) in enumerate(deeper):
+                below[level[i // (radius + 1)][0]].append(mask)
+            lists = F.create_map(*[x for m, c in below.items() for x in (F.lit(m).cast("long"), F.array(*[F.lit(y).cast("long") for y in sorted(set(c))]))])
+            level, now = deeper, hot.select("fp", F.explode(lists[F.col("mask")]).alias("mask")).distinct()
         now = now.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = written(now.groupBy("mask", "key").count().where(F.col("count") > tile), "hot-keys", thin=True)
         if sizes.isEmpty():
@@ -95,12 +95,18 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, blocks: int | None =
     return groups.repartition("g").sortWithinPartitions("g", "fp").mapInArrow(_link_groups(radius), "a long, b long")
 
 
-def simhash_components(fingerprints: DataFrame, radius: int = 3, doc_id: str = "doc_id", fp: str = "fp") -> DataFrame:
-    """(doc_id, fp, component_id) for each row of a written table of fingerprints; fp must not be null."""
+def simhash_components(fingerprints: DataFrame, radius: int = 3, doc_id: str = "doc_id", fp: str = "fp", accept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of a written table of fingerprints; fp must not be null.
+
+    accept: takes a written table of links (a, b) and gives those that count.
+    """
     spark, before = fingerprints.sparkSession, len(WRITTEN)
     rows = fingerprints.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"))
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints", thin=True)
-    joined = components(fingerprint_links(distinct.select("fp"), radius))
+    found = fingerprint_links(distinct.select("fp"), radius)
+    if accept is not None:
+        found = accept(written(found.distinct(), "found-links", thin=True))
+    joined = components(found)
     if joined.isEmpty():
         labels = distinct.select("fp", F.col("least").alias("component_id"))
     else:
@@ -114,18 +120,53 @@ def simhash_components(fingerprints: DataFrame, radius: int = 3, doc_id: str = "
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, lower: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for each document."""
+    """(doc_id, fp, component_id) for each document; documents link whose fingerprints are within radius bits."""
     small_batches(docs.sparkSession)
     simhash = fingerprint_udf(width, lower=lower)
     return simhash_components(written(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text)).alias("fp")), "fingerprints"), radius)
 
 
-def keep_representatives(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """The documents whose id is their component's; all columns are kept. Of rows that repeat an id all or none stay.
+def shingle_set_udf(width: int, lower: bool = True):  # noqa: ANN201
+    """The different hashes of a text's shingles, in order."""
+
+    @F.arrow_udf("array<bigint>")
+    def of(texts: pa.Array) -> pa.Array:
+        sets = [np.unique(np.array([h for part in shingle_hashes(t.as_py(), width, lower=lower) for h in part], np.uint64).view(np.int64)) for t in texts]
+        return pa.array(sets, pa.list_(pa.int64()))
+
+    return of
 
-    A row with a null doc_id stays unless a document with an id is in its component.
+
+def similar_links(links: DataFrame, rows: DataFrame, docs: DataFrame, width: int, similarity: float, lower: bool = True) -> DataFrame:
+    """The links (a, b) between fingerprints of texts whose sets of shingles have at least this Jaccard similarity.
+
+    rows: (doc_id, text_hash, fp) of docs. Only texts that a link touches are cut into shingles, one for each fingerprint.
     """
-    found, name = near_duplicates(docs, width, radius), unused_name(docs, "gone")
+    ends = links.select(F.col("a").alias("fp")).union(links.select("b")).distinct()
+    one = rows.join(ends, "fp").groupBy("fp").agg(F.min(F.struct("text_hash", F.col("doc_id").isNull().alias("none"), "doc_id")).alias("of"))
+    one = one.select(F.col("fp").alias("_fp"), F.col("of.doc_id").alias("_id"), F.col("of.text_hash").alias("_hash"))
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.xxhash64("text").alias("_own"))
+    met = texts.join(one, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
+    sets = met.select(F.col("_fp").alias("fp"), shingle_set_udf(width, lower)(F.col("_text")).alias("s")).groupBy("fp").agg(F.first("s").alias("s"))
+    sets = written(sets, "shingle-sets")
+    both = links.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def keep_representatives(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 6, fingerprint_width: int = 2) -> DataFrame:
+    """docs without near copies: one document of each group stays, that with the smallest id; all columns are kept.
+
+    Documents link whose sets of shingles of width words have at least this Jaccard similarity. Candidates are the links of
+    a spanning forest of fingerprints within radius bits, which are made of shorter shingles, as those change less with an
+    edit; texts of equal fingerprints count as near copies. Of rows that repeat an id all or none stay. A row with a null doc_id stays
+    unless a document with an id is in its group.
+    """
+    small_batches(docs.sparkSession)
+    simhash = fingerprint_udf(fingerprint_width)
+    rows = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), simhash(F.col("text")).alias("fp")), "fingerprints")
+    found = simhash_components(rows, radius, accept=lambda links: similar_links(links, rows, docs, width, similarity))
+    name = unused_name(docs, "gone")
     gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
     return docs.join(written(gone, "near-copies", thin=True), docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")
 

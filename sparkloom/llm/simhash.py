@@ -86,30 +86,30 @@ def block_masks(radius: int, blocks: int) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
-def longer(masks: list[int], radius: int, depth: int = 2) -> list[list[tuple[int, tuple[int, ...]]]]:
-    """Tables for keys that too many fingerprints share, by level: (mask, masks of the tables before it that a pair may share).
+#: How often a key that too many fingerprints share is split by longer(), at most.
+DEPTH = 2
+#: A table of the search: its mask, and those of the tables before it, of which a pair that it tells may share none.
+BlockTable = tuple[int, tuple[int, ...]]
 
-    The first level holds the masks themselves. Two fingerprints that agree under a mask and differ in at most radius bits
-    agree on one at least of radius + 1 parts of the bits outside the mask, so those of a key are looked up again under the mask
-    and each of these parts, which makes keys longer without losing a pair. A pair belongs to the first table at each level.
+
+def first_tables(masks: list[int]) -> list[BlockTable]:
+    return [(m, tuple(masks[:i])) for i, m in enumerate(masks)]
+
+
+def longer(tables: list[BlockTable], radius: int) -> list[BlockTable]:
+    """For each table radius + 1 tables, in its place, for keys that too many fingerprints share.
+
+    Two fingerprints that agree under a mask and differ in at most radius bits agree on one at least of radius + 1 parts of
+    the bits outside the mask, so those of a key are looked up again under the mask and each of these parts, which makes keys
+    longer without losing a pair. A pair belongs to the first of the tables.
     """
-    signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
-    levels = [[(m, tuple(masks[:i])) for i, m in enumerate(masks)]]
-    for _ in range(depth):
-        level = []
-        for mask, before in levels[-1]:
-            rest = [b for b in range(BITS) if not mask >> b & 1]
-            parts = [sum(1 << b for b in rest[i :: radius + 1]) for i in range(radius + 1)]  # bits from everywhere
-            wide = [signed((mask | p) & (1 << BITS) - 1) for p in parts]
-            level += [(m, (*before, *wide[:i])) for i, m in enumerate(wide)]
-        levels.append(level)
-    return levels
-
-
-def parents_of(levels: list[list[tuple[int, tuple[int, ...]]]], depth: int) -> list[int]:
-    """For each table of a level the place of its parent in the level above."""
-    each = len(levels[depth]) // len(levels[depth - 1])
-    return [k // each for k in range(len(levels[depth]))]
+    out = []
+    for mask, before in tables:
+        rest = [b for b in range(BITS) if not mask >> b & 1]
+        parts = [sum(1 << b for b in rest[i :: radius + 1]) for i in range(radius + 1)]  # bits from everywhere
+        wide = [m - (1 << BITS) if m >> (BITS - 1) else m for m in ((mask | p) & (1 << BITS) - 1 for p in parts)]
+        out += [(m, (*before, *wide[:i])) for i, m in enumerate(wide)]
+    return out
 
 
 def blocks_for(n: int, radius: int, rows_per_key: int = 256) -> int:

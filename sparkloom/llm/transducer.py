@@ -25,7 +25,9 @@ LAST = 256
 #: Chunks whose maps are composed at a time.
 GROUP = 64
 #: States that are kept before they are compiled anew.
-STATES = 60_000
+STATES = 120_000
+#: Bytes of what short words gave that are kept (see Memo).
+REMEMBERED = 40 << 20
 #: The state before a word: no token is open.
 START = (b"", ((-1, 0),))
 
@@ -176,7 +178,7 @@ class Counter:
 
     def __init__(self, tokenizer: WordTokenizer, remember: bool = True) -> None:
         self.tokenizer, self.machine = tokenizer, Transducer(tokenizer.table)
-        self._memo: Memo | None = Memo(self._word) if remember else None
+        self._memo: Memo | None = Memo(self._word, REMEMBERED) if remember else None
         self.look = 2 * tokenizer.table.longest
 
     def _word(self, word: str) -> int:

@@ -2,6 +2,7 @@ import random
 import re
 from fractions import Fraction
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,3 +81,15 @@ def test_long_text_is_cut(docs):
 def test_empty_table(docs, folder, spark):
     assert mixing.op7_source_mixing(spark, folder(documents=docs([]))).collect() == []
     assert mixing.mix(docs([])).collect() == []
+
+
+@pytest.mark.parametrize("sizes", [{"a": 5, "b": 9, None: 4, "é": 30, "z": 200}, {"a": 1000, "b": 1}, {"a": 7}])
+def test_totals_equal_sql(docs, folder, sizes):
+    rows = [(i, "word " * n, s) for i, (s, k) in enumerate(sizes.items()) for n in (k, 2 * k, 1)] + [(99, None, "a"), (98, " ", "b" if "b" in sizes else "a")]
+    d = folder(documents=docs(rows))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+    want = con.sql(mixing.MIXING_TOTALS_SQL)
+    found = mixing.mixing_totals(docs([]).sparkSession, d)
+    assert found.columns == want.columns
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want.fetchall(), key=str)

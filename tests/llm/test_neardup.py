@@ -115,6 +115,29 @@ def test_a_block_of_very_many_fingerprints(spark, monkeypatch):
     assert brute and roots(len(fps), [(at[a], at[b]) for a, b in found]) == roots(len(fps), brute)
 
 
+def test_near_copies_go_and_others_stay(docs):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    rows, copies = [], set()
+    for i in range(60):
+        text = rng.choices(words, k=rng.randint(150, 400))
+        rows.append((i, " ".join(text)))
+        if i % 3 == 0:  # a word in a hundred differs: five-word sets share nine parts of ten
+            for j in range(3):
+                near = list(text)
+                for _ in range(len(near) // 100):
+                    near[rng.randrange(len(near))] = rng.choice(words)
+                rows.append((100 + 10 * i + j, " ".join(near)))
+                copies.add(100 + 10 * i + j)
+        elif i % 3 == 1:  # half of it is another's: no near copy
+            rows.append((1000 + i, " ".join(text[: len(text) // 2] + rng.choices(words, k=len(text) // 2))))
+    kept = {r.doc_id for r in neardup.keep_representatives(docs(rows)).collect()}
+    assert kept >= {i for i, _ in rows} - copies
+    assert len(kept & copies) <= 0.1 * len(copies)
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+    assert all(any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in sets if j != i) for i in copies - kept)
+
+
 def test_one_document_of_each_group_stays(docs):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y z u v w q"), (4, None), (5, "")]
     kept = neardup.keep_representatives(docs(rows).selectExpr("*", "doc_id AS FP"))

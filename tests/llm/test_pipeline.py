@@ -31,7 +31,9 @@ def corpus():
 
 
 def plain_components(rows):
-    fps = [fingerprint(t, 3) for _, t in rows]
+    fps = [fingerprint(t, 2) for _, t in rows]
+    words = [(t or "").lower().split() for _, t in rows]
+    sets = [set(zip(*(w[k:] for k in range(5)))) or {tuple(w)} for w in words]
     up = list(range(len(rows)))
 
     def find(x):
@@ -41,7 +43,7 @@ def plain_components(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
+            if fps[i] == fps[j] or (fps[i] ^ fps[j]).bit_count() <= 6 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 up[find(i)] = find(j)
     return [find(i) for i in range(len(rows))]
 
