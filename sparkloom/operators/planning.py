@@ -44,6 +44,13 @@ def acknowledgements(results: DataFrame, only_ok: bool = True) -> DataFrame:
     return done.select(F.lit("sink_ack_v2").alias("kind"), F.lit(None).cast("binary").alias("chunk_id"), F.struct(*VERSION).alias("fingerprint"), "seq")
 
 
+def log_records(results: DataFrame, only_ok: bool = True) -> DataFrame:
+    """work_items of all versions and acknowledgements of those that are done (status is not null), from one pass."""
+    done = F.coalesce(F.col("status") == "ok", F.lit(False)) if only_ok else F.col("status").isNotNull()
+    kinds = F.when(done, F.array(F.lit("work_item_v2"), F.lit("sink_ack_v2"))).otherwise(F.array(F.lit("work_item_v2")))
+    return results.select(F.explode(kinds).alias("kind"), F.lit(None).cast("binary").alias("chunk_id"), F.struct(*VERSION).alias("fingerprint"), "seq")
+
+
 def new_since(log: DataFrame, before: int, seq: str = "seq") -> DataFrame:
     """The tail of a log after a position."""
     return log.where(F.col(seq) > before)

@@ -352,7 +352,7 @@ _RESULTS = f"{_PLANNED}, results AS (SELECT *, CASE WHEN seq % 5 = 0 THEN 'faile
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.work_items(_planned(spark, sf_dir)).unionByName(planning.acknowledgements(_results(spark, sf_dir).where("status IS NOT NULL")))
+    return planning.log_records(_results(spark, sf_dir))
 
 
 def _versions(log: DataFrame) -> DataFrame:
@@ -405,38 +405,41 @@ def ingest_idle_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # semantic arithmetic over a table of vectors
 
-_DISTANCES = """u AS (SELECT label, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-p AS (SELECT label, vec_id, v, lag(v) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM u),
-d AS (SELECT label, vec_id, CASE WHEN b IS NOT NULL THEN 1 - list_cosine_similarity(b, v) END AS distance FROM p)"""
-_GROUPS = f"""{_DISTANCES}, t AS (SELECT label, quantile_cont(distance, 0.95) AS threshold FROM d GROUP BY label),
-g AS (SELECT label, vec_id, coalesce(distance > threshold, false) AS split FROM d JOIN t USING (label)),
-n AS (SELECT *, sum(split::INT) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING)::INT AS group_no FROM g)"""
+#: Vectors stand for the sentences of documents, so many in each.
+_SENTENCES = 50
+_DISTANCES = f"""u AS (SELECT vec_id // {_SENTENCES} AS doc_no, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+p AS (SELECT doc_no, vec_id, v, lag(v) OVER (PARTITION BY doc_no ORDER BY vec_id) AS b FROM u),
+d AS (SELECT doc_no, vec_id, CASE WHEN b IS NOT NULL THEN 1 - list_cosine_similarity(b, v) END AS distance FROM p)"""
+_GROUPS = f"""{_DISTANCES}, t AS (SELECT doc_no, quantile_cont(distance, 0.95) AS threshold FROM d GROUP BY doc_no),
+g AS (SELECT doc_no, vec_id, coalesce(distance > threshold, false) AS split FROM d JOIN t USING (doc_no)),
+n AS (SELECT *, sum(split::INT) OVER (PARTITION BY doc_no ORDER BY vec_id ROWS UNBOUNDED PRECEDING)::INT AS group_no FROM g)"""
 
 
 def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbour_distances(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+    rows = table(spark, sf_dir, "embeddings").withColumn("doc_no", F.floor(F.col("vec_id") / _SENTENCES))
+    return neighbour_distances(rows, "doc_no", "vec_id", "embedding")
 
 
-@query("semantic_distances", f"WITH {_DISTANCES} SELECT label, vec_id, round(distance, 6) AS distance FROM d")
+@query("semantic_distances", f"WITH {_DISTANCES} SELECT doc_no, vec_id, round(distance, 6) AS distance FROM d")
 def semantic_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _distances(spark, sf_dir).withColumn("distance", F.round("distance", 6))
 
 
-@query("semantic_groups", f"WITH {_GROUPS} SELECT label, vec_id, split, group_no FROM n")
+@query("semantic_groups", f"WITH {_GROUPS} SELECT doc_no, vec_id, split, group_no FROM n")
 def semantic_group_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return semantic_groups(_distances(spark, sf_dir), "label", "vec_id", 95).select("label", "vec_id", "split", "group_no")
+    return semantic_groups(_distances(spark, sf_dir), "doc_no", "vec_id", 95).select("doc_no", "vec_id", "split", "group_no")
 
 
 @query(
     "semantic_merge_min",
-    f"""WITH {_GROUPS}, s AS (SELECT label, group_no, count(*) AS size FROM n GROUP BY ALL),
-m AS (SELECT *, CASE WHEN size >= 5 OR row_number() OVER (PARTITION BY label ORDER BY group_no) = 1 THEN 1 ELSE 0 END AS starts FROM s)
-SELECT label, group_no, size, (sum(starts) OVER (PARTITION BY label ORDER BY group_no ROWS UNBOUNDED PRECEDING) - 1)::INT AS merged_no FROM m""",
+    f"""WITH {_GROUPS}, s AS (SELECT doc_no, group_no, count(*) AS size FROM n GROUP BY ALL),
+m AS (SELECT *, CASE WHEN size >= 5 OR row_number() OVER (PARTITION BY doc_no ORDER BY group_no) = 1 THEN 1 ELSE 0 END AS starts FROM s)
+SELECT doc_no, group_no, size, (sum(starts) OVER (PARTITION BY doc_no ORDER BY group_no ROWS UNBOUNDED PRECEDING) - 1)::INT AS merged_no FROM m""",
 )
 def semantic_merge_min(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = semantic_groups(_distances(spark, sf_dir), "label", "vec_id", 95)
-    sizes = grouped.groupBy("label", "group_no").agg(F.count(F.lit(1)).alias("size"))
-    return merge_small_groups(sizes, "label", "group_no", "size", 5)
+    grouped = semantic_groups(_distances(spark, sf_dir), "doc_no", "vec_id", 95)
+    sizes = grouped.groupBy("doc_no", "group_no").agg(F.count(F.lit(1)).alias("size"))
+    return merge_small_groups(sizes, "doc_no", "group_no", "size", 5)
 
 
 from . import made  # noqa: E402, F401  it registers its queries, and needs the functions above
