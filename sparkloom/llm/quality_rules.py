@@ -91,7 +91,7 @@ def annotate(df: DataFrame, text: str = "text", keep: list[str] | None = None) -
         name["n_upper"]: chars(r"\P{Lu}+"),
         name["n_shouts"]: chars(r"[^!]+"),
         name["n_distinct"]: F.size(F.array_distinct(w)).cast("long"),
-        name["n_alphabetic"]: F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).cast("long"),
+        name["n_alphabetic"]: F.length(F.regexp_replace(F.regexp_replace(col("t"), r"\p{L}[^\x20\x09-\x0D]*", "a"), "[^a]+", "")).cast("long"),  # a word from its first letter on, as one letter
     }
     line_name = unused_name(clash, "tmp_lines")
     made[line_name] = made.pop("_lines")
