@@ -24,7 +24,8 @@ USAGE = """usage: sparkloom --dir DIR --qdrant-url URL --collection NAME [option
   --create-collection-if-missing  --collection-vector-size N
   --chunker-mode router|single (router)  --chunker-single recursive|markdown|semantic|code:LANGUAGE
   --chunker-strategy recursive|legacy  --size-metric chars|tokens  --size-max N  --size-min N  --size-overlap N
-  --tokenizer byte-bpe-50k  --enable-semantic  --semantic-provider adapter|fastembed|local  --semantic-percentile 1..99 (95)
+  --tokenizer byte-bpe-50k|tiktoken-cl100k  --token-ranks FILE    the ranks of the latter, which are not part of this package
+  --enable-semantic  --semantic-provider adapter|fastembed|local  --semantic-percentile 1..99 (95)
   --onnx-model FILE  --onnx-tokenizer FILE    the model of the fastembed provider
   --checkpoint DIR  --once  --max-files N (of a batch; 0: all)  --retries N (2)  --ack-path DIR  --ack-failed
   -h, --help  -V, --version"""
@@ -38,7 +39,7 @@ DEFAULTS = {
     "openai-endpoint": "https://api.openai.com/v1/embeddings", "openai-api-key": None, "openai-model": "text-embedding-3-small",
     "chunker-strategy": "recursive", "size-metric": "chars", "size-max": None, "size-min": "0", "size-overlap": "0", "tokenizer": None,
     "chunker-mode": "router", "chunker-single": None, "semantic-provider": "adapter", "semantic-percentile": "95", "onnx-model": None, "onnx-tokenizer": None, "checkpoint": None,
-    "max-files": "0", "retries": "2", "ack-path": None,
+    "token-ranks": None, "max-files": "0", "retries": "2", "ack-path": None,
 }
 SIZE_MAX = {"chars": 2000, "tokens": 512}
 
@@ -162,9 +163,8 @@ def parse_args(args: list[str]) -> RunConfig | str:
         provider = LocalProvider()
 
     metric = _one_of("size-metric", get("size-metric"), "chars", "tokens")
-    sizes = RecursiveConfig(_number(given, "size-max", SIZE_MAX[metric]), _number(given, "size-min", "0"), _number(given, "size-overlap", "0"), metric)
-    if get("tokenizer") is not None:
-        _one_of("tokenizer", get("tokenizer"), "byte-bpe-50k")
+    ranks = needed("token-ranks") if _one_of("tokenizer", get("tokenizer") or "byte-bpe-50k", "byte-bpe-50k", "tiktoken-cl100k") == "tiktoken-cl100k" else None
+    sizes = RecursiveConfig(_number(given, "size-max", SIZE_MAX[metric]), _number(given, "size-min", "0"), _number(given, "size-overlap", "0"), metric, ranks)
     warnings = []
     if _one_of("chunker-strategy", get("chunker-strategy"), "recursive", "legacy") == "legacy":
         warnings.append("chunker.legacy_alias: the legacy strategy is the recursive one")

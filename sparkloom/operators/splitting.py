@@ -24,6 +24,11 @@ _WHITE_RUN = re.compile(f"[{WHITE}]*")
 _ENDS = (("Paragraph", re.compile(r"(?=\n\n)")), ("Line", re.compile(r"(?<=\n)")), ("Line", re.compile(r"(?<=[.?!])(?=[ \n])")), ("Whitespace", re.compile(r"(?<=[ \t])")))
 
 
+# The words and the special strings of cl100k_base.
+CL100K_WORDS = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+CL100K_SPECIAL = {"<|endoftext|>": 100257, "<|fim_prefix|>": 100258, "<|fim_middle|>": 100259, "<|fim_suffix|>": 100260, "<|endofprompt|>": 100276}
+
+
 def default_token_ranks() -> str:
     """The merge ranks that sizes in tokens are counted with."""
     import public_tokenizers
@@ -35,21 +40,28 @@ class TokenCounter:
     """The number of tokens of texts, by merge ranks that are loaded once a process.
 
     Tokens never cross the words that the pattern finds, so the counts of words add up; a worker remembers those of recent
-    words. Characters that versions of Unicode may see differently are left to the tokenizer's own pattern.
+    words. Characters that versions of Unicode may see differently are left to the tokenizer's own pattern, and so are texts with
+    special strings, each of which is a token. cl100k: the file has the ranks of cl100k_base.
     """
 
     #: Words that are remembered.
     MOST = 100_000
     _SAFE = regex.compile("[\0-\x1b\x20-\u0557\u2000-\u2064\u3041-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]*+")
 
-    def __init__(self, ranks_path: str) -> None:
-        import public_tokenizers
+    def __init__(self, ranks_path: str, cl100k: bool = False) -> None:
         import tiktoken
 
+        if cl100k:
+            pattern, special = CL100K_WORDS, CL100K_SPECIAL
+        else:
+            import public_tokenizers
+
+            pattern, special = public_tokenizers.PATTERN, {}
+
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._words = regex.compile(public_tokenizers.PATTERN)
+        self._encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        self._words, self._special = regex.compile(pattern), tuple(special)
         self._memo: dict[str, int] = {}
 
     def _word(self, word: str) -> int:
@@ -62,10 +74,13 @@ class TokenCounter:
                 self._memo[word] = n
         return n
 
+    def _by_words(self, text: str) -> bool:
+        return bool(self._SAFE.fullmatch(text)) and not any(s in text for s in self._special)
+
     def __call__(self, text: str) -> int:
-        if self._SAFE.fullmatch(text):
+        if self._by_words(text):
             return sum(map(self._word, self._words.findall(text)))
-        return len(self._encoding.encode_ordinary(text))
+        return len(self._encoding.encode(text, allowed_special="all", disallowed_special=()))
 
     def prefixes(self, text: str) -> Callable[[int], int]:
         """A function from a place to the number of tokens of the text up to it.
@@ -73,7 +88,7 @@ class TokenCounter:
         What a word is depends on one character behind it, or on a word behind it if it is white space; so all words but
         the last two before a place are those of the whole text, and only what follows them is counted anew.
         """
-        if not self._SAFE.fullmatch(text):
+        if not self._by_words(text):
             return lambda at: self(text[:at])
         words = self._words.findall(text)
         ends = [0, *accumulate(map(len, words))]
@@ -87,12 +102,12 @@ class TokenCounter:
 
 
 @lru_cache(maxsize=2)
-def token_counter(ranks_path: str) -> TokenCounter:
-    return TokenCounter(ranks_path)
+def token_counter(ranks_path: str, cl100k: bool = False) -> TokenCounter:
+    return TokenCounter(ranks_path, cl100k)
 
 
 def counter(config: RecursiveConfig) -> Callable[[str], int]:
-    return len if config.metric == "chars" else token_counter(default_token_ranks())
+    return len if config.metric == "chars" else token_counter(config.ranks, True) if config.ranks else token_counter(default_token_ranks())
 
 
 def normalized(text: str) -> str:

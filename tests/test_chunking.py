@@ -1,4 +1,6 @@
+import itertools
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -6,9 +8,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkloom.errors import LoomError
-from sparkloom.functions.recursive import RecursiveConfig, chunk_rows
+from sparkloom.functions.recursive import RecursiveConfig, chunk_rows, running_starts
 from sparkloom.functions.text import WHITE_CHARS
-from sparkloom.operators import legacy
+from sparkloom.operators import legacy, splitting
 from sparkloom.operators.routing import ChunkerConfig, chunk_text, with_chunks
 from sparkloom.operators.semantic import SemanticConfig
 from sparkloom.operators.splitting import normalized, split, token_counter, default_token_ranks
@@ -159,3 +161,35 @@ def test_token_counts_equal_the_tokenizer(text):
     assert count(text) == plain(text)
     prefix = count.prefixes(text)
     assert [prefix(k) for k in range(len(text) + 1)] == [plain(text[:k]) for k in range(len(text) + 1)]
+
+
+def test_sizes_by_a_file_of_ranks():
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    path = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("x", pat_str=splitting.CL100K_WORDS, mergeable_ranks=ranks, special_tokens=splitting.CL100K_SPECIAL)
+    config = RecursiveConfig(20, metric="tokens", ranks=path)
+    count = splitting.counter(config)
+    rng = random.Random(1)
+    for _ in range(300):
+        text = "".join(rng.choices(["word ", "It'S", "12345", "  ", "\n", "\r\n", "...", "é", "<|endoftext|>", "՘", "Other", ". "], k=rng.randint(0, 30)))
+        assert count(text) == len(library.encode(text, allowed_special="all"))
+        prefix = count.prefixes(text)
+        assert all(prefix(k) == len(library.encode(text[:k], allowed_special="all")) for k in range(len(text) + 1))
+    assert config.fingerprint == "recursive:v1|metric=tokens|tokenizer=tiktoken:cl100k_base|max=20|min=0|overlap=0"
+    assert all(count(c["text"]) <= 20 for c in splitting.split("Some words of a text. " * 60, config))
+
+
+def test_offsets_take_linear_time(spark):
+    took = {}
+    for n in (0, 1, 63, 64, 65, 200, 10_000, 80_000):
+        df = spark.range(1).select(F.expr("transform(sequence(1, 80000), x -> CAST(x % 7 AS INT))").alias("s")).select(running_starts(F.slice("s", 1, n)).alias("at"))
+        began = time.perf_counter()
+        got = df.first()["at"]
+        took[n] = time.perf_counter() - began
+        assert got == [0, *itertools.accumulate(i % 7 for i in range(1, n + 1))][:n]
+    assert took[80_000] < 5 + 20 * took[10_000]

@@ -272,6 +272,8 @@ def test_command_line(tmp_path):
         (BASE[:-2], "--openai-api-key is required"),
         ([*BASE, "--size-max", "x"], "whole number"),
         ([*BASE, "--max-files", "-1"], "whole number"),
+        ([*BASE, "--tokenizer", "tiktoken-cl100k"], "--token-ranks is required"),
+        ([*BASE, "--tokenizer", "p50k"], "must be one of"),
         ([*BASE, "--collection-vector-size"], "needs a value"),
         ([*BASE, "--collection-vector-size", "0"], "at least 1"),
         ([*BASE, "--once=1"], "takes no value"),
