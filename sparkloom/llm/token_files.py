@@ -29,6 +29,8 @@ from .bpe import LongWord, Memo, WordTokenizer, byte_symbols
 from .common import Slices, shared_folder, small_batches, table, written
 from .files import open_map, whole_file
 
+#: Bytes of what words gave that a worker keeps (see Memo).
+REMEMBERED = 40 << 20
 #: Documents of a shard, about.
 SHARD_ROWS = 8192
 SHARDS = "shard int, path string, dtype string, n_docs long, n_tokens long"
@@ -50,7 +52,7 @@ class LibraryEncoder:
         self.cut = WordTokenizer(path)
         self.dtype = "<u2" if self.library.get_vocab_size(True) <= 1 << 16 else "<u4"
         self._symbols = byte_symbols()
-        self._memo = Memo(self._word)
+        self._memo = Memo(self._word, REMEMBERED)
 
     def _word(self, word: str) -> bytes:
         symbols = word if word.isascii() and word.isprintable() and " " not in word else "".join(map(self._symbols.__getitem__, word.encode()))
