@@ -8,7 +8,8 @@
 5. Groups are compared bit-sliced (see bitslice); a spanning forest of the links comes out, not all pairs.
 6. Components are found by star rounds over distributed tables.
 
-For the removal of near copies the links are then held against the sets of shingles of the texts that they join.
+For the removal of near copies the links are then held against the sets of shingles of the texts that they join, and the pairs
+of similar sets that no such link joins, as their fingerprints are too far apart, are found by an exact join (see setjoin).
 
 Nulls: a null text counts as empty; a document without words has fingerprint 0 and is linked like any other. A row with
 a null doc_id takes part in linking but is never a representative; component_id is null if no id can be reached. Rows
@@ -17,7 +18,7 @@ with the same doc_id are separate rows that share their id. Other columns, of wh
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from .bitslice import links
 from .common import WRITTEN, drop, small_batches, table, unused_name, written
 from .components import components
-from .simhash import DEPTH, block_masks, blocks_for, fingerprint_udf, first_tables, hex16, longer, shingle_hashes
+from .setjoin import not_refuted, shingle_set, similar_sets, sketch_udf
+from .simhash import DEPTH, block_masks, blocks_for, fingerprint_udf, first_tables, hex16, longer
 
 #: Fingerprints of one block key that are compared within one group; above it the key is split.
 TILE = 1024
@@ -95,26 +97,25 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, blocks: int | None =
     return groups.repartition("g").sortWithinPartitions("g", "fp").mapInArrow(_link_groups(radius), "a long, b long")
 
 
-def simhash_components(fingerprints: DataFrame, radius: int = 3, doc_id: str = "doc_id", fp: str = "fp", accept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of a written table of fingerprints; fp must not be null.
+def labelled(distinct: DataFrame, key: str, joined: DataFrame) -> DataFrame:
+    """(key, component_id): for each key of a written table (key, least) the smallest least of its component.
 
-    accept: takes a written table of links (a, b) and gives those that count.
+    joined: what components() gives of the keys.
     """
+    if joined.isEmpty():
+        return written(distinct.select(key, F.col("least").alias("component_id")), "labels", thin=True)
+    member = joined.select(F.col("a").alias(key), F.col("b").alias("root"))
+    rooted = written(distinct.join(member, key, "left").select(key, "least", F.coalesce("root", key).alias("root")), "rooted", thin=True)
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids", thin=True)
+    return written(rooted.join(least, "root").select(key, "component_id"), "labels", thin=True)
+
+
+def simhash_components(fingerprints: DataFrame, radius: int = 3, doc_id: str = "doc_id", fp: str = "fp") -> DataFrame:
+    """(doc_id, fp, component_id) for each row of a written table of fingerprints; fp must not be null."""
     spark, before = fingerprints.sparkSession, len(WRITTEN)
     rows = fingerprints.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"))
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints", thin=True)
-    found = fingerprint_links(distinct.select("fp"), radius)
-    if accept is not None:
-        found = accept(written(found.distinct(), "found-links", thin=True))
-    joined = components(found)
-    if joined.isEmpty():
-        labels = distinct.select("fp", F.col("least").alias("component_id"))
-    else:
-        member = joined.select(F.col("a").alias("fp"), F.col("b").alias("root"))
-        rooted = written(distinct.join(member, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted", thin=True)
-        least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids", thin=True)
-        labels = rooted.join(least, "root").select("fp", "component_id")
-    labels = written(labels, "labels", thin=True)
+    labels = labelled(distinct, "fp", components(fingerprint_links(distinct.select("fp"), radius)))
     drop(spark, WRITTEN[before:-1])
     return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
 
@@ -126,49 +127,87 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, lower: boo
     return simhash_components(written(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text)).alias("fp")), "fingerprints"), radius)
 
 
-def shingle_set_udf(width: int, lower: bool = True):  # noqa: ANN201
+def shingle_set_udf(width: int):  # noqa: ANN201
     """The different hashes of a text's shingles, in order."""
 
     @F.arrow_udf("array<bigint>")
     def of(texts: pa.Array) -> pa.Array:
-        sets = [np.unique(np.array([h for part in shingle_hashes(t.as_py(), width, lower=lower) for h in part], np.uint64).view(np.int64)) for t in texts]
-        return pa.array(sets, pa.list_(pa.int64()))
+        return pa.array([shingle_set(t.as_py(), width) for t in texts], pa.list_(pa.int64()))
 
     return of
 
 
-def similar_links(links: DataFrame, rows: DataFrame, docs: DataFrame, width: int, similarity: float, lower: bool = True) -> DataFrame:
-    """The links (a, b) between fingerprints of texts whose sets of shingles have at least this Jaccard similarity.
+def similar_links(links: DataFrame, rows: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The links (a, b) between sets of shingles that have at least this Jaccard similarity, as a written table.
 
-    rows: (doc_id, text_hash, fp) of docs. Only texts that a link touches are cut into shingles, one for each fingerprint.
+    links: a written table of pairs of nodes. rows: (doc_id, text_hash, node) of docs. Only texts of nodes that a link touches
+    are cut into shingles, one for each node.
     """
-    ends = links.select(F.col("a").alias("fp")).union(links.select("b")).distinct()
-    one = rows.join(ends, "fp").groupBy("fp").agg(F.min(F.struct("text_hash", F.col("doc_id").isNull().alias("none"), "doc_id")).alias("of"))
-    one = one.select(F.col("fp").alias("_fp"), F.col("of.doc_id").alias("_id"), F.col("of.text_hash").alias("_hash"))
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    one = rows.join(ends, "node").groupBy("node").agg(F.min(F.struct("text_hash", F.col("doc_id").isNull().alias("none"), "doc_id")).alias("of"))
+    one = one.select(F.col("node").alias("_node"), F.col("of.doc_id").alias("_id"), F.col("of.text_hash").alias("_hash"))
     texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.xxhash64("text").alias("_own"))
     met = texts.join(one, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
-    sets = met.select(F.col("_fp").alias("fp"), shingle_set_udf(width, lower)(F.col("_text")).alias("s")).groupBy("fp").agg(F.first("s").alias("s"))
+    sets = met.select(F.col("_node").alias("node"), shingle_set_udf(width)(F.col("_text")).alias("s")).groupBy("node").agg(F.first("s").alias("s"))
     sets = written(sets, "shingle-sets")
-    both = links.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
+    both = links.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return written(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "similar-links", thin=True)
+
+
+def fingerprint_candidates(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): for the links of a spanning forest of fingerprints within radius bits one pair of nodes each, and for nodes of
+    equal fingerprints a star; nodes is a written table (node, fp)."""
+    of = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "distinct-fingerprints", thin=True)
+    found = written(fingerprint_links(of.select("fp"), radius).distinct(), "found-links", thin=True)
+    ends = found.join(of.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+    equal = nodes.join(of.select("fp", F.col("node").alias("x")), "fp").where("node <> x")
+    return ends.select(F.col("x").alias("a"), F.col("y").alias("b")).union(equal.select("x", "node"))
 
 
 def keep_representatives(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 6, fingerprint_width: int = 2) -> DataFrame:
     """docs without near copies: one document of each group stays, that with the smallest id; all columns are kept.
 
-    Documents link whose sets of shingles of width words have at least this Jaccard similarity. Candidates are the links of
-    a spanning forest of fingerprints within radius bits, which are made of shorter shingles, as those change less with an
-    edit; texts of equal fingerprints count as near copies. Of rows that repeat an id all or none stay. A row with a null doc_id stays
-    unless a document with an id is in its group.
+    Documents link whose sets of shingles of width words have at least this Jaccard similarity, and groups are what chains of
+    all such links join. Most links come from a spanning forest of fingerprints within radius bits, which are made of shorter
+    shingles, as those change less with an edit; the exact join of sets adds every link between groups that the forest missed.
+    Of rows that repeat an id all or none stay. A row with a null doc_id stays unless a document with an id is in its group.
     """
     small_batches(docs.sparkSession)
-    simhash = fingerprint_udf(fingerprint_width)
-    rows = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), simhash(F.col("text")).alias("fp")), "fingerprints")
-    found = simhash_components(rows, radius, accept=lambda links: similar_links(links, rows, docs, width, similarity))
+    spark, before = docs.sparkSession, len(WRITTEN)
+    sketch = sketch_udf(width, similarity, fingerprint_width)
+    rows = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sketch(F.col("text")).alias("s")), "sketches")
+    rows = rows.select("doc_id", "text_hash", "s.*")
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("odd").alias("odd")), "nodes", thin=True)
+    kept = len(WRITTEN)
+    forest = written(fingerprint_candidates(nodes.select("node", "fp"), radius), "forest", thin=True)
+    drop(spark, WRITTEN[kept:-1])
+    links: list[DataFrame] = []
+    joined: list[DataFrame] = []
+
+    def settle(pairs: DataFrame) -> DataFrame | None:
+        """Components of all links so far, those of pairs that are similar among them."""
+        at = len(WRITTEN)
+        pairs = written(not_refuted(pairs.distinct(), nodes, similarity), "candidates", thin=True)
+        if not pairs.isEmpty():
+            more = similar_links(pairs, rows, docs, width, similarity)
+            if not more.isEmpty():
+                links.append(more)
+                known = links[0]
+                for x in links[1:]:
+                    known = known.unionByName(x)
+                drop(spark, WRITTEN[at:-1])
+                joined[:] = [components(known)]
+        return joined[0].select(F.col("a").alias("node"), F.col("b").alias("root")) if joined else None
+
+    similar_sets(rows, docs.select("text"), settle(forest), settle, width, similarity)
+    labels = labelled(nodes, "node", joined[0]) if joined else nodes.select("node", F.col("least").alias("component_id"))
     name = unused_name(docs, "gone")
+    found = rows.join(labels, "node")
     gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(written(gone, "near-copies", thin=True), docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")
+    gone = written(gone, "near-copies", thin=True)
+    drop(spark, WRITTEN[before:-1])
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")
 
 
 def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

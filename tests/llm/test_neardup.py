@@ -1,12 +1,13 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql.classic.dataframe import DataFrame
 
-from sparkloom.llm import neardup
+from sparkloom.llm import neardup, setjoin
 from sparkloom.llm.bitslice import links
 from sparkloom.llm.simhash import block_masks
 
@@ -138,6 +139,70 @@ def test_near_copies_go_and_others_stay(docs):
     assert all(any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in sets if j != i) for i in copies - kept)
 
 
+def edited(text, n, rng, words):
+    text = list(text)
+    for i in rng.sample(range(len(text)), n):
+        text[i] = rng.choice(words)
+    return text
+
+
+def groups_of(rows):
+    """The kept ids and the similar pairs, by brute force over five-word shingles."""
+    words = [(t or "").lower().split() for _, t in rows]
+    sets = [set(zip(*(w[k:] for k in range(5)))) or {tuple(w)} for w in words]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    top = roots(len(rows), pairs)
+    return {min(i for (i, _), r in zip(rows, top, strict=True) if r == x) for x in top}, pairs
+
+
+def test_no_similar_pair_is_lost_to_far_fingerprints_or_to_the_forest(docs):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(150):
+        text = rng.choices(words, k=rng.randint(60, 300))
+        rows += [(10 * i + j, " ".join(x)) for j, x in enumerate([text, *(edited(text, max(1, len(text) // 48), rng, words) for _ in range(2))])]
+    want, pairs = groups_of(rows)
+    fps = [plain_fingerprint(t, 2) for _, t in rows]
+    assert sum((fps[i] ^ fps[j]).bit_count() > 6 for i, j in pairs) > 50  # which the fingerprints alone can't find
+    assert 150 <= len(want) < 450
+    assert {r.doc_id for r in neardup.keep_representatives(docs(rows)).collect()} == want
+
+
+def test_parities_never_differ_in_more_than_the_members_that_only_one_set_has():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 63, 64, 65, 300, 1025):
+        x = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        for keep, more in ((1, 0), (0.9, 0.1), (0.8, 0), (1, 0.25), (0.1, 0.9)):
+            y = np.unique(np.r_[x[: int(n * keep)], rng.integers(-(2**63), 2**63 - 1, int(n * more))])
+            found = setjoin.parities_differ(setjoin.parities(x), setjoin.parities(y))
+            assert found == setjoin.parities_differ(setjoin.parities(y), setjoin.parities(x)) <= len(np.setxor1d(x, y))
+            assert keep == 1 or keep > 0.1 or n < 300 or found > (len(x) + len(y)) / 9  # unlike sets are refuted
+
+
+def test_equal_fingerprints_of_unlike_texts_are_no_near_copies(docs):
+    rows = [(i, "a " * 100 + " ".join(f"{x}{k}" for k in range(20))) for i, x in enumerate("xyz")] + [(9, "a " * 99 + "a")]
+    assert len({plain_fingerprint(t, 2) for _, t in rows}) == 1
+    assert {r.doc_id for r in neardup.keep_representatives(docs(rows)).collect()} == groups_of(rows)[0] == {0, 1, 2, 9}
+
+
+@pytest.mark.parametrize(("tile", "rounds"), [(256, 3), (8, 3), (8, 1), (3, 0)])
+def test_groups_of_any_size_lose_no_pair(docs, monkeypatch, tile, rounds):
+    rng = random.Random(22)
+    words, lines = [f"w{i}" for i in range(2000)], [" ".join(f"l{i}x{j}" for j in range(12)) for i in range(8)]
+    rows = [(i, " ".join(rng.sample(lines, 4) + rng.choices(words, k=rng.randint(0, 8)))) for i in range(60)]  # members that many share
+    text = rng.choices(words, k=90)
+    rows += [(100 + i, " ".join(edited(text, 1, rng, words))) for i in range(40)]  # a large group of near copies
+    rows += [(200 + i, rows[i][1]) for i in range(0, 100, 4)] + [(300, "few words"), (301, ""), (302, "few words")]
+    found = []
+    monkeypatch.setattr(neardup, "similar_sets", lambda *a: setjoin.similar_sets(*a, tile=tile, rounds=rounds))
+    tiled = setjoin._tiled
+    monkeypatch.setattr(setjoin, "_tiled", lambda *a: found.append(1) or tiled(*a))
+    monkeypatch.setattr(neardup, "fingerprint_candidates", lambda nodes, radius: nodes.selectExpr("node AS a", "node AS b").limit(0))
+    assert {r.doc_id for r in neardup.keep_representatives(docs(rows)).collect()} == groups_of(rows)[0]
+    assert bool(found) == (tile < 256)
+
+
 def test_one_document_of_each_group_stays(docs):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y z u v w q"), (4, None), (5, "")]
     kept = neardup.keep_representatives(docs(rows).selectExpr("*", "doc_id AS FP"))
