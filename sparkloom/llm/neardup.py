@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .bitslice import links
 from .common import WRITTEN, drop, small_batches, table, unused_name, written
 from .components import components
-from .setjoin import not_refuted, shingle_set, similar_sets, sketch_udf
+from .setjoin import frequent, not_refuted, shingle_set, similar_sets, sketch_udf
 from .simhash import DEPTH, block_masks, blocks_for, fingerprint_udf, first_tables, hex16, longer
 
 #: Fingerprints of one block key that are compared within one group; above it the key is split.
@@ -175,7 +175,8 @@ def keep_representatives(docs: DataFrame, similarity: float = 0.8, width: int =
     """
     small_batches(docs.sparkSession)
     spark, before = docs.sparkSession, len(WRITTEN)
-    sketch = sketch_udf(width, similarity, fingerprint_width)
+    behind = frequent(docs.select("text"), width)
+    sketch = sketch_udf(width, similarity, fingerprint_width, behind)
     rows = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sketch(F.col("text")).alias("s")), "sketches")
     rows = rows.select("doc_id", "text_hash", "s.*")
     nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("odd").alias("odd")), "nodes", thin=True)
@@ -200,7 +201,7 @@ def keep_representatives(docs: DataFrame, similarity: float = 0.8, width: int =
                 joined[:] = [components(known)]
         return joined[0].select(F.col("a").alias("node"), F.col("b").alias("root")) if joined else None
 
-    similar_sets(rows, docs.select("text"), settle(forest), settle, width, similarity)
+    similar_sets(rows, docs.select("text"), settle(forest), settle, width, similarity, behind)
     labels = labelled(nodes, "node", joined[0]) if joined else nodes.select("node", F.col("least").alias("component_id"))
     name = unused_name(docs, "gone")
     found = rows.join(labels, "node")

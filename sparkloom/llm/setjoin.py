@@ -3,8 +3,10 @@
 1. A set's members are put in one order that holds for all sets. Two sets that meet t share a member of both their prefixes,
    the first len - ceil(t * len) + 1 members, and the first one that they share stands early enough in both that what follows
    can still reach t. So sets are dealt out by the members of their prefixes, and each such group is compared within itself.
-2. The order is that of the members' hashes. Members whose group has more than TILE sets move to the end of the order, and the
-   sets that have one in their prefix are joined once more, up to ROUNDS times; no other pair can have been missed.
+2. The order is that of the members' hashes, with frequent members behind the others, by their number: prefixes so hold what few
+   sets share. One set of ONE_IN is counted for that; as any order is right, a member that the count missed costs time only.
+   Members whose group still has more than TILE sets move to the end of the order, and the sets that have one in their prefix
+   are joined once more, up to ROUNDS times; no other pair can have been missed.
 3. Groups that are still as large are dealt out to tiles, and each pair of tiles is one group: no cap leaves a pair out.
 4. Pairs of a component that known links have already joined are not told, so a large group of near copies isn't squared.
 5. Pairs that are told are held against parities of their members, a bit or two a member (see parities): those refute nearly all
@@ -29,7 +31,10 @@ from .simhash import fingerprint, shingle_hashes
 
 #: Sets that share a member of their prefixes and are compared within one group; above it the member moves to the end.
 TILE = 256
-#: How often frequent members are moved to the end of the order.
+#: One text of so many is looked at for frequent members; a member is frequent that OFTEN of those have; at most MOST_FREQUENT
+#: are told, the most frequent ones.
+ONE_IN, OFTEN, MOST_FREQUENT = 16, 4, 200_000
+#: How often members of large groups are moved to the end of the order.
 ROUNDS = 3
 #: Rows of groups that a task compares at a time.
 ROWS_AT_ONCE = 1 << 17
@@ -38,6 +43,8 @@ REMEMBERED = 1 << 20
 #: Against rounding in bounds that may only let too much through.
 SLACK = 1e-6
 _NONE = np.zeros(0, np.int64)
+#: Members that come behind all others, in order, and the place of each among these: members of one place go by their hash.
+Behind = tuple[np.ndarray, np.ndarray]
 
 
 def shingle_set(text: str | None, width: int, lower: bool = True) -> np.ndarray:
@@ -51,12 +58,14 @@ def node_of(members: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def prefix(members: np.ndarray, similarity: float, last: np.ndarray = _NONE) -> np.ndarray:
-    """The prefix of an ordered set; members in last, which is ordered, come after all others."""
+def prefix(members: np.ndarray, similarity: float, behind: Behind) -> np.ndarray:
+    """The prefix of a set, given by its hashes in order."""
     n = len(members)
+    last, places = behind
     if len(last) and n:
-        late = last[np.minimum(np.searchsorted(last, members), len(last) - 1)] == members
-        members = np.concatenate([members[~late], members[late]])
+        at = np.minimum(np.searchsorted(last, members), len(last) - 1)
+        late = last[at] == members
+        members = np.concatenate([members[~late], members[late][np.argsort(places[at[late]], kind="stable")]])
     return members[: n - int(np.ceil(similarity * n - SLACK)) + 1]
 
 
@@ -91,27 +100,42 @@ def not_refuted(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFr
     return pairs.where(F.abs(F.col("na") - F.col("nb")) <= most).where(differ("odda", "oddb") <= most).select("a", "b")
 
 
-def sketch_udf(width: int, similarity: float, fingerprint_width: int) -> Callable:
+def frequent(texts: DataFrame, width: int) -> Behind:
+    """The members of many sets of shingles, by their number among one of ONE_IN texts."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), width) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_NONE, *sets]))], names=["member"])
+
+    text = F.col(texts.columns[0])
+    counts = texts.where(F.pmod(F.xxhash64(text), F.lit(ONE_IN)) == 0).mapInArrow(members, "member long").groupBy("member").count()
+    most = counts.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "member").limit(MOST_FREQUENT).toArrow()
+    found, n = (np.asarray(most.column(i).to_numpy(), np.int64) for i in (0, 1))
+    order = np.argsort(found)
+    return found[order], n[order]
+
+
+def sketch_udf(width: int, similarity: float, fingerprint_width: int, behind: Behind) -> Callable:
     """Of a text: its SimHash fingerprint, and the node, size, prefix and parities of its set of shingles."""
 
     @F.arrow_udf("struct<fp: bigint, odd: binary, node: bigint, n: int, prefix: array<bigint>>")
     def of(texts: pa.Array) -> pa.Array:
         fps = np.fromiter((fingerprint(t.as_py(), fingerprint_width) for t in texts), np.uint64, len(texts))
         sets = [shingle_set(t.as_py(), width) for t in texts]
-        return _structs([("fp", pa.array(fps.view(np.int64))), ("odd", pa.array([parities(s) for s in sets], pa.binary()))], sets, [prefix(s, similarity) for s in sets])
+        return _structs([("fp", pa.array(fps.view(np.int64))), ("odd", pa.array([parities(s) for s in sets], pa.binary()))], sets, [prefix(s, similarity, behind) for s in sets])
 
     return of
 
 
-def _late_udf(width: int, similarity: float, last: np.ndarray, before: np.ndarray, hot: np.ndarray) -> Callable:
-    """As sketch_udf without fingerprints and parities, with members in last at the end; without a prefix where that of the order with
-    those in before at the end has no member in hot."""
+def _late_udf(width: int, similarity: float, behind: Behind, before: Behind, hot: np.ndarray) -> Callable:
+    """As sketch_udf without fingerprints and parities; without a prefix where that of the order before has no member in hot."""
 
     @F.arrow_udf("struct<node: bigint, n: int, prefix: array<bigint>>")
     def of(texts: pa.Array) -> pa.Array:
         sets = [shingle_set(t.as_py(), width) for t in texts]
         again = [np.isin(prefix(s, similarity, before), hot).any() for s in sets]
-        return _structs([], sets, [prefix(s, similarity, last) if m else _NONE for s, m in zip(sets, again, strict=True)])
+        return _structs([], sets, [prefix(s, similarity, behind) if m else _NONE for s, m in zip(sets, again, strict=True)])
 
     return of
 
@@ -243,17 +267,17 @@ def _compare(similarity: float, tile: int | None, members: bool) -> Callable:
 _TOLD = "a long, b long, node long, root long, n int, at int"
 
 
-def similar_sets(sets: DataFrame, texts: DataFrame, roots: DataFrame | None, settle: Callable[[DataFrame], DataFrame | None], width: int, similarity: float, tile: int = TILE, rounds: int = ROUNDS) -> None:
+def similar_sets(sets: DataFrame, texts: DataFrame, roots: DataFrame | None, settle: Callable[[DataFrame], DataFrame | None], width: int, similarity: float, behind: Behind, tile: int = TILE, rounds: int = ROUNDS) -> None:
     """Tells settle, a table (a, b) at a time, all pairs of nodes that can meet the similarity and that roots doesn't join.
 
-    sets: a written table (node, n, prefix); texts: the texts that it comes from, the only column, for other orders.
+    sets: a written table (node, n, prefix), by the order that behind gives; texts: those it comes from, the only column.
     roots: (node, root) of nodes that known links join. settle returns the roots after the links that it found.
     """
-    last = before = hot = _NONE
+    before, hot = behind, _NONE
     turn, final = 0, rounds == 0
     while True:
         if turn:
-            now = texts.select(_late_udf(width, similarity, last, before, hot)(F.col(texts.columns[0])).alias("s")).select("s.node", "s.n", "s.prefix")
+            now = texts.select(_late_udf(width, similarity, behind, before, hot)(F.col(texts.columns[0])).alias("s")).select("s.node", "s.n", "s.prefix")
         else:
             now = sets.select("node", "n", "prefix")
         dealt = _with_roots(now, roots).select("node", "n", "prefix", "root").mapInArrow(_deal, _DEALT)
@@ -267,9 +291,13 @@ def similar_sets(sets: DataFrame, texts: DataFrame, roots: DataFrame | None, set
             settle(written(_tiled(large, roots, similarity, tile), "tiled-candidates", thin=True))
             return
         hot = np.unique(np.array([r[0] for r in large.select("a").distinct().toLocalIterator()], np.int64))
-        before, last = last, np.union1d(last, hot)
+        new = np.setdiff1d(hot, behind[0])
+        last = np.concatenate([behind[0], new])
+        places = np.concatenate([behind[1], np.full(len(new), behind[1].max(initial=0) + 1)])
+        order = np.argsort(last)
+        before, behind = behind, (last[order], places[order])
         turn += 1
-        final = turn >= rounds or len(last) == len(before)
+        final = turn >= rounds or not len(new)
 
 
 def _with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:

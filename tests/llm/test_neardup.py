@@ -186,8 +186,8 @@ def test_equal_fingerprints_of_unlike_texts_are_no_near_copies(docs):
     assert {r.doc_id for r in neardup.keep_representatives(docs(rows)).collect()} == groups_of(rows)[0] == {0, 1, 2, 9}
 
 
-@pytest.mark.parametrize(("tile", "rounds"), [(256, 3), (8, 3), (8, 1), (3, 0)])
-def test_groups_of_any_size_lose_no_pair(docs, monkeypatch, tile, rounds):
+@pytest.mark.parametrize(("tile", "rounds", "one_in"), [(256, 3, 1), (8, 3, 16), (8, 1, 1), (3, 0, 16)])
+def test_groups_of_any_size_lose_no_pair(docs, monkeypatch, tile, rounds, one_in):
     rng = random.Random(22)
     words, lines = [f"w{i}" for i in range(2000)], [" ".join(f"l{i}x{j}" for j in range(12)) for i in range(8)]
     rows = [(i, " ".join(rng.sample(lines, 4) + rng.choices(words, k=rng.randint(0, 8)))) for i in range(60)]  # members that many share
@@ -195,6 +195,7 @@ def test_groups_of_any_size_lose_no_pair(docs, monkeypatch, tile, rounds):
     rows += [(100 + i, " ".join(edited(text, 1, rng, words))) for i in range(40)]  # a large group of near copies
     rows += [(200 + i, rows[i][1]) for i in range(0, 100, 4)] + [(300, "few words"), (301, ""), (302, "few words")]
     found = []
+    monkeypatch.setattr(setjoin, "ONE_IN", one_in)
     monkeypatch.setattr(neardup, "similar_sets", lambda *a: setjoin.similar_sets(*a, tile=tile, rounds=rounds))
     tiled = setjoin._tiled
     monkeypatch.setattr(setjoin, "_tiled", lambda *a: found.append(1) or tiled(*a))
