@@ -49,7 +49,8 @@ Behind = tuple[np.ndarray, np.ndarray]
 
 def shingle_set(text: str | None, width: int, lower: bool = True) -> np.ndarray:
     """The different hashes of a text's shingles, in order."""
-    return np.unique(np.array([h for part in shingle_hashes(text, width, lower=lower) for h in part], np.uint64).view(np.int64))
+    parts = [np.array(part, np.uint64).view(np.int64) for part in shingle_hashes(text, width, lower=lower)]
+    return np.unique(np.concatenate([_NONE, *parts]))
 
 
 def node_of(members: np.ndarray) -> int:
